@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from corrigenda.llm.common import field_of
 
 #: Minimum hashes of a fingerprint.
 SIGNATURE = 64
+#: Ranges of ids dealt to each shuffle partition, so that long texts even out.
+RANGES_PER_PARTITION = 16
 
 
 class Parse:
@@ -109,34 +112,33 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_ranges = n_parts * RANGES_PER_PARTITION
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    ids = docs.select(F.col(id_col).cast("double").alias("x"))
-    marks = sorted({v for v in (ids.agg(F.percentile_approx("x", [i / n_parts for i in range(1, n_parts)], 10_000)).first()[0] or []) if v is not None}, reverse=True)
-    # bucket 0 has the largest ids; rows without an id follow in a bucket of their own
-    last = len(marks) + 1
-    if marks:
-        below = F.array(*[F.lit(float(m)) for m in marks])
-        bucket = F.coalesce(F.expr(f"cast({len(marks)} as int)") - F.size(F.filter(below, lambda m: F.col("_id").cast("double") > m)) , F.lit(last))
-    else:
-        bucket = F.lit(0)
-    bucket = F.when(F.col("_id").isNull(), F.lit(last)).otherwise(bucket)
-    heads = base.where(F.col("_id").isNotNull()).groupBy(bucket.alias("b")).agg(F.max("_id").alias("top")).collect()
-    tops = {r["b"]: r["top"] for r in heads}
-    nulls = docs.where(F.col(id_col).isNull()).limit(1).count() > 0
-    order = sorted([*tops, *([last] if nulls else [])])
-    if not order:
-        order = [0]
-    guest_of = {b: order[k - 1] for k, b in enumerate(order)}  # order[-1]: the first range is guest of the last
-    pairs = F.create_map(*[x for b, g in guest_of.items() for x in (F.lit(b), F.lit(g))])
-    top_of = [(b, t) for b, t in tops.items()]
-    is_top = F.col("_id").isNull()
-    if top_of:
-        is_top = is_top | (F.col("_id") == F.element_at(F.create_map(*[x for b, t in top_of for x in (F.lit(b), F.lit(t))]), F.col("_b")))
+    marks = base.agg(F.percentile_approx(F.col("_id").cast("double"), [i / n_ranges for i in range(1, n_ranges)], 10 * n_ranges)).first()[0] or []
+    edges = np.unique(np.array(marks, float))  # range k: ids above edges[-1 - k]; range 0 has the largest
+    nothing = len(edges) + 1  # rows without an id come last, in a range of their own
+
+    def range_of(ids):
+        x = ids.to_numpy(dtype=float, na_value=np.nan)
+        return np.where(np.isnan(x), nothing, len(edges) - np.searchsorted(edges, x, "left"))
+
+    @F.pandas_udf("int")
+    def find(ids: pd.Series) -> pd.Series:
+        return pd.Series(range_of(ids))
+
+    tops = base.select("_id", find(F.col("_id").cast("double")).alias("b")).groupBy("b").agg(F.max("_id").alias("top")).toPandas()
+    order = sorted(tops["b"].tolist())
+    before = dict(zip(order, [order[-1], *order[:-1]])) if order else {}  # the first range is also the guest of the last
+    top = dict(zip(tops["b"], tops["top"].astype(float)))
+
+    @F.pandas_udf("array<int>")
+    def places(ids: pd.Series) -> pd.Series:
+        x = ids.to_numpy(dtype=float, na_value=np.nan)
+        return pd.Series([[b, -1 - before[b]] if b == nothing or v == top[b] else [b] for v, b in zip(x.tolist(), range_of(ids).tolist())])
+
     dealt = (
-        base.withColumn("_b", bucket)
-        .withColumn("_to", F.when(is_top, F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("g")), F.struct(F.element_at(pairs, F.col("_b")).alias("b"), F.lit(True).alias("g")))).otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("g")))))
-        .withColumn("_to", F.explode("_to"))
-        .select("_id", "_t", F.col("_to.b").alias("_b"), F.col("_to.g").alias("_g"))
+        base.withColumn("_p", F.explode(places(F.col("_id").cast("double"))))
+        .select("_id", "_t", F.when(F.col("_p") < 0, -1 - F.col("_p")).otherwise(F.col("_p")).alias("_b"), (F.col("_p") < 0).alias("_g"))
         .repartition(n_parts, "_b")
         .sortWithinPartitions(F.col("_b"), F.col("_g"), F.col("_id").desc_nulls_last(), F.col("_t"))
     )
