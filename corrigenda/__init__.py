@@ -1,0 +1 @@
+"""Corrigenda: evaluation of text corrections as Spark jobs."""

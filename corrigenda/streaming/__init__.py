@@ -1,0 +1,2 @@
+"""Nothing here keeps state over time: inputs are closed files. Per-sample operators that hold a sample in
+one row (``functions``, ``operators.extract``) run unchanged on a streaming DataFrame."""
