@@ -109,7 +109,7 @@ def id_filter(ids: DataFrame, column: str) -> Callable[[str], F.Column]:
 
 def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """``docs`` without the ids in ``gone`` (one column, no nulls); only likely hits are shuffled."""
-    ids = cut(gone.toDF("_gone").distinct(), "gone-ids")
-    test = id_filter(ids, "_gone")
-    hit = docs.where(test(id_col)).join(ids, F.col(id_col) == F.col("_gone"), "left_anti")
+    ids = cut(gone.toDF("__corrigenda_gone").distinct(), "gone-ids")
+    test = id_filter(ids, "__corrigenda_gone")
+    hit = docs.where(test(id_col)).join(ids, F.col(id_col) == F.col("__corrigenda_gone"), "left_anti")
     return docs.where(~test(id_col)).unionByName(hit)

@@ -184,7 +184,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     bad = classes.join(near, F.col("h") == F.col("nh"), "left").where("near or last > k").select(F.col("h").alias("bh"), F.col("k").alias("bk"), F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.join(bad, F.col("h") == F.col("bh")).where("near or k > bk").select("k", "h", F.lit(True).alias("every"))
     gone = gone.unionByName(lines.where("again").select("k", "h", F.lit(False).alias("every")))
-    lists = cut(gone.groupBy("k").agg(F.collect_set(F.when(F.col("every"), F.col("h"))).alias("_gone_lines")).withColumnRenamed("k", "_gone_id"), "gone-lines")
+    lists = cut(gone.groupBy("k").agg(F.collect_set(F.when(F.col("every"), F.col("h"))).alias("__corrigenda_lines")).withColumnRenamed("k", "__corrigenda_id"), "gone-lines")
 
     @F.pandas_udf("string")
     def strip(texts, gone):
@@ -193,11 +193,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pd.Series([_strip(t, g) for t, g in zip(texts, gone)], dtype=object)
 
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    test = id_filter(lists, "_gone_id")
-    keyed = docs.withColumn("_line_key", key)
-    hit = keyed.where(test("_line_key"))
-    done = hit.join(lists, F.col("_line_key") == F.col("_gone_id"), "left").withColumn(text_col, F.when(F.col("_gone_id").isNotNull(), strip(F.col(text_col), F.col("_gone_lines"))).otherwise(F.col(text_col)))
-    return done.select(*docs.columns).unionByName(keyed.where(~test("_line_key")).select(*docs.columns))
+    test = id_filter(lists, "__corrigenda_id")
+    keyed = docs.withColumn("__corrigenda_key", key)
+    hit = keyed.where(test("__corrigenda_key"))
+    done = hit.join(lists, F.col("__corrigenda_key") == F.col("__corrigenda_id"), "left").withColumn(text_col, F.when(F.col("__corrigenda_id").isNotNull(), strip(F.col(text_col), F.col("__corrigenda_lines"))).otherwise(F.col(text_col)))
+    return done.select(*docs.columns).unionByName(keyed.where(~test("__corrigenda_key")).select(*docs.columns))
 
 
 def _strip(text: str | None, gone) -> str | None:

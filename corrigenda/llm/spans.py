@@ -103,7 +103,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = spans.groupBy("h").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("last > first").select(F.col("h").alias("rh"), "first")
     gone = spans.join(repeated, F.col("h") == F.col("rh")).where("k > first").select("k", "h")
     gone = gone.unionByName(spans.where("again").select("k", F.lit(None).cast("long").alias("h")))
-    lists = cut(gone.groupBy("k").agg(F.collect_set("h").alias("_gone_spans")).withColumnRenamed("k", "_gone_id"), "gone-spans")
+    lists = cut(gone.groupBy("k").agg(F.collect_set("h").alias("__corrigenda_spans")).withColumnRenamed("k", "__corrigenda_id"), "gone-spans")
 
     @F.pandas_udf("string")
     def strip(texts, gone):
@@ -111,7 +111,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return pd.Series([t if g is None else remove_spans(t, g, min_words, run, long_sentence) for t, g in zip(texts, gone)], dtype=object)
 
-    test = id_filter(lists, "_gone_id")
-    keyed = docs.withColumn("_span_key", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))
-    done = keyed.where(test("_span_key")).join(lists, F.col("_span_key") == F.col("_gone_id"), "left").withColumn(text_col, F.when(F.col("_gone_id").isNotNull(), strip(F.col(text_col), F.col("_gone_spans"))).otherwise(F.col(text_col)))
-    return done.select(*docs.columns).unionByName(keyed.where(~test("_span_key")).select(*docs.columns))
+    test = id_filter(lists, "__corrigenda_id")
+    keyed = docs.withColumn("__corrigenda_key", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))
+    done = keyed.where(test("__corrigenda_key")).join(lists, F.col("__corrigenda_key") == F.col("__corrigenda_id"), "left").withColumn(text_col, F.when(F.col("__corrigenda_id").isNotNull(), strip(F.col(text_col), F.col("__corrigenda_spans"))).otherwise(F.col(text_col)))
+    return done.select(*docs.columns).unionByName(keyed.where(~test("__corrigenda_key")).select(*docs.columns))
