@@ -15,7 +15,7 @@ from corrigenda.llm.common import field_of, map_batches
 
 SPACE = "▁"
 #: Units, and adjacent pairs, kept by a worker's caches before they start anew.
-CACHE_UNITS, CACHE_PAIRS = 300_000, 600_000
+CACHE_UNITS, CACHE_PAIRS = 150_000, 400_000
 
 
 class PieceEncoder:
