@@ -16,6 +16,8 @@ _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it can be inverted modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LAST = (1 << 63) - 1  # rows without an id come last
+#: A line is hot if it holds this share of all line rows or more, so there are at most HOT_PARTS hot lines.
+HOT_PARTS = 2_000
 
 
 def _signed(h: int) -> int:
@@ -170,6 +172,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Copies are one class whatever their number; classes that share no beginning or end with another
     cannot have a near copy and stop there; the others emit hashed deletion variants, are grouped by
     equal variants, linked to the earliest of each group (never pairs within a group), and verified.
+    The rows of lines with a share of 1 / HOT_PARTS or more are not shuffled by line.
     Only documents that lose a line are shuffled at the end. Null text stays null. Rows that share
     an id count as one document; rows without an id count as one document behind all others. A text
     may become empty.
@@ -177,12 +180,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("k"), F.col(text_col).alias("t"))
     lines = cut(_lines(base), "lines")
     classes = cut(
-        lines.groupBy("h").agg(F.min("k").alias("k"), F.max("k").alias("last"), F.min_by("line", "k").alias("line"), F.min("a").alias("a"), F.min("b").alias("b"), F.min("c").alias("c")),
+        lines.groupBy("h").agg(F.min("k").alias("k"), F.max("k").alias("last"), F.count("*").alias("n"), F.min_by("line", "k").alias("line"), F.min("a").alias("a"), F.min("b").alias("b"), F.min("c").alias("c")),
         "line-classes",
     )
     near = _near_classes(classes, base).select(F.col("h").alias("nh"), F.lit(True).alias("near"))
-    bad = classes.join(near, F.col("h") == F.col("nh"), "left").where("near or last > k").select(F.col("h").alias("bh"), F.col("k").alias("bk"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.join(bad, F.col("h") == F.col("bh")).where("near or k > bk").select("k", "h", F.lit(True).alias("every"))
+    bad = classes.join(near, F.col("h") == F.col("nh"), "left").where("near or last > k").select(F.col("h").alias("bh"), F.col("k").alias("bk"), F.coalesce("near", F.lit(False)).alias("near"), "n")
+    bad = cut(bad, "bad-lines")
+    # the rows of a hot line stay where they are: at most HOT_PARTS lines are sent to them
+    many = lines.count() // HOT_PARTS + 1
+    hot = F.broadcast(bad.where(F.col("n") >= many))
+    cold = lines.join(hot.select("bh"), F.col("h") == F.col("bh"), "left_anti").join(bad.where(F.col("n") < many), F.col("h") == F.col("bh"))
+    gone = lines.join(hot, F.col("h") == F.col("bh")).unionByName(cold).where("near or k > bk").select("k", "h", F.lit(True).alias("every"))
     gone = gone.unionByName(lines.where("again").select("k", "h", F.lit(False).alias("every")))
     lists = cut(gone.groupBy("k").agg(F.collect_set(F.when(F.col("every"), F.col("h"))).alias("__corrigenda_lines")).withColumnRenamed("k", "__corrigenda_id"), "gone-lines")
 
