@@ -21,19 +21,13 @@ OVERLAP_CHARS = 1_024
 #: Characters before a chunk's end whose pre-tokens may still change: the look-ahead of the
 #: pre-tokenizer (three characters) and the longest special string.
 MARGIN_CHARS = 32
-#: Units kept by a worker's cache before it starts anew.
-CACHE_UNITS = 120_000
-
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
-_UNIT_START = re.compile(r"(?<=\S) ")
 
 
 class ByteLevelEncoder:
-    """Ids of a byte-level BPE whose pre-tokens never run across a space that follows a non-space.
+    """Ids of a byte-level BPE.
 
-    Such spaces are exact cut points: a text is the sequence of its units, and each distinct unit
-    is encoded once by the library. Texts longer than ``chunk_chars`` go through
-    ``encode_long``: overlapping chunks with offsets, spliced at proven common boundaries.
+    Texts longer than ``chunk_chars`` go through ``encode_long``: overlapping chunks with offsets,
+    spliced at proven common boundaries. Others are encoded in one piece.
     """
 
     def __init__(self, path: str, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
@@ -44,8 +38,6 @@ class ByteLevelEncoder:
         self.fast = _same_as_ranks(path, spec)
         self.special = re.compile("|".join(map(re.escape, added))) if added else re.compile("(?!)")
         self.margin = max([MARGIN_CHARS, *(len(s) + 4 for s in added)])
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
 
     @cached_property
     def lib(self):
@@ -57,37 +49,14 @@ class ByteLevelEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut: list[list[str] | bytes] = []
-        for t in texts:
-            if len(t) > self.chunk_chars:
-                cut.append(b"".join(_pack(ids) for ids in self.encode_long(t)))
-            elif not t:
-                cut.append(b"")
-            elif self.special.search(t):
-                cut.append(_pack(self.lib.encode(t, add_special_tokens=False).ids))
-            else:
-                cut.append((_UNIT_START.split(t) if _SPACE_AFTER_SPACE.search(t) else t.split(" ")))
-        units = [c for c in cut if isinstance(c, list)]
-        self._learn({u[0] for u in units}, self.first, "")
-        rest: set[str] = set()
-        for u in units:
-            rest.update(u[1:])
-        self._learn(rest, self.rest, " ")
-        first, of = self.first, self.rest.__getitem__
-        return [c if isinstance(c, bytes) else first[c[0]] + b"".join(map(of, c[1:])) for c in cut]
-
-    def _learn(self, units: set[str], cache: dict[str, bytes], lead: str) -> None:
-        """Encode what the cache lacks."""
-        new = [u for u in units if u not in cache]
-        if len(cache) + len(new) > CACHE_UNITS:
-            cache.clear()
-            new = list(units)
-        if self.fast is not None:
-            of = self.fast.encode_ordinary
-            cache.update((u, _pack(of(lead + u))) for u in new)
-        else:
-            got = self.lib.encode_batch_fast([lead + u for u in new], add_special_tokens=False)
-            cache.update((u, _pack(e.ids)) for u, e in zip(new, got))
+        return [self._encode_one(t) for t in texts]
+
+    def _encode_one(self, text: str) -> bytes:
+        if len(text) > self.chunk_chars:
+            return b"".join(map(_pack, self.encode_long(text)))
+        if self.fast is None or self.special.search(text):
+            return _pack(self.lib.encode(text, add_special_tokens=False).ids)
+        return _pack(self.fast.encode_ordinary(text))
 
     def encode_long(self, text: str) -> Iterator[list[int]]:
         """Ids of a huge text, chunk by chunk.
@@ -134,8 +103,8 @@ class ByteLevelEncoder:
 def _same_as_ranks(path: str, spec: dict):
     """The file's vocabulary as a tiktoken encoding, if its merges are in the order of the ids.
 
-    Both then give the same ids for text without special strings, and single units come out several
-    times faster. None where the file does not allow it.
+    Both then give the same ids for text without special strings, and this one is several times
+    faster. None where the file does not allow it.
     """
     import tiktoken
 
