@@ -107,7 +107,9 @@ def test_vantage_routing_is_exact():
     assert all((int(home[i]), i) in reach for i in range(3000))
 
 
-def test_lines(docs, none):
+@pytest.mark.parametrize("hot_parts", [1, 2_000])  # no line is hot, every line is
+def test_lines(docs, none, monkeypatch, hot_parts):
+    monkeypatch.setattr(lines, "HOT_PARTS", hot_parts)
     rows = sorted(((2**63 - 1 if i is None else i, t) for i, t in rows_of(docs)), key=lambda r: r[0])
     first: dict = {}
     for i, t in rows:
