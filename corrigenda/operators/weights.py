@@ -90,6 +90,35 @@ def weigh_by_similarity(matches: DataFrame, samples: DataFrame, targets: DataFra
     return touched.unionByName(matches.where("outcome = 'tn'").withColumn("weight", F.lit(1.0)))
 
 
+def replaced_references(matches: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Each reference with one chunk taken from the hypothesis, per false positive or negative: ``tokens``."""
+    ref = chunks.where("side = 'ref'").groupBy(*KEYS, F.col("target_id").alias("ref_id")).agg(
+        F.sort_array(F.collect_list(F.struct("chunk_idx", "tgt_tokens"))).alias("_c")
+    )
+    own = chunks.where("side = 'hyp'").select(*KEYS, "chunk_idx", F.col("tgt_tokens").alias("_h"))
+    m = matches.where("outcome in ('fp', 'fn')").join(ref, [*KEYS, "ref_id"]).join(own, [*KEYS, "chunk_idx"])
+    tokens = F.flatten(F.transform("_c", lambda x: F.when(x["chunk_idx"] == F.col("chunk_idx"), F.col("_h")).otherwise(x["tgt_tokens"])))
+    return m.select(*matches.columns, F.filter(tokens, lambda x: x != "").alias("tokens"))
+
+
+def weigh_by_replacement(matches: DataFrame, samples: DataFrame, targets: DataFrame, chunks: DataFrame, sim=token_f1) -> DataFrame:
+    """Adds ``weight``: 1 - sim(source, source with the chunk) for hits, 1 - sim(reference with the
+    hypothesis' chunk, reference) for wrong and missed chunks, 1 for untouched ones.
+
+    An empty pseudo-hypothesis counts as the source. Equal pairs are scored once.
+    """
+    src = samples.select(*KEYS, F.col("src_tokens").alias("_a"))
+    hyp = pseudo_hypotheses(chunks, "hyp").select(*KEYS, "chunk_idx", F.col("tokens").alias("_p"))
+    ref = targets.where("side = 'ref'").select(*KEYS, F.col("target_id").alias("ref_id"), F.col("tgt_tokens").alias("_b"))
+    hits = matches.where("outcome = 'tp'").join(src, KEYS).join(hyp, [*KEYS, "chunk_idx"], "left")
+    hits = hits.withColumn("_b", F.when(F.size(F.coalesce("_p", F.array())) > 0, F.col("_p")).otherwise(F.col("_a")))
+    wrong = replaced_references(matches, chunks).withColumnRenamed("tokens", "_a").join(ref, [*KEYS, "ref_id"])
+    m = hits.select(*matches.columns, "_a", "_b").unionByName(wrong.select(*matches.columns, "_a", "_b"))
+    scored = m.select("_a", "_b").distinct().withColumn("_s", sim(F.col("_a"), F.col("_b")))
+    touched = m.join(scored, ["_a", "_b"]).select(*matches.columns, (1 - F.col("_s")).alias("weight"))
+    return touched.unionByName(matches.where("outcome = 'tn'").withColumn("weight", F.lit(1.0)))
+
+
 def source_similarity(samples: DataFrame, targets: DataFrame, sim=token_f1) -> DataFrame:
     """``sim_src_tgt`` per reference."""
     r = targets.where("side = 'ref'").join(samples.select(*KEYS, "src_tokens"), KEYS)

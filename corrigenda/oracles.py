@@ -186,6 +186,12 @@ ORACLES: dict[str, str] = {
     "similarity_weights": _COMMON + _DEP + _PSEUDO + """, cand AS (SELECT m.sample_id, m.ref_id, m.chunk_idx, m.outcome, s.src, r.tt AS ref, CASE WHEN coalesce(CASE WHEN outcome = 'fn' THEN b.tokens ELSE a.tokens END, '') = '' THEN s.src ELSE string_split(CASE WHEN outcome = 'fn' THEN b.tokens ELSE a.tokens END, ' ') END AS c
       FROM m JOIN samples s USING (sample_id) JOIN targets r ON r.sample_id = m.sample_id AND r.k = m.ref_id + 1 LEFT JOIN pse a ON a.sample_id = m.sample_id AND a.k = 0 AND a.chunk_idx = m.chunk_idx
       LEFT JOIN pse b ON b.sample_id = m.sample_id AND b.k = m.ref_id + 1 AND b.chunk_idx = m.chunk_idx WHERE outcome <> 'tn') """ + f"SELECT sample_id, ref_id, chunk_idx, outcome, round(abs({_F1.format(a='src', b='ref')} - {_F1.format(a='c', b='ref')}), 6) AS weight FROM cand",
+    "replacement_weights": _COMMON + _DEP + _PSEUDO + """, rep AS (SELECT m.sample_id, m.ref_id, m.chunk_idx, coalesce(string_agg(CASE WHEN c.chunk_idx = m.chunk_idx THEN h.tgt ELSE c.tgt END, ' ' ORDER BY c.chunk_idx) FILTER (WHERE CASE WHEN c.chunk_idx = m.chunk_idx THEN h.tgt ELSE c.tgt END <> ''), '') AS t
+      FROM m JOIN ch h ON h.sample_id = m.sample_id AND h.k = 0 AND h.chunk_idx = m.chunk_idx JOIN ch c ON c.sample_id = m.sample_id AND c.k = m.ref_id + 1 WHERE outcome IN ('fp', 'fn') GROUP BY m.sample_id, m.ref_id, m.chunk_idx),
+    cand AS (SELECT m.sample_id, m.ref_id, m.chunk_idx, m.outcome, s.src AS a, CASE WHEN coalesce(p.tokens, '') = '' THEN s.src ELSE string_split(p.tokens, ' ') END AS b
+      FROM m JOIN samples s USING (sample_id) LEFT JOIN pse p ON p.sample_id = m.sample_id AND p.k = 0 AND p.chunk_idx = m.chunk_idx WHERE outcome = 'tp'
+      UNION ALL SELECT m.sample_id, m.ref_id, m.chunk_idx, m.outcome, CASE WHEN x.t = '' THEN [] ELSE string_split(x.t, ' ') END, r.tt
+      FROM m JOIN rep x ON x.sample_id = m.sample_id AND x.ref_id = m.ref_id AND x.chunk_idx = m.chunk_idx JOIN targets r ON r.sample_id = m.sample_id AND r.k = m.ref_id + 1) """ + f"SELECT sample_id, ref_id, chunk_idx, outcome, round(1 - {_F1.format(a='a', b='b')}, 6) AS weight FROM cand",
     "source_similarity": _COMMON + f"SELECT r.sample_id, r.k - 1 AS ref_id, round({_F1.format(a='s.src', b='r.tt')}, 6) AS sim_src_tgt FROM targets r JOIN samples s USING (sample_id) WHERE r.k > 0",
     "ngram_counts": _COMMON + _GRAMS + "SELECT sample_id, n, gram, c FROM g WHERE k = -1",
     "gleu_parts": _COMMON + _GLEU + "SELECT * FROM parts",

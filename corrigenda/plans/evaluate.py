@@ -45,6 +45,8 @@ def evaluate(data: dict[str, DataFrame], metric: str = "chunk", assumption: str
         m, w = W.weigh_by_length(m, ch, preset), F.col("weight")
     elif weigher == "similarity":
         m, w = W.weigh_by_similarity(m, samples, targets, ch), F.col("weight")
+    elif weigher == "replacement":
+        m, w = W.weigh_by_replacement(m, samples, targets, ch), F.col("weight")
     counts = S.ref_counts(m, S.reference_pairs(targets), w)
     score = {("chunk", "corpus"): S.prf_corpus, ("chunk", "sentence"): S.prf_sentence, ("heuo", "corpus"): S.heuo_corpus, ("heuo", "sentence"): S.heuo_sentence}
     return score[metric, level](counts), m

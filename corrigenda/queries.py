@@ -192,6 +192,13 @@ def similarity_weights(spark, sf_dir):
     return _rounded(w.where("outcome <> 'tn'").select("sample_id", "ref_id", "chunk_idx", "outcome", "weight"))
 
 
+@query
+def replacement_weights(spark, sf_dir):
+    t, ch, m = _matches(spark, sf_dir)
+    w = W.weigh_by_replacement(m, t["samples"], t["targets"], ch)
+    return _rounded(w.where("outcome <> 'tn'").select("sample_id", "ref_id", "chunk_idx", "outcome", "weight"))
+
+
 @query
 def source_similarity(spark, sf_dir):
     t = tables(spark, sf_dir)

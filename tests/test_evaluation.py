@@ -18,7 +18,7 @@ from corrigenda.sources.nested import read_parallel
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["prf_corpus_dependent", "chunks", "outcome_independent", "edit_detection", "gleu_parts", "block_round_trip", "subword_align"])
+@pytest.mark.parametrize("name", ["prf_corpus_dependent", "chunks", "outcome_independent", "edit_detection", "gleu_parts", "block_round_trip", "subword_align", "replacement_weights"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
