@@ -1,4 +1,4 @@
-"""Substring dedup by sliding spans of consecutive sentences."""
+"""Substring dedup by sliding spans of consecutive sentences and by windows of words."""
 
 from __future__ import annotations
 
@@ -12,9 +12,14 @@ from pyspark.sql import types as T
 
 from corrigenda.llm.common import cut, id_filter, map_batches
 
-#: Sentences of a span; words a covered stretch needs to be removed; words from which a single
-#: sentence is a span of its own.
-RUN, MIN_WORDS, LONG_SENTENCE = 2, 25, 50
+#: Sentences of a span; words from which a single sentence is a span of its own.
+RUN, LONG_SENTENCE = 2, 50
+#: Words of a window; words of the grams whose minima find the places where windows may be equal.
+WINDOW, GRAM = 50, 16
+#: Scripts without spaces: each character counts as a word.
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
+_UNIT = re.compile(f"{_DENSE.pattern}|(?:(?!{_DENSE.pattern})\\S)+")
+_BASE, _C1, _C2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*")
 _LAST = (1 << 63) - 1
 
@@ -33,6 +38,41 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+def units(text: str) -> list[str]:
+    """Words; in scripts without spaces, characters."""
+    return text.split() if text.isascii() or not _DENSE.search(text) else _UNIT.findall(text)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * _C1
+    h = (h ^ (h >> np.uint64(33))) * _C2
+    return (h ^ (h >> np.uint64(33))).view(np.int64)
+
+
+def _rolled(words: list[str], size: int) -> np.ndarray:
+    """Hash of every run of ``size`` words, from hashes of runs of 1, 2, 4... words."""
+    part, done, out = np.fromiter((xxhash.xxh64_intdigest(w, 9) for w in words), "<u8", len(words)), 0, None
+    n, width, power = len(words) - size + 1, 1, _BASE
+    if n <= 0:
+        return np.empty(0, np.int64)
+    while width <= size:
+        if size & width:
+            out = part[:n].copy() if out is None else out * power + part[done : done + n]
+            done += width
+        part, power, width = part[:-width] * power + part[width:], power * power, 2 * width
+    return _mixed(out)
+
+
+def anchors(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the smallest gram of every window: equal windows have equal anchors."""
+    g = _rolled(words, GRAM)
+    span = WINDOW - GRAM + 1
+    if len(g) < span:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(g, span).argmin(1) + np.arange(len(g) - span + 1))
+    return at, g[at]
+
+
 def span_hashes(text: str, run: int = RUN, long_sentence: int = LONG_SENTENCE) -> tuple[list[str], list[int], list[tuple[int, int, int]]]:
     """Sentences, their word counts, and spans as (hash, first sentence, sentences).
 
@@ -40,7 +80,7 @@ def span_hashes(text: str, run: int = RUN, long_sentence: int = LONG_SENTENCE) -
     ``long_sentence`` words. Hashes ignore the white space between words.
     """
     parts = sentences(text)
-    words = [p.split() for p in parts]
+    words = [units(p) for p in parts]
     keep = [i for i, w in enumerate(words) if w]
     h = [xxhash.xxh64_digest(" ".join(words[i])) for i in keep]
     spans = []
@@ -54,34 +94,85 @@ def span_hashes(text: str, run: int = RUN, long_sentence: int = LONG_SENTENCE) -
     return parts, [len(w) for w in words], spans
 
 
-def remove_spans(text: str | None, gone, min_words: int = MIN_WORDS, run: int = RUN, long_sentence: int = LONG_SENTENCE) -> str | None:
-    """The text without sentences covered by a span in ``gone``, or by one seen before in the text."""
+def remove_spans(text: str | None, gone, run: int = RUN, long_sentence: int = LONG_SENTENCE) -> str | None:
+    """The text without what a span or window in ``gone``, or one seen before in the text, covers."""
     if text is None:
         return None
-    parts, words, spans = span_hashes(text, run, long_sentence)
-    seen, covered = set(np.asarray(gone, dtype=object).tolist()), [False] * len(parts)
+    parts, counts, spans = span_hashes(text, run, long_sentence)
+    listed = [x for x in np.asarray(gone, dtype=object).tolist() if x is not None]
+    seen, covered = set(listed), [False] * len(parts)
     for h, at, n in sorted(spans, key=lambda s: (s[1] + s[2], s[1])):
         if h in seen:
             covered[at : at + n] = [True] * n
         seen.add(h)
-    out, k = [], 0
-    while k < len(parts):
-        end = k
-        while end < len(parts) and covered[end] == covered[k]:
-            end += 1
-        if not covered[k] or sum(words[k:end]) < min_words:
-            out += parts[k:end]
-        k = end
+    cover = np.repeat(np.array(covered, bool), counts)
+    words = [w for p in parts for w in units(p)]
+    h = _rolled(words, WINDOW)
+    if len(h):
+        _, first, back = np.unique(h, return_index=True, return_inverse=True)
+        s = np.arange(len(h))
+        # a window equal to one before it covers only what lies behind that one
+        start = np.where(np.isin(h, np.array(listed, np.int64)), s, np.where(first[back] < s, np.maximum(s, first[back] + WINDOW), s + WINDOW))
+        live = start < s + WINDOW
+        edge = np.zeros(len(words) + 1, np.int64)
+        np.add.at(edge, start[live], 1)
+        np.add.at(edge, s[live] + WINDOW, -1)
+        cover |= np.cumsum(edge)[:-1] > 0
+    if not cover.any():
+        return text
+    at = [m.start() for m in _UNIT.finditer(text)] if _DENSE.search(text) else [m.start() for m in re.finditer(r"\S+", text)]
+    at.append(len(text))
+    out = [] if cover[0] else [text[: at[0]]]
+    turn = [0, *(np.flatnonzero(np.diff(cover)) + 1).tolist(), len(cover)]
+    out += [text[at[i] : at[j]] for i, j in zip(turn, turn[1:]) if not cover[i]]
     return "".join(out)
 
 
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS, long_sentence: int = LONG_SENTENCE) -> DataFrame:
-    """``docs`` without sentences covered by a repeated span that is not its first occurrence.
+def _window_hits(base: DataFrame) -> DataFrame:
+    """``k, h``: windows of a document that an earlier one holds; ``h`` is null where only the document itself repeats one.
+
+    Windows are hashed only where the smallest gram of a window is shared, so that unlike texts cost
+    one row in about WINDOW / 3 words.
+    """
+    row = T.StructType([T.StructField("h", T.LongType()), T.StructField("k", T.LongType()), T.StructField("again", T.BooleanType())])
+
+    def distinct(key, hashes):
+        h, n = np.unique(hashes, return_counts=True)
+        return {"h": h, "k": np.full(len(h), key), "again": n > 1}
+
+    def mark(ids, texts):
+        for key, text in zip(ids.to_pylist(), texts):
+            yield distinct(key, anchors(units(text.as_py() or ""))[1])
+
+    grams = cut(map_batches(base, ["k", "t"], row, mark), "anchors")
+    shared = grams.groupBy("h").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.max("again").alias("own")).where("last > first or own").select(F.col("h").alias("sh"))
+    wanted = cut(grams.join(shared, F.col("h") == F.col("sh")).groupBy("k").agg(F.collect_set("h").alias("want")).withColumnRenamed("k", "wk"), "shared-anchors")
+    test = id_filter(wanted, "wk")
+
+    def windows(ids, texts, wants):
+        for key, text, want in zip(ids.to_pylist(), texts, wants):
+            words = units(text.as_py() or "")
+            at, g = anchors(words)
+            at = at[np.isin(g, np.array(want.as_py(), np.int64))]
+            if len(at):
+                h = _rolled(words, WINDOW)
+                near = (at[:, None] - np.arange(WINDOW - GRAM + 1)).ravel()
+                yield distinct(key, h[np.unique(near[(near >= 0) & (near < len(h))])])
+
+    held = base.where(test("k")).join(wanted, F.col("k") == F.col("wk")).select("k", "t", "want")
+    wins = cut(map_batches(held, ["k", "t", "want"], row, windows), "windows")
+    repeated = wins.groupBy("h").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("last > first").select(F.col("h").alias("rh"), "first")
+    return wins.join(repeated, F.col("h") == F.col("rh")).where("k > first").select("k", "h").unionByName(wins.where("again").select("k", F.lit(None).cast("long").alias("h")))
+
+
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_sentence: int = LONG_SENTENCE) -> DataFrame:
+    """``docs`` without what a repeated span or window covers that is not its first occurrence.
 
     Spans are hashed over whole texts, grouped globally (pre-aggregated, so a passage that a third
     of all documents share is one row per task), and joined back; the first occurrence is the one in
-    the smallest id, then the earliest in the text. Sentences in stretches of covered sentences with
-    ``min_words`` words or more go; shorter stretches stay (chance repeats such as a title). All rows
+    the smallest id, then the earliest in the text. Every covered sentence goes, however short the
+    stretch; and every word in a run of WINDOW words that an earlier text holds, or this one before,
+    wherever its sentences begin and end. All rows
     and other columns stay; only documents that lose text are shuffled. Null text stays null. Rows
     that share an id count as one document, rows without an id as one document behind all others.
     """
@@ -102,14 +193,14 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = cut(map_batches(base, ["k", "t"], schema, emit), "spans")
     repeated = spans.groupBy("h").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("last > first").select(F.col("h").alias("rh"), "first")
     gone = spans.join(repeated, F.col("h") == F.col("rh")).where("k > first").select("k", "h")
-    gone = gone.unionByName(spans.where("again").select("k", F.lit(None).cast("long").alias("h")))
+    gone = gone.unionByName(spans.where("again").select("k", F.lit(None).cast("long").alias("h"))).unionByName(_window_hits(base))
     lists = cut(gone.groupBy("k").agg(F.collect_set("h").alias("__corrigenda_spans")).withColumnRenamed("k", "__corrigenda_id"), "gone-spans")
 
     @F.pandas_udf("string")
     def strip(texts, gone):
         import pandas as pd
 
-        return pd.Series([t if g is None else remove_spans(t, g, min_words, run, long_sentence) for t, g in zip(texts, gone)], dtype=object)
+        return pd.Series([t if g is None else remove_spans(t, g, run, long_sentence) for t, g in zip(texts, gone)], dtype=object)
 
     test = id_filter(lists, "__corrigenda_id")
     keyed = docs.withColumn("__corrigenda_key", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))

@@ -36,3 +36,47 @@ def test_near_copies_at_similarity(spark):
     got = corpus_pipeline.simhash_near_dedup(spark, docs, "")
     assert wide and sorted(r.doc_id for r in got.collect()) == [i for i, r in enumerate(root) if i == r]
     assert corpus_pipeline.simhash_near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def _spans(spark, texts):
+    from corrigenda.llm import spans
+
+    got = spans.dedup_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    return [r.text for r in sorted(got.collect(), key=lambda r: r.doc_id)]
+
+
+def test_short_and_ragged_passages_go(spark):
+    w = [f"p{i}" for i in range(70)]
+    ragged = " ".join(w[:30]) + ". " + " ".join(w[30:41]) + ". " + " ".join(w[41:])
+    dense = "".join(chr(0x4E00 + i) for i in range(60))
+    small = "Two words. And three more."
+    own = " ".join(f"q{i}" for i in range(55))
+    texts = [
+        "Begin of one " + ragged + " and its end here.", "Other begin " + ragged + " other tail.",
+        small, "Mine first. " + small + " Mine last.", "甲" + dense + "乙", "丙" + dense + "丁", own + " mid " + own + " end",
+    ]
+    got = _spans(spark, texts)
+    assert got[0] == texts[0] and got[1] == "Other begin other tail."
+    assert got[2] == small and got[3] == "Mine first. Mine last."
+    assert got[4] == texts[4] and got[5] == "丙丁" and got[6] == own + " mid end"
+
+
+def test_no_window_stays(spark):
+    rng = random.Random(4)
+    pool = [f"v{i}" for i in range(500)]
+    long = [rng.choice(pool) for _ in range(900)]
+    texts = []
+    for _ in range(40):
+        at, n = rng.randrange(800), rng.choice([30, 49, 50, 51, 90])
+        texts.append(" ".join([*(rng.choice(pool) for _ in range(20)), *long[at : at + n], *(rng.choice(pool) for _ in range(20))]))
+    first: dict = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for s in range(len(w) - 49):
+            first.setdefault(tuple(w[s : s + 50]), (i, s))
+    want = []
+    for i, t in enumerate(texts):
+        w = t.split()
+        gone = {p for s in range(len(w) - 49) if first[tuple(w[s : s + 50])][0] < i for p in range(s, s + 50)}
+        want.append([x for p, x in enumerate(w) if p not in gone])
+    assert any(len(a) != len(t.split()) for a, t in zip(want, texts)) and [t.split() for t in _spans(spark, texts)] == want
