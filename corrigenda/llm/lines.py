@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corrigenda.llm.common import cut, id_filter, map_batches
+from corrigenda.llm.spans import units
 
-#: Lines with fewer words are never removed; lines with fewer than NEAR_WORDS only as exact copies.
-MIN_WORDS, NEAR_WORDS = 3, 8
+#: Lines with fewer words (characters in scripts without spaces) are removed only as exact copies.
+NEAR_WORDS = 8
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it can be inverted modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -89,8 +90,8 @@ def _lines(docs: DataFrame) -> DataFrame:
         for key, text in zip(ids.to_pylist(), texts):
             seen: dict[int, int] = {}
             for n, line in enumerate((text.as_py() or "").split("\n")):
-                words = line.split()
-                if len(words) < MIN_WORDS:
+                words = units(line)
+                if not words:
                     continue
                 h = line_hash(words)
                 if h in seen:
@@ -122,7 +123,7 @@ def _near_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
         for key, text, want, at in zip(ids.to_pylist(), texts, hs.to_pylist(), ls.to_pylist()):
             open_ = dict(zip(want, at))
             for line in (text.as_py() or "").split("\n"):
-                words = line.split()
+                words = units(line)
                 if len(words) >= NEAR_WORDS and (h := line_hash(words)) in open_:
                     for name, v in zip(out, (h, key, open_.pop(h), " ".join(words))):
                         out[name].append(v)
@@ -166,8 +167,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A line goes if an earlier one (by id, then line number) is equal up to white space, or, from
     NEAR_WORDS words on, at word edit distance 1: one word inserted, deleted or replaced. What
-    counts as earlier need not itself be kept. Lines under MIN_WORDS words, blank ones included,
-    always stay. The remaining lines keep their order and spelling.
+    counts as earlier need not itself be kept. Blank lines always stay. In scripts without spaces
+    each character counts as a word. The remaining lines keep their order and spelling.
 
     Copies are one class whatever their number; classes that share no beginning or end with another
     cannot have a near copy and stop there; the others emit hashed deletion variants, are grouped by
@@ -213,8 +214,8 @@ def _strip(text: str | None, gone) -> str | None:
         return text
     out, seen = [], set(np.asarray(gone, dtype=object).tolist())
     for line in text.split("\n"):
-        words = line.split()
-        if len(words) >= MIN_WORDS:
+        words = units(line)
+        if words:
             h = line_hash(words)
             if h in seen:
                 continue

@@ -80,3 +80,12 @@ def test_no_window_stays(spark):
         gone = {p for s in range(len(w) - 49) if first[tuple(w[s : s + 50])][0] < i for p in range(s, s + 50)}
         want.append([x for p, x in enumerate(w) if p not in gone])
     assert any(len(a) != len(t.split()) for a, t in zip(want, texts)) and [t.split() for t in _spans(spark, texts)] == want
+
+
+def test_short_and_dense_lines_go(spark):
+    from corrigenda.llm import lines
+
+    dense = "".join(chr(0x4E00 + i) for i in range(20))
+    texts = ["Menu\nRead more\n\n" + dense, "Menu\nown line\nRead  more\n\n\nMenu", dense[:9] + "丟" + dense[10:] + "\nhttp://a.example.org/x\nz", "http://a.example.org/x\nend\nend"]
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert [r.text for r in sorted(got.collect(), key=lambda r: r.doc_id)] == [texts[0], "own line\n\n", "http://a.example.org/x\nz", "end"]
