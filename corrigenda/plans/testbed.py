@@ -4,22 +4,34 @@ Lines of 3 to 40 tokens are sources. At even token positions i, b = (131 doc + 3
 makes an error site where b < 4: replace, delete, insert before, replace two. Side k (0: hypothesis,
 1 and 2: references) acts where (b + 7 i + 5 k + line) mod 3 is not 0; every seventh sample has one
 reference.
+
+The id of a sample is 1000 doc + line; from line 1000 on, where that would be an id of the next
+document, it is FAR + 2**24 doc + line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corrigenda.model import KEYS, TARGET
 from corrigenda.operators.edits import apply_edits, with_target_offsets
 
+FAR, LINES, DOCS = 1 << 62, 1 << 24, 1 << 38
+
+
+def sample_id(doc: Column, line: Column) -> Column:
+    """An id no other line has; documents or lines beyond what the ids can hold are an error."""
+    fits = (doc >= 0) & (doc < DOCS) & (line < LINES)
+    far = F.when(fits, F.lit(FAR) + doc * LINES + line).otherwise(F.raise_error(F.lit("no sample id for this document or line")).cast("long"))
+    return F.when(line < 1000, doc * 1000 + line).otherwise(far)
+
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     line = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
     src = line.select("doc_id", "line", F.filter(F.split("s", " "), lambda t: t != "").alias("src_tokens")).where("size(src_tokens) between 3 and 40")
-    src = src.withColumns({"system_id": F.lit("sys"), "sample_id": F.col("doc_id") * 1000 + F.col("line")})
+    src = src.withColumns({"system_id": F.lit("sys"), "sample_id": sample_id(F.col("doc_id"), F.col("line"))})
     samples = src.select(*KEYS, "src_tokens")
     sides = F.when(F.col("sample_id") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
     named = lambda d: d.withColumns({"side": F.when(F.col("k") == 0, "hyp").otherwise("ref"), "target_id": F.greatest(F.col("k") - 1, F.lit(0)).cast("int")})
