@@ -21,10 +21,17 @@ SLICE_CHARS = 1 << 20
 FILTER_BITS = 1 << 24
 
 
+#: Added by ``keyed``: the id where ids are unique, else a struct that tells rows with one id apart.
+KEY = "__corrigenda_key"
+_written: list[str] | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else (tests only) a new local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; in local mode, where it is unset, a new local one."""
     set_by = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_by:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         set_by = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(set_by)
     return set_by.rstrip("/")
@@ -35,9 +42,46 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written is not None:
+        _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what ``cut`` has written inside: the paths in the list it gives, unless taken out."""
+    global _written
+    outer, _written = _written, []
+    try:
+        yield _written
+    finally:
+        gone, _written = _written, outer
+        for path in gone:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def keyed(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with KEY, which is unique, and ordered by id; rows without an id come last.
+
+    Where ids are unique and not null, which one narrow aggregation finds out, KEY is the id.
+    Otherwise it is a struct; rows with a repeated id or none are written once, with a number each,
+    so that every one of them is a document of its own, in the order in which Spark reads them.
+    """
+    again = cut(docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1)).select(F.col(id_col).alias("__corrigenda_odd")), "repeated-ids")
+    if again.isEmpty():
+        return docs.withColumn(KEY, F.col(id_col))
+    test = id_filter(again.dropna(), "__corrigenda_odd")
+    same = F.col(id_col) == F.col("__corrigenda_odd")
+    likely, none = docs.where(F.col(id_col).isNotNull() & test(id_col)), docs.where(F.col(id_col).isNull())
+    odd = none.unionByName(likely.join(again.dropna(), same, "left_semi"))
+    odd = cut(odd.withColumn("__corrigenda_no", F.monotonically_increasing_id() + 1), "repeated-rows")
+    plain = docs.where(F.col(id_col).isNotNull() & ~test(id_col)).unionByName(likely.join(again.dropna(), same, "left_anti"))
+    both = plain.withColumn("__corrigenda_no", F.lit(0).cast("long")).unionByName(odd)
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__corrigenda_no").alias("no"))
+    return both.withColumn(KEY, key).drop("__corrigenda_no")
+
+
 def map_batches(
     df: DataFrame, columns: list[str], schema: T.StructType, fn: Callable[..., Iterator[dict]]
 ) -> DataFrame:
@@ -96,7 +140,7 @@ def id_filter(ids: DataFrame, column: str) -> Callable[[str], F.Column]:
     Never false for an id that is there; a false alarm costs work, not results. 2 MiB travel to the
     driver and back, at any size of ``ids``; when it fills up it merely stops saving a shuffle.
     """
-    slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
+    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
     words = (
         ids.select(slot.alias("s"))
         .groupBy(F.floor(F.col("s") / 64).cast("int").alias("w"))
@@ -114,12 +158,12 @@ def id_filter(ids: DataFrame, column: str) -> Callable[[str], F.Column]:
 
         return pd.Series((shared.value[v >> 6] >> (v & 63).astype(np.uint64)) & np.uint64(1) == 1)
 
-    return lambda name: hit(F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(FILTER_BITS)))
+    return lambda name: hit(F.pmod(F.xxhash64(F.col(name)), F.lit(FILTER_BITS)))
 
 
-def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the ids in ``gone`` (one column, no nulls); only likely hits are shuffled."""
+def without_keys(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` (with KEY) without the keys in ``gone`` (one column); only likely hits are shuffled. KEY goes."""
     ids = cut(gone.toDF("__corrigenda_gone").distinct(), "gone-ids")
     test = id_filter(ids, "__corrigenda_gone")
-    hit = docs.where(test(id_col)).join(ids, F.col(id_col) == F.col("__corrigenda_gone"), "left_anti")
-    return docs.where(~test(id_col)).unionByName(hit)
+    hit = docs.where(test(KEY)).join(ids, F.col(KEY) == F.col("__corrigenda_gone"), "left_anti")
+    return docs.where(~test(KEY)).unionByName(hit).drop(KEY)

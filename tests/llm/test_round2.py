@@ -38,10 +38,10 @@ def test_near_copies_at_similarity(spark):
     assert corpus_pipeline.simhash_near_dedup(spark, docs.limit(0), "").count() == 0
 
 
-def _spans(spark, texts):
+def _spans(spark, texts, **how):
     from corrigenda.llm import spans
 
-    got = spans.dedup_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    got = spans.dedup_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), **how)
     return [r.text for r in sorted(got.collect(), key=lambda r: r.doc_id)]
 
 
@@ -55,7 +55,7 @@ def test_short_and_ragged_passages_go(spark):
         "Begin of one " + ragged + " and its end here.", "Other begin " + ragged + " other tail.",
         small, "Mine first. " + small + " Mine last.", "甲" + dense + "乙", "丙" + dense + "丁", own + " mid " + own + " end",
     ]
-    got = _spans(spark, texts)
+    got = _spans(spark, texts, run=2)
     assert got[0] == texts[0] and got[1] == "Other begin other tail."
     assert got[2] == small and got[3] == "Mine first. Mine last."
     assert got[4] == texts[4] and got[5] == "丙丁" and got[6] == own + " mid end"
