@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corrigenda.llm.common import cut, field_of, map_batches, without_ids
+from corrigenda.llm.common import KEY, cut, field_of, keyed, map_batches, without_keys
 from corrigenda.llm.components import components
 
 SEED = 42
 #: Fingerprints a shard is meant to hold, the most shards of a tree, and fingerprints drawn per
-#: shard to place the vantage points (so at most MAX_SHARDS * PER_SHARD reach the driver).
-SHARD_ROWS, MAX_SHARDS, PER_SHARD = 2_048, 1_024, 32
+#: shard to place the vantage points (so at most MAX_SHARDS * PER_SHARD, 2 MB, reach the driver).
+SHARD_ROWS, MAX_SHARDS, PER_SHARD = 8_192, 8_192, 32
 #: A shard above this many rows is dealt to several tasks, rows against rows.
-TASK_ROWS = 16_384
+TASK_ROWS = 131_072
+#: Inside a task, a tree of its own parts the shard down to leaves of about so many rows.
+LEAF_ROWS = 512
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -97,13 +99,31 @@ class VantageTree:
                     todo.append((kid, rows[reach], (home & mine)[reach]))
 
 
-def _stars(fps: np.ndarray, home: np.ndarray, distance: int, block: int = 512) -> np.ndarray:
-    """Row -> smallest row of its component, from all pairs (a home row, any row) within the distance."""
-    root = np.arange(len(fps))
-    at = np.flatnonzero(home)
-    for lo in range(0, len(fps), block):
-        i, j = np.nonzero(np.bitwise_count(fps[lo : lo + block, None] ^ fps[None, at]) <= distance)
-        i, j = i + lo, at[j]
+def _near_in_shard(fps: np.ndarray, half: np.ndarray, home: np.ndarray, distance: int, radius: int, leaf_rows: int = LEAF_ROWS) -> np.ndarray:
+    """Row -> smallest row of its component, from the pairs (a home row, any row) of a shard within the distance.
+
+    A tree over the home rows' halves parts them into leaves; every row is searched in the leaves
+    that its ball of ``radius`` reaches, and compared there on all 64 bits.
+    """
+    root, own = np.arange(len(fps)), np.flatnonzero(home)
+    if not len(own):
+        return root
+    rng = np.random.default_rng(len(own))
+    tree = VantageTree(half[own] if len(own) <= 1 << 17 else half[rng.choice(own, 1 << 17, replace=False)], max(1, len(own) // leaf_rows), rng)
+    living = {leaf: own[mine] for leaf, mine, _ in tree.route(half[own], 0)}
+    for leaf, mine, others in tree.route(half, radius):
+        at, rows = living.get(leaf, own[:0]), np.concatenate([mine, others])
+        if len(at):
+            _link(root, fps, rows, at, distance)
+    return root
+
+
+def _link(root: np.ndarray, fps: np.ndarray, rows: np.ndarray, at: np.ndarray, distance: int) -> None:
+    """Joins in ``root`` all pairs of a row of ``rows`` and one of ``at`` within the distance, in blocks."""
+    block = max(1, (1 << 18) // len(at))
+    for lo in range(0, len(rows), block):
+        i, j = np.nonzero(np.bitwise_count(fps[rows[lo : lo + block], None] ^ fps[None, at]) <= distance)
+        i, j = rows[lo + i], at[j]
         while True:
             a, b = root[i], root[j]
             live = a != b
@@ -112,8 +132,7 @@ def _stars(fps: np.ndarray, home: np.ndarray, distance: int, block: int = 512) -
             i, j, a, b = i[live], j[live], a[live], b[live]
             np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
             while (up := root[root]).tolist() != root.tolist():
-                root = up
-    return root
+                root[:] = up
 
 
 def near_edges(nodes: DataFrame, distance: int = 3, node_col: str = "node", fp_col: str = "fp", seed: int = SEED) -> DataFrame:
@@ -164,7 +183,9 @@ def near_edges(nodes: DataFrame, distance: int = 3, node_col: str = "node", fp_c
 
         pdf = pdf.sort_values("node", kind="stable")
         node = pdf["node"].to_numpy()
-        root = _stars(pdf["fp"].to_numpy().view(np.uint64), pdf["home"].to_numpy(), distance)
+        bits = pdf["fp"].to_numpy().view(np.uint64)
+        half = ((bits >> np.uint64(32 * int(pdf["tree"].iloc[0]))) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        root = _near_in_shard(bits, half, pdf["home"].to_numpy(), distance, radius)
         live = node[root] != node
         return pd.DataFrame({"u": node[live], "v": node[root][live]})
 
@@ -189,9 +210,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """Rows of ``docs`` that are the smallest id of their group; all columns stay.
+    """Rows of ``docs`` that are the first of their group; all columns stay.
 
-    Rows with a null id cannot be ranked and stay. Of repeated ids all rows stay or go together.
+    The first is the one with the smallest id. Rows that share an id, or have none, are documents of
+    their own: behind one another, those without an id behind all others.
     """
-    got = near_duplicates(docs, id_col, text_col, shingle, distance)
-    return without_ids(docs, got.where(F.col(id_col) > F.col("component_id")).select(id_col), id_col)
+    rows = keyed(docs, id_col)
+    marks = cut(fingerprints(rows, KEY, text_col, shingle), "fingerprints")
+    nodes = cut(marks.groupBy("fp").agg(F.min(KEY).alias("low")), "fp-nodes")
+    linked = components(near_edges(nodes, distance, "fp")).toDF("n", "c")
+    of = cut(nodes.join(linked, F.col("fp") == F.col("n"), "left").select("fp", "low", F.coalesce("c", "fp").alias("c")), "fp-groups")
+    first = of.groupBy("c").agg(F.min("low").alias("first")).withColumnRenamed("c", "fc")
+    named = of.join(first, F.col("c") == F.col("fc")).select(F.col("fp").alias("nfp"), "first")
+    return without_keys(rows, marks.join(named, F.col("fp") == F.col("nfp")).where(F.col(KEY) > F.col("first")).select(KEY))
