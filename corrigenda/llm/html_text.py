@@ -47,17 +47,43 @@ _WORD = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("attrs", "chars", "density", "items", "link_chars", "link_tags", "parent", "tag", "tags", "total")
+    __slots__ = ("attrs", "chars", "density", "items", "link_chars", "link_tags", "noise", "parent", "tag", "tags", "total")
 
     def __init__(self, tag: str, parent: "Node | None", attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.items: list["Node | str"] = []
 
 
+#: Elements that an inline end tag does not close.
+_SCOPES = ("article", "main", "section", "body", "td")
+_P_STOPS = ("button", "table", "td", "th", "div", "article", "section", "main", "body", "blockquote", "li")
+
+
+class _Open:
+    """The open elements, with the depths at which each tag is open, so that no end tag walks them."""
+
+    def __init__(self, root: "Node"):
+        self.nodes = [root]
+        self.depths: dict[str, list[int]] = {}
+
+    def push(self, node: "Node") -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tags) -> int:
+        """Depth of the innermost open element among ``tags``; 0 if there is none."""
+        return max([d[-1] for t in tags if (d := self.depths.get(t))], default=0)
+
+    def close(self, depth: int) -> None:
+        """Closes the element at ``depth`` and all within."""
+        while len(self.nodes) > depth:
+            self.depths[self.nodes.pop().tag].pop()
+
+
 def parse(html: str) -> Node:
-    """A forgiving tree: void and raw elements, implied end tags, stray end tags ignored."""
+    """A forgiving tree: void and raw elements, implied end tags, stray end tags ignored. Linear in the page."""
     root = Node("html", None)
-    at, pos = root, 0
+    opened, pos = _Open(root), 0
     # behind the last ">" there is no markup to find; an unfinished tag there is dropped
     last = html.rfind(">") + 1
     cut = _UNFINISHED.search(html, last)
@@ -66,40 +92,34 @@ def parse(html: str) -> Node:
         if m.start() < pos:
             continue
         if m.start() > pos:
-            at.items.append(html[pos : m.start()])
+            opened.nodes[-1].items.append(html[pos : m.start()])
         pos = m.end()
         close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             continue
         tag = tag.lower()
         if close:
-            up = at
-            while up is not None and up.tag != tag:
-                up = up.parent if not (tag not in BLOCK and up.tag in ("article", "main", "section", "body", "td")) else None
-            if up is not None and up.parent is not None:
-                at = up.parent
+            at = opened.last((tag,))
+            if at and (tag in BLOCK or at > opened.last(_SCOPES) or tag in _SCOPES):
+                opened.close(at)
             continue
-        if tag in ("html", "body") and at is root and tag == "html":
+        if tag == "html" and len(opened.nodes) == 1:
             continue
-        if tag in _P_CLOSERS or tag in _CLOSES:
-            kinds, stops = _CLOSES.get(tag, ({"p"}, set()))
-            if tag in _P_CLOSERS:
-                kinds, stops = kinds | {"p"}, stops | {"button", "table", "td", "th", "div", "article", "section", "main", "body", "blockquote", "li"}
-            up = at
-            while up is not None and up.tag not in stops:
-                if up.tag in kinds:
-                    at = up.parent or root
-                    break
-                up = up.parent
-        node = Node(tag, at, attrs)
-        at.items.append(node)
+        if tag in _P_CLOSERS and (at := opened.last(("p",))) > opened.last(_P_STOPS):
+            opened.close(at)
+        if tag in _CLOSES:
+            kinds, stops = _CLOSES[tag]
+            if (at := opened.last(kinds)) > opened.last(stops):
+                opened.close(at)
+        node = Node(tag, opened.nodes[-1], attrs)
+        opened.nodes[-1].items.append(node)
         if tag in RAW or tag == "title":
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(html, pos)
             pos = end.end() if end else len(html)
         elif tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK and tag not in ("a", "b", "i", "span")):
-            at = node
+            opened.push(node)
     if pos < len(html):
-        at.items.append(html[pos:])
+        opened.nodes[-1].items.append(html[pos:])
     return root
 
 
@@ -125,27 +145,30 @@ def _is_noise(n: Node, in_article: bool) -> bool:
     return False
 
 
-def _measure(n: Node, in_link: bool, in_article: bool) -> None:
-    """Prune noise, then count characters, tags, link characters and link tags below every node."""
-    stack = [(n, in_link, in_article, False)]
+def _measure(body: Node) -> list[Node]:
+    """Every node's characters, tags, link characters and link tags below, its link-adjusted density
+    and the sum of its children's; returns the nodes in page order.
+
+    Only what is no text at all (scripts, styles) does not count. ``noise`` marks what the page itself
+    says is no main text; it is measured like all else, but adds nothing to its parent's sum.
+    """
     order: list[Node] = []
+    stack = [(body, False, False, False)]
     while stack:
-        x, link, art, _ = stack.pop()
+        x, link, art, noise = stack.pop()
         order.append(x)
-        x.chars = x.link_chars = x.tags = x.link_tags = 0
         art = art or x.tag in ("article", "main")
         link = link or x.tag == "a"
-        kept: list[Node | str] = []
-        for i in x.items:
+        x.noise = noise or (x is not body and _is_noise(x, art))
+        x.chars = x.link_chars = x.tags = x.link_tags = 0
+        x.items = [i for i in x.items if isinstance(i, str) or i.tag not in RAW]
+        for i in reversed(x.items):
             if isinstance(i, str):
                 k = len("".join(i.split()))
                 x.chars += k
                 x.link_chars += k * link
-                kept.append(i)
-            elif not _is_noise(i, art):
-                kept.append(i)
-                stack.append((i, link, art, False))
-        x.items = kept
+            else:
+                stack.append((i, link, art, x.noise))
     for x in reversed(order):
         for i in x.items:
             if isinstance(i, Node):
@@ -153,41 +176,43 @@ def _measure(n: Node, in_link: bool, in_article: bool) -> None:
                 x.link_chars += i.link_chars
                 x.tags += i.tags + 1
                 x.link_tags += i.link_tags + (i.tag == "a")
-    top = order[0]
-    share = top.link_chars / max(top.chars, 1)
+    share = body.link_chars / max(body.chars, 1)
     for x in reversed(order):
-        c, t, lc, lt = x.chars, max(x.tags, 1), max(x.link_chars, 1), max(x.link_tags, 1)
-        x.density = c / t
-        if top.link_chars and c:  # damped where links carry the characters
-            base = math.log(c / max(c - x.link_chars, 1) * x.link_chars + share * c + math.e)
-            x.density *= max(0.0, math.log(c / lc * t / lt)) / math.log(base)
-        x.total = sum(i.density for i in x.items if isinstance(i, Node))
+        x.density = density(x.chars, x.tags, x.link_chars, x.link_tags, share)
+        x.total = sum(i.density for i in x.items if isinstance(i, Node) and not i.noise)
+    return order
+
 
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Characters per tag, damped where links carry them; ``share`` is that of link characters in the body."""
+    if not chars:
+        return 0.0
+    t, lc, lt = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + share * chars + math.e)
+    return chars / t * max(0.0, math.log(chars / lc * t / lt)) / base
 
-def _select(root: Node) -> list[Node]:
+
+def _select(body: Node, nodes: list[Node]) -> list[Node]:
     """The subtree with the largest sum of child densities, and what stands beside the path from it
-    to the body and is at least as dense as the least dense node on that path."""
-    nodes, stack = [], [root]
-    while stack:
-        x = stack.pop()
-        nodes.append(x)
-        stack += [i for i in x.items if isinstance(i, Node)]
-    best = max(nodes, key=lambda x: (x.total, x.chars))
+    to the body and is at least as dense as the least dense node on that path.
+
+    Of equal sums the one with more characters wins, then the first in page order.
+    """
+    best = body
+    for x in nodes:
+        if not x.noise and (x.total, x.chars) > (best.total, best.chars):
+            best = x
+    while best is not body and best.tag not in BLOCK:  # an inline element is no subtree of blocks
+        best = best.parent
     path = [best]
-    while path[-1].parent is not None and path[-1] is not root:
+    while path[-1] is not body:
         path.append(path[-1].parent)
-    inside = [x for x in path if x.tag in ("article", "main")]
-    if inside:  # the page itself says where the article begins and ends
-        return [inside[-1]]
     least = min(x.density for x in path)
-    while len(path) > 1 and best.tag not in BLOCK:  # an inline element is no subtree of blocks
-        best = path[1]
-        path.pop(0)
     on_path = set(map(id, path))
     out = [best]
     for up in path[1:]:
         for i in up.items:
-            if isinstance(i, Node) and id(i) not in on_path and i.chars and 3 * i.link_chars <= i.chars:
+            if isinstance(i, Node) and id(i) not in on_path and not i.noise and i.chars and 3 * i.link_chars <= i.chars:
                 # titles are short, and so may be the neighbours of the subtree's own blocks
                 if i.density >= least or i.tag in _HEADS or (up is path[1] and i.tag in _PROSE):
                     out.append(i)
@@ -214,6 +239,8 @@ def _blocks(n: Node, keep: set[int] | None) -> list[str]:
             if on:
                 now.append(x)
         else:
+            if x.noise:
+                continue
             on = on or id(x) in keep  # type: ignore[operator]
             block = x.tag in BLOCK
             if block:
@@ -232,16 +259,16 @@ def main_text(html: str | None) -> str:
         return ""
     root = parse(html)
     body = next((i for i in root.items if isinstance(i, Node) and i.tag == "body"), root)
-    _measure(body, False, False)
-    chosen = _select(body)
+    chosen = _select(body, _measure(body))
     return "\n".join(_blocks(body, set(map(id, chosen))))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id, url, text, n_chars`` of every row, in one pass without a shuffle.
 
-    Null html is empty and gives an empty text; null or repeated ids and urls keep their rows; pages
-    are read whole, however long. Text that cannot be parsed as markup is the text of the body.
+    Null html is empty and gives an empty text; null or repeated ids and urls keep their rows; an
+    empty table stays empty; pages are read whole, in time linear in their length. Text that cannot
+    be parsed as markup is the text of the body.
     """
     schema = T.StructType([field_of(pages, id_col), field_of(pages, url_col), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
