@@ -15,12 +15,10 @@ from corrigenda.llm.common import cut, field_of, map_batches
 from corrigenda.llm.tokens import encoder
 
 CAPACITY = 2048
-#: Pieces a shard packs together; shards of the second round, which packs what the first left loose.
-SHARD_PIECES, MERGE_SHARDS = 4_096, 64
+#: Pieces a shard packs together, in either round.
+SHARD_PIECES = 4_096
 #: Sequences filled less than this go to the second round.
 LOOSE = 0.99
-#: Exchanges made in a shard at most.
-MAX_MOVES = 2_000
 
 
 def cut_points(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -77,65 +75,102 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return [b for bins in by_room.values() for b in bins]
 
 
+class _Bins:
+    """Underfull bins, and a table of what each could give: single items and pairs, by size."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.bins, self.lengths, self.capacity = bins, lengths, capacity
+        self.fill = [sum(lengths[i] for i in b) for b in bins]
+        self.holders: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.sizes = 0  # bit s: some bin in the table has an item, or a pair, of size s
+
+    def offers(self, k: int) -> dict[int, tuple[int, ...]]:
+        """Size -> items, of every single item and every pair of bin k."""
+        own, n = self.bins[k], self.lengths
+        out = {n[i] + n[j]: (i, j) for x, i in enumerate(own) for j in own[x + 1 :]}
+        out.update((n[i], (i,)) for i in own)
+        return out
+
+    def enter(self, k: int) -> None:
+        for s in self.offers(k):
+            self.holders[s].add(k)
+            self.sizes |= 1 << s
+
+    def leave(self, k: int) -> None:
+        for s in self.offers(k):
+            self.holders[s].discard(k)
+            if not self.holders[s]:
+                self.sizes &= ~(1 << s)
+
+    def exchange(self, k: int, a: int, back: tuple[int, ...], out: tuple[int, ...]) -> None:
+        gain = sum(self.lengths[i] for i in out) - sum(self.lengths[i] for i in back)
+        self.bins[k] = [i for i in self.bins[k] if i not in back] + list(out)
+        self.bins[a] = [i for i in self.bins[a] if i not in out] + list(back)
+        self.fill[k] += gain
+        self.fill[a] -= gain
+
+    def best_gain(self, k: int) -> tuple[int, tuple[int, ...], int]:
+        """(gain, what bin k gives back, size it takes) of the exchange with a bin in the table that fills k most."""
+        free, best = self.capacity - self.fill[k], (0, (), 0)
+        for given, back in [(0, ()), *self.offers(k).items()]:
+            reach = self.sizes & ((1 << (given + free + 1)) - 1)
+            size = reach.bit_length() - 1
+            while size - given > best[0] and len(back) == 2 and not any(len(self.offers(a)[size]) == 1 for a in self.holders[size]):
+                reach &= (1 << size) - 1  # two go only for one
+                size = reach.bit_length() - 1
+            if size - given > best[0]:
+                best = (size - given, back, size)
+                if best[0] == free:
+                    break
+        return best
+
+
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Empty underfull bins: move an item, swap one for one, or two for one, into fuller bins.
+    """Empty underfull bins: move an item, or exchange one for one, two for one or one for two.
 
-    Each step takes the exchange that adds most to a fuller bin, so the sum of squared fills rises
-    and the search ends. It works on the emptiest bin until that is empty or nothing improves, and
-    stops as soon as the total leaves no bin to save.
+    The fullest underfull bin takes, from bins that are no fuller, what fills it most, until nothing
+    does; then the next. An exchange into a bin at least as full raises the sum of squared fills, so the
+    search ends: when no exchange is left in a whole pass over the underfull bins, or when the total
+    length leaves no bin to save. After a pass with an exchange all bins are tried again.
     """
-    bins = [list(b) for b in bins if b]
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    total = sum(fill)
-    moves, stuck = 0, set()
-    while sum(1 for b in bins if b) > max(1, -(-total // capacity)) and moves < MAX_MOVES:
-        loose = [k for k, b in enumerate(bins) if b and k not in stuck and fill[k] < capacity]
-        if not loose:
-            break
-        a = min(loose, key=lambda k: (fill[k], k))
-        others = [k for k, b in enumerate(bins) if b and k != a and fill[k] < capacity]
-        room = sum(capacity - fill[k] for k in others)
-        if room < fill[a]:
-            stuck.add(a)
-            if len(stuck) > 8:
-                break
-            continue
-        moves += 1
-        best = (0, None, (), ())
-        pool = [(i,) for i in bins[a]] + [(i, j) for x, i in enumerate(bins[a]) for j in bins[a][x + 1 :]]
-        give = sorted(((sum(lengths[i] for i in t), t) for t in pool), key=lambda x: -x[0])
-        for k in others:
-            free = capacity - fill[k]
-            if fill[k] < fill[a] or best[0] >= free:
+    t = _Bins([list(b) for b in bins if b], lengths, capacity)
+    least = max(1, -(-sum(t.fill) // capacity))
+    moved = True
+    while moved and sum(1 for b in t.bins if b) > least:
+        moved = False
+        order = sorted((k for k, b in enumerate(t.bins) if b and t.fill[k] < capacity), key=lambda k: (-t.fill[k], k))
+        for k in order:
+            t.enter(k)
+        for k in order:
+            t.leave(k)  # those behind are no fuller: they only lose while this one gains
+            if not t.bins[k]:
                 continue
-            for size, t in give:
-                if len(t) == 1 and size <= free and size > best[0]:
-                    best = (size, k, t, ())
-                for j in bins[k]:
-                    gain = size - lengths[j]
-                    if best[0] < gain <= free:
-                        best = (gain, k, t, (j,))
-        gain, k, out, back = best
-        if k is None:
-            stuck.add(a)
-            continue
-        bins[a] = [i for i in bins[a] if i not in out] + list(back)
-        bins[k] = [i for i in bins[k] if i not in back] + list(out)
-        fill[a] -= gain
-        fill[k] += gain
-    return [b for b in bins if b]
-
-
-def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+            while t.fill[k] < capacity:
+                gain, back, size = t.best_gain(k)
+                if not gain:
+                    break
+                a = max((a for a in t.holders[size] if len(back) < 2 or len(t.offers(a)[size]) == 1), key=lambda a: (-t.fill[a], a))
+                if t.fill[k] + gain <= t.fill[a]:
+                    break
+                t.leave(a)
+                t.exchange(k, a, back, t.offers(a)[size])
+                t.enter(a)
+                moved = True
+    return [b for b in t.bins if b]
+
+
+def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Adds ``sequence_id, offset`` to ``pieces``; sequences hold at most ``capacity`` tokens, without gaps.
 
     Pieces are dealt by hash to shards of about SHARD_PIECES rows, each packed by best fit and local
-    search in one task; what remains in loosely filled sequences (one or two a shard) is packed once
-    more in MERGE_SHARDS times fewer shards. No row is dropped, and no task grows with the input.
+    search in one task; what remains in loosely filled sequences (few a shard, unless the lengths
+    pack badly) is dealt and packed once more. No row is dropped, and no task grows with the input.
+    Null and repeated ids keep their rows; equal lengths are taken in the order of ids; an empty table
+    stays empty.
     """
     rows = cut(pieces, "pieces")
     n = rows.count()
-    shards = max(1, n // SHARD_PIECES)
+    shards = max(1, n // shard_pieces)
     out_schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("_fill", T.LongType())])
 
     def packer(round_no: int):
@@ -156,6 +191,9 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) ->
     shard = F.pmod(F.xxhash64(*[c for c in rows.columns]), F.lit(shards)).cast("int")
     first = cut(rows.withColumn("_shard", shard).groupBy("_shard").applyInPandas(packer(0), out_schema), "packed")
     loose = F.col("_fill") < int(LOOSE * capacity)
-    again = first.where(loose).withColumn("_shard", (F.shiftright("sequence_id", 24) % max(1, shards // MERGE_SHARDS)).cast("int"))
-    second = again.drop("sequence_id", "offset", "_fill").groupBy("_shard").applyInPandas(packer(1), out_schema)
+    again = first.where(loose).drop("sequence_id", "offset", "_fill")
+    left = max(1, again.count() // shard_pieces)
+    # loose sequences of one shard would only come together as they were: deal their pieces anew
+    deal = F.pmod(F.xxhash64(*rows.columns, F.lit(1)), F.lit(left)).cast("int")
+    second = again.withColumn("_shard", deal).groupBy("_shard").applyInPandas(packer(1), out_schema)
     return first.where(~loose).unionByName(second).drop("_fill")
