@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,9 @@ from corrigenda.llm.common import field_of
 
 #: Minimum hashes of a fingerprint.
 SIGNATURE = 64
-#: Ranges of ids dealt to each shuffle partition, so that long texts even out.
-RANGES_PER_PARTITION = 16
+#: Bytes of text a shuffle partition is meant to hold; the most partitions there are; ranges of
+#: rows dealt to each, so that long texts even out; rows drawn per range to place the borders.
+PARTITION_BYTES, MAX_PARTITIONS, RANGES_PER_PARTITION, DRAWN = 32 << 20, 20_000, 16, 12
 
 
 class Parse:
@@ -101,46 +103,50 @@ def hex_signature(sig: np.ndarray) -> str:
     return sig.astype(">u8").tobytes().hex()
 
 
-def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIGNATURE) -> DataFrame:
+def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIGNATURE, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """Every text against its edited text and against the next document (descending id; after the last, the first).
 
     Returns ``id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
-    The ids are cut into ranges by quantiles; each text is shuffled once, to its range, and read in
-    order there. The first document of a range also goes to the range before it as a guest, so that
-    no window over all rows is needed. Null text is empty. Repeated ids are ordered by text; rows
-    with a null id come last, by text. A single document is its own next.
+    Rows are ordered by id, those with one id or none by a hash of their text, and cut into ranges at
+    the quantiles of a bounded sample of ids and hashes; each text is shuffled once, to its range, and
+    read in order there. The first document of a range also goes to the range before it as a guest, so
+    that no window over all rows is needed. Partitions follow the size of the texts. Null text is
+    empty; rows with a null id come last; equal rows follow one another and are parsed once. A single
+    document is its own next; an empty table stays empty.
     """
     spark = docs.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumn("_h", F.xxhash64("_t"))
+    n, held_bytes = base.agg(F.count("*"), F.sum(F.octet_length("_t"))).first()
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_PARTITIONS, (held_bytes or 0) // partition_bytes))
     n_ranges = n_parts * RANGES_PER_PARTITION
-    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    marks = base.agg(F.percentile_approx(F.col("_id").cast("double"), [i / n_ranges for i in range(1, n_ranges)], 10 * n_ranges)).first()[0] or []
-    edges = np.unique(np.array(marks, float))  # range k: ids above edges[-1 - k]; range 0 has the largest
-    nothing = len(edges) + 1  # rows without an id come last, in a range of their own
-
-    def range_of(ids):
-        x = ids.to_numpy(dtype=float, na_value=np.nan)
-        return np.where(np.isnan(x), nothing, len(edges) - np.searchsorted(edges, x, "left"))
+    place = F.struct(F.col("_id").isNull().alias("none"), F.coalesce(-F.col("_id").cast("long"), F.lit(0)).alias("id"), F.col("_h").alias("h"))
+    drawn = base.sample(False, min(1.0, DRAWN * n_ranges / max(1, n)), 7).select(place.alias("p")).select("p.*").toPandas()
+    drawn = sorted(zip(drawn["none"].tolist(), drawn["id"].tolist(), drawn["h"].tolist()))
+    borders = sorted({drawn[len(drawn) * k // n_ranges] for k in range(1, n_ranges)}) if drawn else []
 
     @F.pandas_udf("int")
-    def find(ids: pd.Series) -> pd.Series:
-        return pd.Series(range_of(ids))
+    def find(p: pd.DataFrame) -> pd.Series:
+        return pd.Series([bisect_right(borders, x) for x in zip(p["none"].tolist(), p["id"].tolist(), p["h"].tolist())], dtype="int32")
 
-    tops = base.select("_id", find(F.col("_id").cast("double")).alias("b")).groupBy("b").agg(F.max("_id").alias("top")).toPandas()
+    tops = base.select(place.alias("p")).withColumn("b", find("p")).groupBy("b").agg(F.min("p").alias("p")).select("b", "p.*").toPandas()
     order = sorted(tops["b"].tolist())
     before = dict(zip(order, [order[-1], *order[:-1]])) if order else {}  # the first range is also the guest of the last
-    top = dict(zip(tops["b"], tops["top"].astype(float)))
+    top = dict(zip(tops["b"], zip(tops["none"].tolist(), tops["id"].tolist(), tops["h"].tolist())))
 
     @F.pandas_udf("array<int>")
-    def places(ids: pd.Series) -> pd.Series:
-        x = ids.to_numpy(dtype=float, na_value=np.nan)
-        return pd.Series([[b, -1 - before[b]] if b == nothing or v == top[b] else [b] for v, b in zip(x.tolist(), range_of(ids).tolist())])
+    def places(p: pd.DataFrame) -> pd.Series:
+        out = []
+        for x in zip(p["none"].tolist(), p["id"].tolist(), p["h"].tolist()):
+            b = bisect_right(borders, x)
+            out.append([b, -1 - before[b]] if x == top[b] else [b])
+        return pd.Series(out)
 
     dealt = (
-        base.withColumn("_p", F.explode(places(F.col("_id").cast("double"))))
-        .select("_id", "_t", F.when(F.col("_p") < 0, -1 - F.col("_p")).otherwise(F.col("_p")).alias("_b"), (F.col("_p") < 0).alias("_g"))
+        base.withColumn("_p", F.explode(places(place)))
+        .select("_id", "_t", "_h", F.when(F.col("_p") < 0, -1 - F.col("_p")).otherwise(F.col("_p")).alias("_b"), (F.col("_p") < 0).alias("_g"))
         .repartition(n_parts, "_b")
-        .sortWithinPartitions(F.col("_b"), F.col("_g"), F.col("_id").desc_nulls_last(), F.col("_t"))
+        .sortWithinPartitions(F.col("_b"), F.col("_g"), F.col("_id").desc_nulls_last(), F.col("_h"), F.col("_t"))
+        .select("_id", "_t", "_b", "_g")
     )
     schema = T.StructType([
         field_of(docs, id_col), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
@@ -158,6 +164,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         waiting = None  # (sig, row) whose near_next is open
         rows: list[tuple] = []
         done_bucket = None
+        known = None  # ((text, tail), fingerprints) of the document before: equal rows follow one another
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
@@ -165,7 +172,9 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     if held is not None and held[0] == b:
                         keep = len(held[2]) - len(held[2]) // 3
                         tail = t[: len(held[2]) // 3]
-                        own, edit = fingerprint_with_edit(held[2], keep, tail, size)
+                        if known is None or known[0] != (held[2], tail):
+                            known = ((held[2], tail), fingerprint_with_edit(held[2], keep, tail, size))
+                        own, edit = known[1]
                         if waiting is not None:
                             rows.append((*waiting[1], likeness(waiting[0], own, size)))
                         sha = hashlib.sha256((held[2][:keep] + tail).encode()).hexdigest()
