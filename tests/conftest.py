@@ -13,7 +13,7 @@ def spark():
 
     s = (
         SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-shared-")).config("spark.local.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
