@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrigenda.model import KEYS
+from corrigenda.operators.grouped import mapped
 
 ORDER = 4
 
@@ -22,26 +25,25 @@ def ngram_counts(df: DataFrame, keys: list[str], tokens: str, order: int = ORDER
     return e.groupBy(*keys, "n", "gram").agg(F.count("*").alias("c"))
 
 
-def gleu_parts(samples: DataFrame, targets: DataFrame, order: int = ORDER) -> DataFrame:
-    """Per (sample, reference, n): clipped overlap with the reference, less that with grams only the source has."""
-    hyp = targets.where("side = 'hyp'").select(*KEYS, F.col("tgt_tokens").alias("t"))
-    ref = targets.where("side = 'ref'").select(*KEYS, F.col("target_id").alias("ref_id"), F.col("tgt_tokens").alias("t"))
-    h = ngram_counts(hyp, KEYS, "t", order).withColumnRenamed("c", "h")
-    s = ngram_counts(samples, KEYS, "src_tokens", order).withColumnRenamed("c", "s")
-    r = ngram_counts(ref, [*KEYS, "ref_id"], "t", order).withColumnRenamed("c", "r")
-    grams = [*KEYS, "n", "gram"]
-    # every reference against the grams of hypothesis and source: one full table per sample
-    base = h.join(s, grams, "left").join(ref.select(*KEYS, "ref_id"), KEYS).join(r, [*grams, "ref_id"], "left")
-    num = base.groupBy(*KEYS, "ref_id", "n").agg(
-        F.sum(F.when(F.col("r").isNotNull(), F.least("h", "r")).when(F.col("s").isNotNull(), -F.least("h", "s")).otherwise(0)).alias("x")
-    )
-    grid = ref.select(*KEYS, "ref_id", F.size("t").alias("ref_len")).join(hyp.select(*KEYS, F.size("t").alias("hyp_len")), KEYS)
-    grid = grid.withColumn("n", F.explode(F.array(*[F.lit(n) for n in range(1, order + 1)])))
-    out = grid.join(num, [*KEYS, "ref_id", "n"], "left")
-    return out.select(
-        *KEYS, "ref_id", "n", F.greatest(F.coalesce("x", F.lit(0)), F.lit(0)).cast("bigint").alias("numerator"),
-        F.greatest(F.col("hyp_len") + 1 - F.col("n"), F.lit(0)).cast("bigint").alias("denominator"), "hyp_len", "ref_len",
-    )
+def gleu_parts(g: DataFrame, order: int = ORDER) -> DataFrame:
+    """Per (sample, reference, n): clipped overlap with the reference, less that with grams only the source has.
+
+    ``g`` has one row per sample (see ``grouped``); grams never leave it. Samples without a hypothesis have no parts.
+    """
+
+    def rows(src, targets):
+        hyp = next((t[2] for t in targets if t[0] == "hyp"), None)
+        if hyp is None:
+            return
+        grams = lambda t: [Counter(zip(*(t[i:] for i in range(n)))) for n in range(1, order + 1)]
+        of_hyp, of_src = grams(hyp), grams(src)
+        for side, ref, tokens in targets:
+            if side == "ref":
+                for n, (h, s, r) in enumerate(zip(of_hyp, of_src, grams(tokens)), 1):
+                    x = sum(min(c, r[g]) if g in r else -min(c, s[g]) if g in s else 0 for g, c in h.items())
+                    yield ref, n, max(x, 0), max(len(hyp) + 1 - n, 0), len(hyp), len(tokens)
+
+    return mapped(g, "system_id string, sample_id bigint, ref_id int, n int, numerator bigint, denominator bigint, hyp_len int, ref_len int", rows, "tgt_tokens")
 
 
 def gleu_corpus(parts: DataFrame, smoothing: bool = False, order: int = ORDER) -> DataFrame:

@@ -7,13 +7,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrigenda.model import KEYS
+from corrigenda.tables import saved
 
 COUNTS = ["tp", "fp", "fn", "tn", "fp_ne", "fp_un"]
 BETA = 0.5
 #: hit, err, und, ove
 CORPUS_FACTORS, SENTENCE_FACTORS = (0.45, 0.35, 0.15, 0.05), (0.35, 0.25, 0.20, 0.20)
-#: Sample ids compressed together before the fold.
-FOLD_RANGE = 1 << 16
+#: Sample ids compressed together before the fold; rows that one task folds.
+FOLD_RANGE, FOLD_ROWS = 1 << 16, 50_000
 
 
 def ref_counts(matches: DataFrame, pairs: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -66,9 +67,14 @@ def _first_best(df: DataFrame, keys: list[Column]) -> DataFrame:
     return best.select(*KEYS, "_b.*")
 
 
-def prf_sentence(counts: DataFrame) -> DataFrame:
+def with_need(df: DataFrame, weighted: bool = False) -> DataFrame:
+    """Adds ``necessary, unnecessary`` of the disentangled indicators; the latter is another sum for weighted counts."""
+    return df.withColumns({"necessary": F.col("tp") + F.col("fp_ne") + F.col("fn"), "unnecessary": F.col("fp_un") if weighted else F.col("tp") + F.col("fp")})
+
+
+def prf_sentence(counts: DataFrame, beta: float = BETA) -> DataFrame:
     """Best reference of each sample by (f, p, r, acc), then plain means and sums of counts."""
-    best = _first_best(with_prf(counts), [F.col(c) for c in ("f", "p", "r", "acc")])
+    best = _first_best(with_prf(counts, beta), [F.col(c) for c in ("f", "p", "r", "acc")])
     return best.groupBy("system_id").agg(F.count("*").alias("num_sample"), *[F.avg(c).alias(c) for c in ("p", "r", "f", "acc")], *[F.sum(c).alias(c) for c in COUNTS[:4]])
 
 
@@ -92,13 +98,17 @@ def _com(c, k) -> float:
     return k[0] * h + k[1] * (1 - e) + k[2] * (1 - u) + k[3] * (1 - (un / made if made else 0.0))
 
 
-def corpus_totals(counts: DataFrame, by: str = "prf", factors=CORPUS_FACTORS, beta: float = BETA) -> DataFrame:
+def corpus_totals(counts: DataFrame, by: str = "prf", factors=CORPUS_FACTORS, beta: float = BETA, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Totals of the ordered fold: sample by sample the reference that makes the best running score.
 
     Only samples whose references differ need the running score. Equal candidates collapse; for the
     plain score a candidate no better in any count than one that also wins ties is dropped. Decided
-    samples between two open ones are summed (over ranges of ids, so no window spans the corpus), and
-    only the short remainder is folded in order, one task per system.
+    samples behind an open one are summed (within ranges of ids, so no window spans the corpus). What
+    remains is folded in blocks of about ``fold_rows`` rows in parallel: each block starts from a
+    guess of the totals before it, and all are folded again from the sums of what the blocks before
+    them came to, until these are the totals they started from. That is the ordered fold; each round
+    settles one more block at least, and mostly all of them within a few, since a choice seldom
+    depends on small changes of the totals.
     """
     row = F.struct(*[F.col(c) for c in COUNTS], (-F.col("ref_id")).alias("r"))
     t = counts.groupBy(*KEYS).agg(F.sort_array(F.collect_list(row)).alias("c"))
@@ -110,31 +120,45 @@ def corpus_totals(counts: DataFrame, by: str = "prf", factors=CORPUS_FACTORS, be
     t = t.withColumn("open", (F.size("c") > 1).cast("int")).withColumn("range", F.floor(F.col("sample_id") / FOLD_RANGE))
     w = Window.partitionBy("system_id", "range").orderBy("sample_id").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("seg", F.sum("open").over(w))
-    decided = t.where("open = 0").groupBy("system_id", "range", "seg").agg(F.count("*").alias("n"), *[F.sum(F.col("c")[0][x]).alias(x) for x in COUNTS])
-    one = F.array(F.struct(*[F.col(x) for x in COUNTS]))
-    rest = decided.select("system_id", "range", "seg", F.lit(1).alias("last"), "n", one.alias("c"))
     choice = F.transform(F.reverse(F.array_sort(F.col("c"), lambda x, y: F.when(x["r"] < y["r"], -1).when(x["r"] > y["r"], 1).otherwise(0))), lambda x: F.struct(*[x[k].alias(k) for k in COUNTS]))
-    rest = rest.unionByName(t.where("open = 1").select("system_id", "range", "seg", F.lit(0).alias("last"), F.lit(1).cast("long").alias("n"), choice.alias("c")))
+    # a segment is at most one open sample and the decided ones behind it
+    segs = t.groupBy("system_id", "range", "seg").agg(
+        F.count("*").alias("n"), F.max(F.when(F.col("open") == 1, choice)).alias("c"), *[F.sum(F.when(F.col("open") == 0, F.col("c")[0][x]).otherwise(0.0)).alias(x) for x in COUNTS]
+    )
+    segs = saved(segs, "fold")
+    blocks = max(1, -(-segs.count() // fold_rows))
+    borders = sorted(set(segs.approxQuantile("range", [k / blocks for k in range(1, blocks)], 0.1 / blocks))) if blocks > 1 else []
+    block = F.size(F.filter(F.array(*[F.lit(float(b)) for b in borders]), lambda b: b < F.col("range"))) if borders else F.lit(0)
+    segs = segs.withColumn("block", block)
+    start: dict[tuple[str, int], list[float]] = {}
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["range", "seg", "last"], kind="stable")
-        total, n = [0.0] * 6, 0
-        for many, cands in zip(pdf["n"], pdf["c"]):
-            n += int(many)
+        pdf = pdf.sort_values(["range", "seg"], kind="stable")
+        name = (pdf["system_id"].iloc[0], int(pdf["block"].iloc[0]))
+        total = first = start.get(name, [0.0] * 6)
+        for cands, *decided in zip(pdf["c"], *(pdf[c] for c in COUNTS)):
             best = None
-            for c in cands:
+            for c in cands if cands is not None else ():
                 v = [c[k] for k in COUNTS]
                 new = [a + b for a, b in zip(total, v)]
-                if len(cands) > 1:
-                    rank = (_prf(new, beta) if by == "prf" else _com(new, factors), v[0], -v[1], -v[2], v[3])
-                else:
-                    rank = ()
+                rank = (_prf(new, beta) if by == "prf" else _com(new, factors), v[0], -v[1], -v[2], v[3])
                 if best is None or rank > best[0]:
                     best = (rank, new)
-            total = best[1]
-        return pd.DataFrame([[pdf["system_id"].iloc[0], n, *total]], columns=["system_id", "num_sample", *COUNTS])
-
-    return rest.groupBy("system_id").applyInPandas(fold, "system_id string, num_sample bigint, " + ", ".join(f"{c} double" for c in COUNTS))
+            total = [a + b for a, b in zip(best[1] if best else total, decided)]
+        return pd.DataFrame([[*name, int(pdf["n"].sum()), *(a - b for a, b in zip(total, first))]], columns=["system_id", "block", "num_sample", *COUNTS])
+
+    schema = "system_id string, block int, num_sample bigint, " + ", ".join(f"{c} double" for c in COUNTS)
+    folded = segs.groupBy("system_id", "block").applyInPandas(fold, schema)
+    while borders:
+        made = saved(segs.groupBy("system_id", "block").applyInPandas(fold, schema), "folded")
+        before = made.toPandas().sort_values(["system_id", "block"])  # a row per block
+        sums = before.groupby("system_id")[COUNTS].cumsum() - before[COUNTS]
+        now = {(s, int(b)): v for s, b, v in zip(before["system_id"], before["block"], sums.to_numpy().tolist())}
+        if all(abs(x - y) <= 1e-9 * max(1.0, abs(x)) for k, v in now.items() for x, y in zip(v, start.get(k, [0.0] * 6))):
+            folded = made
+            break
+        start = now
+    return folded.groupBy("system_id").agg(F.sum("num_sample").alias("num_sample"), *[F.sum(c).alias(c) for c in COUNTS])
 
 
 def prf_corpus(counts: DataFrame, beta: float = BETA) -> DataFrame:

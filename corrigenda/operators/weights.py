@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,20 @@ def length_weight(length: Column, bias: Column, outcome: Column, p: LengthPreset
     return F.when((outcome == "tn") | bias.isNull(), F.lit(1.0)).otherwise(by_role)
 
 
+def length_weight_of(bias: float | None, p: LengthPreset = CORPUS):
+    """``length_weight`` for one system, as a function of outcome and length."""
+    bounds = {"tp": p.tp, "fp": p.fp, "fn": p.fn}
+
+    def weight(outcome: str, length: int) -> float:
+        if outcome == "tn" or bias is None:
+            return 1.0
+        low, high = bounds[outcome]
+        x = length - bias if outcome == "fp" else bias - length
+        return min(max(p.alpha / (1 + (p.alpha - 1) * math.exp(min(x, 700.0))), low), high)
+
+    return weight
+
+
 def weigh_by_length(matches: DataFrame, chunks: DataFrame, preset: LengthPreset = CORPUS) -> DataFrame:
     """Adds ``weight``. The statistic has one row per system."""
     m = matches.join(length_bias(chunks).select("system_id", "bias"), "system_id", "left")

@@ -3,29 +3,30 @@
 from __future__ import annotations
 
 _COMMON = """
-WITH RECURSIVE ln AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
-s0 AS (SELECT doc_id, line, list_filter(string_split(s, ' '), lambda x: x <> '') AS src FROM ln),
-samples AS (SELECT doc_id * 1000 + line AS sample_id, doc_id, line, src, CAST(len(src) AS INT) AS n FROM s0 WHERE len(src) BETWEEN 3 AND 40),
-sides AS (SELECT sample_id, k FROM samples, (VALUES (0), (1), (2)) v(k) WHERE NOT (sample_id % 7 = 0 AND k = 2)),
-tok AS (SELECT sample_id, doc_id, line, n, unnest(src) AS t, CAST(unnest(range(len(src))) AS INT) AS i FROM samples),
+WITH RECURSIVE ln AS MATERIALIZED (
+  SELECT doc_id, flatten(list_transform(list_transform(string_split(text, chr(10)), lambda x: list_filter(string_split(x, ' '), lambda w: w <> '')),
+    lambda a: list_transform(range(0, len(a), 40), lambda o: a[o + 1:o + 40]))) AS ps FROM documents),
+samples AS MATERIALIZED (SELECT doc_id * 16777216 + line AS sample_id, doc_id, line, src, CAST(len(src) AS INT) AS n
+  FROM (SELECT doc_id, unnest(ps) AS src, generate_subscripts(ps, 1) - 1 AS line FROM ln)),
+sides AS MATERIALIZED (SELECT sample_id, k FROM samples, (VALUES (0), (1), (2)) v(k) WHERE NOT (sample_id % 7 = 0 AND k = 2)),
+tok AS MATERIALIZED (SELECT sample_id, doc_id, line, n, unnest(src) AS t, CAST(unnest(range(len(src))) AS INT) AS i FROM samples),
 site AS (SELECT *, (doc_id * 131 + line * 31 + i * 17) % 23 AS b FROM tok WHERE i % 2 = 0),
 e0 AS (SELECT s.*, k, CASE WHEN (i + k) % 2 = 0 THEN 'a' ELSE 'b' END AS v FROM site s JOIN sides USING (sample_id)
        WHERE b < 4 AND (b + i * 7 + k * 5 + line) % 3 <> 0),
 e1 AS (SELECT sample_id, k, i AS src_start, CAST(CASE WHEN b = 2 THEN i WHEN b = 3 THEN least(i + 2, n) ELSE i + 1 END AS INT) AS src_end,
        CASE b WHEN 0 THEN t || v WHEN 1 THEN '' WHEN 2 THEN 'ins' || v ELSE t || 'q' || v END AS tgt,
        CASE b WHEN 1 THEN 'U' WHEN 2 THEN 'M' ELSE 'R' END AS op FROM e0),
-edits AS (SELECT *, CASE WHEN k = 0 THEN 'hyp' ELSE 'ref' END AS side, greatest(k - 1, 0) AS target_id,
+edits AS MATERIALIZED (SELECT *, CASE WHEN k = 0 THEN 'hyp' ELSE 'ref' END AS side, greatest(k - 1, 0) AS target_id,
        CAST(row_number() OVER (PARTITION BY sample_id, k ORDER BY src_start) - 1 AS INT) AS edit_no,
        CAST(src_start + coalesce(sum((tgt <> '')::INT - (src_end - src_start)) OVER (PARTITION BY sample_id, k ORDER BY src_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS tgt_start
        FROM e1),
-pieces AS (
+gone AS (SELECT sample_id, k, CAST(unnest(range(src_start, src_end)) AS INT) AS i FROM edits),
+pieces AS MATERIALIZED (
   SELECT sample_id, k, src_start AS pos, 0 AS kind, tgt AS t FROM edits WHERE tgt <> ''
   UNION ALL
-  SELECT t.sample_id, d.k, t.i, 1, t.t FROM tok t JOIN sides d USING (sample_id)
-  WHERE NOT EXISTS (SELECT 1 FROM edits e WHERE e.sample_id = t.sample_id AND e.k = d.k AND e.src_start <= t.i AND t.i < e.src_end)),
+  SELECT t.sample_id, d.k, t.i, 1, t.t FROM tok t JOIN sides d USING (sample_id) ANTI JOIN gone g ON g.sample_id = t.sample_id AND g.k = d.k AND g.i = t.i),
 targets0 AS (SELECT d.sample_id, d.k, coalesce(string_agg(t, ' ' ORDER BY pos, kind), '') AS tgt FROM sides d LEFT JOIN pieces p USING (sample_id, k) GROUP BY ALL),
-targets AS (SELECT *, CASE WHEN k = 0 THEN 'hyp' ELSE 'ref' END AS side, greatest(k - 1, 0) AS target_id, CASE WHEN tgt = '' THEN [] ELSE string_split(tgt, ' ') END AS tt FROM targets0)
+targets AS MATERIALIZED (SELECT *, CASE WHEN k = 0 THEN 'hyp' ELSE 'ref' END AS side, greatest(k - 1, 0) AS target_id, CASE WHEN tgt = '' THEN [] ELSE string_split(tgt, ' ') END AS tt FROM targets0)
 """
 
 _ISLANDS = """, isl0 AS (SELECT *, max(src_end) OVER (PARTITION BY sample_id ORDER BY src_start, src_end, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM edits),
@@ -105,8 +106,9 @@ def _fold(score: str, cols=_C6) -> str:
     of = lambda x: score.format(**{c: f"(z.{c} + v.{x}.{c})" for c in _C6 if c in cols})
     row = lambda x: f"row({of(x)}, v.{x}.tp, -v.{x}.fp, -v.{x}.fn, v.{x}.tn)"
     zero = "{" + ", ".join(f"'{c}': 0.0::DOUBLE" for c in cols) + "}"
-    return f""", lst AS (SELECT a.sample_id, {st('a.')} AS a, CASE WHEN b.sample_id IS NULL THEN {st('a.')} ELSE {st('b.')} END AS b
-  FROM cnt a LEFT JOIN cnt b ON b.sample_id = a.sample_id AND b.ref_id = 1 WHERE a.ref_id = 0),
+    return f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ref_id) AS rn FROM cnt),
+lst AS (SELECT a.sample_id, {st('a.')} AS a, CASE WHEN b.sample_id IS NULL THEN {st('a.')} ELSE {st('b.')} END AS b
+  FROM ranked a LEFT JOIN ranked b ON b.sample_id = a.sample_id AND b.rn = 2 WHERE a.rn = 1),
 agg AS (SELECT count(*) AS num_sample, list({{{", ".join(f"'{c}': 0.0::DOUBLE" for c in cols)}, 'a': a, 'b': b}} ORDER BY sample_id) AS l FROM lst),
 red AS (SELECT num_sample, list_reduce(list_concat([{{{", ".join(f"'{c}': 0.0::DOUBLE" for c in cols)}, 'a': {zero}, 'b': {zero}}}], l), lambda z, v: CASE WHEN {row('a')} >= {row('b')} THEN {add('a')} ELSE {add('b')} END) AS z FROM agg),
 tot AS (SELECT num_sample, {", ".join(f"z.{c} AS {c}" for c in cols)} FROM red)
@@ -122,10 +124,11 @@ _FOLD_COM = (
     f" + 0.15::DOUBLE * (1 - (CASE WHEN {_NEED} = 0 THEN 0 ELSE {{fn}} / {_NEED} END)) + 0.05::DOUBLE * (1 - (CASE WHEN {{tp}} + {{fp_ne}} + {{fp_un}} = 0 THEN 0 ELSE {{fp_un}} / ({{tp}} + {{fp_ne}} + {{fp_un}}) END)))"
 )
 _R6 = lambda *cols: ", ".join(f"round({c}, 6) AS {c}" for c in cols)
-_EM = """, em AS (
-  SELECT h.sample_id, d.k - 1 AS ref_id, h.src_start, h.src_end, h.tgt, CASE WHEN EXISTS (SELECT 1 FROM edits r WHERE r.sample_id = h.sample_id AND r.k = d.k AND r.src_start = h.src_start AND r.src_end = h.src_end {and_}) THEN 'tp' ELSE 'fp' END AS outcome
-  FROM edits h JOIN sides d ON d.sample_id = h.sample_id AND d.k > 0 WHERE h.k = 0
-  UNION ALL SELECT r.sample_id, r.k - 1, r.src_start, r.src_end, r.tgt, 'fn' FROM edits r WHERE r.k > 0 AND NOT EXISTS (SELECT 1 FROM edits h WHERE h.sample_id = r.sample_id AND h.k = 0 AND r.src_start = h.src_start AND r.src_end = h.src_end {and_})),
+_EM = """, he AS MATERIALIZED (SELECT h.sample_id, d.k, h.src_start, h.src_end, h.tgt FROM edits h JOIN sides d ON d.sample_id = h.sample_id AND d.k > 0 WHERE h.k = 0),
+re AS MATERIALIZED (SELECT sample_id, k, src_start, src_end, tgt FROM edits WHERE k > 0),
+em AS (SELECT h.sample_id, h.k - 1 AS ref_id, h.src_start, h.src_end, h.tgt, 'tp' AS outcome FROM he h SEMI JOIN re r ON r.sample_id = h.sample_id AND r.k = h.k AND r.src_start = h.src_start AND r.src_end = h.src_end {and_}
+  UNION ALL SELECT h.sample_id, h.k - 1, h.src_start, h.src_end, h.tgt, 'fp' FROM he h ANTI JOIN re r ON r.sample_id = h.sample_id AND r.k = h.k AND r.src_start = h.src_start AND r.src_end = h.src_end {and_}
+  UNION ALL SELECT r.sample_id, r.k - 1, r.src_start, r.src_end, r.tgt, 'fn' FROM re r ANTI JOIN he h ON r.sample_id = h.sample_id AND r.k = h.k AND r.src_start = h.src_start AND r.src_end = h.src_end {and_}),
 m AS (SELECT *, NULL::VARCHAR AS fp_kind FROM em)
 """
 _EC, _ED = _EM.format(and_="AND r.tgt = h.tgt"), _EM.format(and_="")
@@ -151,7 +154,7 @@ _PRF_OUT = "num_sample, p, r, f, acc, tp, fp, fn, tn"
 _SENT = ", best AS (SELECT sample_id, arg_max(prf, row(f, p, r, acc, -ref_id)) AS x FROM prf GROUP BY 1) SELECT count(*) AS num_sample, round(avg(x.p), 6) AS p, round(avg(x.r), 6) AS r, round(avg(x.f), 6) AS f, round(avg(x.acc), 6) AS acc, sum(x.tp) AS tp, sum(x.fp) AS fp, sum(x.fn) AS fn, sum(x.tn) AS tn FROM best"
 
 ORACLES: dict[str, str] = {
-    "prf_corpus_dependent": _COMMON + _DEP + _cnt() + _fold(_FOLD_F) + _prf("tot") + f"SELECT {_PRF_OUT} FROM prf",
+    "prf_corpus_dependent": _COMMON + _DEP + _cnt(pairs="live") + _fold(_FOLD_F) + _prf("tot") + f"SELECT {_PRF_OUT} FROM prf",
     "edits_scan": _SCAN,
     "json_round_trip": _SCAN,
     "apply_edits": _APPLY,
@@ -204,7 +207,7 @@ ORACLES: dict[str, str] = {
     "merge_datasets": _COMMON + ", r AS (SELECT sample_id, target_id, tgt, count(*) OVER (PARTITION BY sample_id) AS n FROM targets WHERE k > 0) SELECT sample_id, target_id, tgt AS tgt_tokens FROM r UNION ALL SELECT sample_id, CAST(target_id + n AS INT), tgt FROM r",
     "extend_datasets": _COMMON + ", b AS (SELECT max(sample_id) + 1 AS b FROM samples) SELECT sample_id, array_to_string(src, ' ') AS src_tokens FROM samples UNION ALL SELECT sample_id + b, array_to_string(src, ' ') FROM samples, b",
     "sample_flags": _COMMON + "SELECT t.sample_id, bool_or(tgt = '') AS has_empty, count(DISTINCT tgt) < count(*) AS has_repeated, bool_or(tt = s.src) AS has_unchanged FROM targets t JOIN samples s USING (sample_id) GROUP BY 1",
-    "check_datasets": _COMMON + ", t AS (SELECT * FROM targets WHERE k = 0 OR sample_id % 5 > 0), n AS (SELECT sample_id, count(*) FILTER (WHERE k = 0) AS h, count(*) FILTER (WHERE k > 0) AS r FROM t GROUP BY 1) SELECT s.sample_id FROM samples s LEFT JOIN n USING (sample_id) WHERE coalesce(h, 0) <> 1 OR coalesce(r, 0) < 1",
+    "check_datasets": _COMMON + ", t AS (SELECT u.* FROM targets u JOIN samples s USING (sample_id) WHERE k = 0 OR s.src[1] < 'n'), n AS (SELECT sample_id, count(*) FILTER (WHERE k = 0) AS h, count(*) FILTER (WHERE k > 0) AS r FROM t GROUP BY 1) SELECT s.sample_id FROM samples s LEFT JOIN n USING (sample_id) WHERE coalesce(h, 0) <> 1 OR coalesce(r, 0) < 1",
     "block_round_trip": _COMMON + "SELECT array_to_string(s.src, ' ') AS source, target_id, src_start, src_end, tgt_start, tgt AS tgt_tokens, count(*) AS n FROM edits JOIN samples s USING (sample_id) WHERE k > 0 GROUP BY ALL",
     "subword_align": _COMMON + ", u AS (SELECT sample_id, t, i, length(t) > 4 AS two FROM tok), x AS (SELECT sample_id, i AS word, unnest(CASE WHEN two THEN [0, 1] ELSE [0] END) AS j FROM u) SELECT sample_id, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY word, j) - 1 AS INT) AS pos, word FROM x",
     "char_tokens": _COMMON + "SELECT sample_id, CAST(length(regexp_replace(array_to_string(src, ''), '\\s', '', 'g')) AS BIGINT) AS n_chars FROM samples",

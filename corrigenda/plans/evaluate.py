@@ -2,15 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrigenda.operators import chunks as C
+from corrigenda.model import KEYS
 from corrigenda.operators import edits as E
-from corrigenda.operators import gleu as G
+from corrigenda.operators import gleu as L
+from corrigenda.operators import grouped as G
 from corrigenda.operators import outcomes as O
 from corrigenda.operators import scores as S
 from corrigenda.operators import weights as W
+from corrigenda.operators.extract import parallel_to_edits
+from corrigenda.sources.nested import persist as write_results
+
+#: Factors (hit, err, und, ove) of ``adapt``, by level and whether counts are weighted.
+ADAPTED = {
+    ("corpus", False): (0.60, 0.10, 0.10, 0.20), ("corpus", True): (0.60, 0.30, 0.05, 0.05),
+    ("sentence", False): (0.60, 0.10, 0.05, 0.25), ("sentence", True): (0.15, 0.35, 0.35, 0.15),
+}
+#: Weighers that need pseudo-hypotheses: matches, samples, targets, chunks, similarity -> matches with ``weight``.
+BY_TEXT: dict[str, Callable[..., DataFrame]] = {"similarity": W.weigh_by_similarity, "replacement": W.weigh_by_replacement}
+
+
+@dataclass(frozen=True)
+class Setting:
+    """What to evaluate.
+
+    metric: ``edit``, ``chunk`` (p, r, f, acc), ``heuo`` (hit, err, und, ove, com) or ``gleu``. weigher:
+    ``none``, ``length``, a name of ``BY_TEXT``, or such a function. ``sim`` maps two token columns to a
+    similarity. ``factors`` of ``heuo``: by level where None, or ``ADAPTED`` with ``adapt``.
+    """
+
+    metric: str = "chunk"
+    assumption: str = "dependent"
+    weigher: str | Callable[..., DataFrame] = "none"
+    level: str = "corpus"
+    detection: bool = False
+    preset: W.LengthPreset = field(default=W.CORPUS)
+    sim: Callable[[Column, Column], Column] = W.token_f1
+    beta: float = S.BETA
+    factors: tuple[float, float, float, float] | None = None
+    adapt: bool = False
+    merge_distance: int = 0
+    smoothing: bool = False
+
+    def __post_init__(self):
+        for value, known in ((self.metric, ("edit", "chunk", "heuo", "gleu")), (self.assumption, ("dependent", "independent")), (self.level, ("corpus", "sentence"))):
+            if value not in known:
+                raise ValueError(f"{value!r} is none of {', '.join(known)}")
+        if isinstance(self.weigher, str) and self.weigher not in ("none", "length", *BY_TEXT):
+            raise ValueError(f"unknown weigher {self.weigher!r}")
 
 
 def dataset(hyp: dict[str, DataFrame], ref: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -24,29 +68,89 @@ def dataset(hyp: dict[str, DataFrame], ref: dict[str, DataFrame]) -> dict[str, D
     return out
 
 
-def evaluate(data: dict[str, DataFrame], metric: str = "chunk", assumption: str = "dependent", weigher: str = "none", level: str = "corpus", detection: bool = False, preset: W.LengthPreset = W.CORPUS) -> tuple[DataFrame, DataFrame]:
-    """``(scores, matches)`` of all systems in ``data`` (samples, targets, edits), lazily.
+def with_edits(data: dict[str, DataFrame], refresh: bool = False, strategy: str = "rules") -> dict[str, DataFrame]:
+    """``data`` with edits: those of targets that have none are extracted; with ``refresh``, of all targets.
 
-    metric: ``edit``, ``chunk`` (p, r, f, acc), ``heuo`` (hit, err, und, ove, com) or ``gleu``.
+    A target that equals its source has none, and needs none.
     """
-    samples, targets, edits = data["samples"], data["targets"], data["edits"]
-    if metric == "gleu":
-        parts = G.gleu_parts(samples, targets)
-        return (G.gleu_corpus(parts) if level == "corpus" else G.gleu_sentence(parts)), parts
-    if metric == "edit":
-        m = O.edit_outcomes(targets, edits, detection)
-        counts = S.ref_counts(m, S.reference_pairs(targets))
-        return (S.prf_corpus(counts) if level == "corpus" else S.prf_sentence(counts)), m
-    targets = E.drop_empty_refs(targets)
-    ch = C.chunks(samples, targets, E.keep_edits_of(edits, targets))
-    m = (O.dependent_outcomes if assumption == "dependent" else O.independent_outcomes)(ch, detection)
-    w = None
-    if weigher == "length":
-        m, w = W.weigh_by_length(m, ch, preset), F.col("weight")
-    elif weigher == "similarity":
-        m, w = W.weigh_by_similarity(m, samples, targets, ch), F.col("weight")
-    elif weigher == "replacement":
-        m, w = W.weigh_by_replacement(m, samples, targets, ch), F.col("weight")
-    counts = S.ref_counts(m, S.reference_pairs(targets), w)
-    score = {("chunk", "corpus"): S.prf_corpus, ("chunk", "sentence"): S.prf_sentence, ("heuo", "corpus"): S.heuo_corpus, ("heuo", "sentence"): S.heuo_sentence}
-    return score[metric, level](counts), m
+    pairs = data["targets"].join(data["samples"], KEYS)
+    if refresh or "edits" not in data:
+        return {**data, "edits": parallel_to_edits(pairs, strategy)}
+    key = [*KEYS, "side", "target_id"]
+    bare = pairs.join(data["edits"].select(*key).distinct(), key, "left_anti")
+    found = parallel_to_edits(bare, strategy)
+    return {**{k: v for k, v in data.items() if k != "grouped"}, "edits": data["edits"].unionByName(found.select(*data["edits"].columns))}
+
+
+def check(data: dict[str, DataFrame]) -> None:
+    """Raises where a sample cannot be scored, or an edit does not fit its texts; names a few of them."""
+    bad = E.violations(data["samples"], data["targets"]).select(*KEYS).take(5)
+    if bad:
+        raise ValueError(f"samples without a source, one hypothesis and a reference: {[tuple(r) for r in bad]}")
+    wrong = E.invalid_edits(data["samples"], data["targets"], data["edits"]).select(*KEYS, "side", "target_id").take(5)
+    if wrong:
+        raise ValueError(f"edits that do not fit their texts: {[tuple(r) for r in wrong]}")
+
+
+def _counts(data: dict[str, DataFrame], g: DataFrame, how: Setting) -> tuple[DataFrame, DataFrame]:
+    """(counts per reference, matches)."""
+    if how.metric == "edit":
+        return G.edit_counts(g, how.detection), O.edit_outcomes(data["targets"], data["edits"], how.detection)
+    m = G.match_rows(g, how.assumption, how.detection, how.merge_distance)
+    if how.weigher == "none":
+        return G.counts(g, how.assumption, how.detection, None, how.merge_distance), m
+    if how.weigher == "length":
+        bias = {r.system_id: r.bias for r in G.length_bias(g).collect()}  # a row per system
+        weights = {s: W.length_weight_of(b, how.preset) for s, b in bias.items()}
+        parts = [G.counts(g.where(F.col("system_id") == s), how.assumption, how.detection, w, how.merge_distance) for s, w in weights.items()]
+        counts = parts[0] if parts else G.counts(g)
+        for p in parts[1:]:
+            counts = counts.unionByName(p)
+        table = m.join(F.broadcast(m.sparkSession.createDataFrame(list(bias.items()), "system_id string, bias double")), "system_id", "left")
+        return counts, table.withColumn("weight", W.length_weight(F.col("length"), F.col("bias"), F.col("outcome"), how.preset)).drop("bias")
+    weigh = BY_TEXT[how.weigher] if isinstance(how.weigher, str) else how.weigher
+    live = G.ungroup(g)
+    m = weigh(m, live["samples"], live["targets"], G.chunk_rows(g, how.merge_distance), how.sim)
+    return S.ref_counts(m, S.reference_pairs(live["targets"]), F.col("weight")), m
+
+
+def _score(counts: DataFrame, how: Setting) -> DataFrame:
+    if how.metric == "heuo":
+        weighted = how.weigher != "none"
+        factors = ADAPTED[how.level, weighted] if how.adapt else how.factors or (S.CORPUS_FACTORS if how.level == "corpus" else S.SENTENCE_FACTORS)
+        return S.with_need(S.heuo_corpus(counts, factors) if how.level == "corpus" else S.heuo_sentence(counts, factors), weighted)
+    return S.prf_corpus(counts, how.beta) if how.level == "corpus" else S.prf_sentence(counts, how.beta)
+
+
+def evaluate(data: dict[str, DataFrame], metric: str = "chunk", assumption: str = "dependent", weigher: str | Callable = "none", level: str = "corpus", detection: bool = False, validate: bool = False, persist: str | None = None, **more) -> tuple[DataFrame, DataFrame]:
+    """``(scores, matches)`` of all systems in ``data`` (samples, targets, edits), see ``Setting`` for the rest.
+
+    Without edits they are extracted. ``validate`` checks samples and edits first; ``persist`` writes
+    scores and matches to that folder. Reads the corpus once or twice, whatever the metric.
+    """
+    how = Setting(metric, assumption, weigher, level, detection, **more)
+    if "edits" not in data:
+        data = with_edits(data)
+    if validate:
+        check(data)
+    g = data["grouped"] if "grouped" in data else G.group(data["samples"], data["targets"], data["edits"])
+    if how.metric == "gleu":
+        parts = L.gleu_parts(g)
+        scores, m = (L.gleu_corpus(parts, how.smoothing) if how.level == "corpus" else L.gleu_sentence(parts)), parts
+    else:
+        counts, m = _counts(data, g if how.metric == "edit" else G.drop_empty_refs(g), how)
+        scores = _score(counts, how)
+    if persist:
+        write_results(scores, m, persist)
+    return scores, m
+
+
+def evaluate_all(data: dict[str, DataFrame], metric: str = "chunk", weigher: str | Callable = "length", **more) -> DataFrame:
+    """The four scores of a metric at once: ``level, weighted`` and the score columns, a row each per system."""
+    out = None
+    for level in ("corpus", "sentence"):
+        for weighted in (False, True):
+            s = evaluate(data, metric, weigher=weigher if weighted else "none", level=level, **more)[0]
+            s = s.select(F.lit(level).alias("level"), F.lit(weighted).alias("weighted"), *s.columns)
+            out = s if out is None else out.unionByName(s)
+    return out

@@ -1,50 +1,84 @@
 """Samples, targets and edits derived from ``documents`` by integer arithmetic.
 
-Lines of 3 to 40 tokens are sources. At even token positions i, b = (131 doc + 31 line + 17 i) mod 23
-makes an error site where b < 4: replace, delete, insert before, replace two. Side k (0: hypothesis,
-1 and 2: references) acts where (b + 7 i + 5 k + line) mod 3 is not 0; every seventh sample has one
-reference.
+Every line is cut into pieces of at most 40 tokens; each piece is a source, so no word is left out. p is the
+number of the piece in its document. At even token positions i, b = (131 doc + 31 p + 17 i) mod 23 makes an
+error site where b < 4: replace, delete, insert before, replace two. Side k (0: hypothesis, 1 and 2:
+references) acts where (b + 7 i + 5 k + p) mod 3 is not 0; every seventh sample has one reference.
 
-The id of a sample is 1000 doc + line; from line 1000 on, where that would be an id of the next
-document, it is FAR + 2**24 doc + line.
+The id of a sample is 2**24 doc + p.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from itertools import accumulate
 
-from corrigenda.model import KEYS, TARGET
-from corrigenda.operators.edits import apply_edits, with_target_offsets
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
-FAR, LINES, DOCS = 1 << 62, 1 << 24, 1 << 38
+from corrigenda.operators.grouped import GROUPED, ungroup
+from corrigenda.tables import spread
 
+TOKENS, PIECES, DOCS = 40, 1 << 24, 1 << 38
 
-def sample_id(doc: Column, line: Column) -> Column:
-    """An id no other line has; documents or lines beyond what the ids can hold are an error."""
-    fits = (doc >= 0) & (doc < DOCS) & (line < LINES)
-    far = F.when(fits, F.lit(FAR) + doc * LINES + line).otherwise(F.raise_error(F.lit("no sample id for this document or line")).cast("long"))
-    return F.when(line < 1000, doc * 1000 + line).otherwise(far)
+
+def pieces(text: str) -> list[list[str]]:
+    lines = ([t for t in line.split(" ") if t] for line in text.split("\n"))
+    return [a[k : k + TOKENS] for a in lines for k in range(0, len(a), TOKENS)]
+
+
+def side_edits(src: list[str], doc: int, p: int, k: int) -> list[tuple[int, int, list[str], str]]:
+    """(start, end, new tokens, kind) of the edits of side k."""
+    out = []
+    for i in range(0, len(src), 2):
+        b = (doc * 131 + p * 31 + i * 17) % 23
+        if b < 4 and (b + i * 7 + k * 5 + p) % 3:
+            v, t = "ab"[(i + k) % 2], src[i]
+            out.append(((i, i + 1, [t + v], "R:X"), (i, i + 1, [], "U:X"), (i, i, ["ins" + v], "M:X"), (i, min(i + 2, len(src)), [t + "q" + v], "R:X"))[b])
+    return out
+
+
+def _lists(values: list[list], kind) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, values))], pa.int32()), pa.array([x for v in values for x in v], kind))
+
+
+def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per sample with its targets and their edits, in one pass without a shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                ids, sources, sides, tgt, edits = [], [], [], [], []
+                for doc, text in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns)):
+                    for p, src in enumerate(pieces(text or "")):
+                        if not 0 <= doc < DOCS or p >= PIECES:
+                            raise ValueError("no sample id for this document or piece")
+                        ids.append(doc * PIECES + p)
+                        sources.append(src)
+                        ks = (0, 1) if ids[-1] % 7 == 0 else (0, 1, 2)
+                        sides.append(ks)
+                        for k in ks:
+                            out, own, at = [], [], 0
+                            for a, b, new, kind in side_edits(src, doc, p, k):
+                                out += src[at:a]
+                                own.append((len(own), a, b, len(out), len(out) + len(new), src[a:b], new, [kind]))
+                                out += new
+                                at = b
+                            tgt.append(out + src[at:])
+                            edits.append(own)
+                flat = [e for own in edits for e in own] or [(0, 0, 0, 0, 0, [], [], [])]
+                cols = list(zip(*flat))
+                names = ("edit_no", "src_start", "src_end", "tgt_start", "tgt_end", "src_tokens", "tgt_tokens", "types")
+                e = pa.StructArray.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:5]), *(_lists(c, pa.string()) for c in cols[5:])], names)
+                e = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, edits))], pa.int32()), e)
+                k = [x for ks in sides for x in ks]
+                t = pa.StructArray.from_arrays([pa.array(["ref" if x else "hyp" for x in k], pa.string()), pa.array([max(x - 1, 0) for x in k], pa.int32()), _lists(tgt, pa.string()), e], ["side", "target_id", "tgt_tokens", "edits"])
+                t = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, sides))], pa.int32()), t)
+                yield pa.RecordBatch.from_arrays([pa.array(["sys"] * len(ids), pa.string()), pa.array(ids, pa.int64()), _lists(sources, pa.string()), t], ["system_id", "sample_id", "src_tokens", "t"])
+
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id").mapInArrow(run, GROUPED)
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    line = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    src = line.select("doc_id", "line", F.filter(F.split("s", " "), lambda t: t != "").alias("src_tokens")).where("size(src_tokens) between 3 and 40")
-    src = src.withColumns({"system_id": F.lit("sys"), "sample_id": sample_id(F.col("doc_id"), F.col("line"))})
-    samples = src.select(*KEYS, "src_tokens")
-    sides = F.when(F.col("sample_id") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
-    named = lambda d: d.withColumns({"side": F.when(F.col("k") == 0, "hyp").otherwise("ref"), "target_id": F.greatest(F.col("k") - 1, F.lit(0)).cast("int")})
-    keys = named(src.select(*KEYS, F.explode(sides).alias("k"))).select(*TARGET)
-    tok = src.select(*KEYS, "doc_id", "line", F.size("src_tokens").alias("n"), F.posexplode("src_tokens").alias("i", "t")).where("i % 2 = 0")
-    tok = tok.withColumn("b", (F.col("doc_id") * 131 + F.col("line") * 31 + F.col("i") * 17) % 23).where("b < 4")
-    e = named(tok.withColumn("k", F.explode(sides)).where((F.col("b") + F.col("i") * 7 + F.col("k") * 5 + F.col("line")) % 3 != 0))
-    v = F.when((F.col("i") + F.col("k")) % 2 == 0, "a").otherwise("b")
-    end = F.when(F.col("b") == 2, F.col("i")).when(F.col("b") == 3, F.least(F.col("i") + 2, F.col("n"))).otherwise(F.col("i") + 1)
-    new = F.when(F.col("b") == 0, F.array(F.concat("t", v))).when(F.col("b") == 1, F.array().cast("array<string>")).when(F.col("b") == 2, F.array(F.concat(F.lit("ins"), v))).otherwise(F.array(F.concat("t", F.lit("q"), v)))
-    kind = F.when(F.col("b") == 1, "U:X").when(F.col("b") == 2, "M:X").otherwise("R:X")
-    e = e.withColumns({"src_start": F.col("i"), "src_end": end.cast("int"), "tgt_tokens": new, "types": F.array(kind)})
-    e = e.withColumn("edit_no", (F.row_number().over(Window.partitionBy(*TARGET).orderBy("i")) - 1).cast("int"))
-    e = e.join(samples, KEYS).withColumn("src_tokens", F.slice("src_tokens", F.col("src_start") + 1, F.col("src_end") - F.col("src_start")))
-    edits = with_target_offsets(e.select(*TARGET, "edit_no", "src_start", "src_end", "src_tokens", "tgt_tokens", "types"))
-    return {"samples": samples, "targets": apply_edits(samples, keys, edits), "edits": edits}
+    """``samples, targets, edits`` as tables, and ``grouped``, which they are derived from row by row."""
+    g = grouped(spark, sf_dir)
+    return {**ungroup(g), "grouped": g}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +13,15 @@ from corrigenda.operators import chunks as C
 from corrigenda.operators import edits as E
 from corrigenda.operators import extract as K
 from corrigenda.operators import gleu as G
+from corrigenda.operators import grouped as R
 from corrigenda.operators import outcomes as O
 from corrigenda.operators import scores as S
 from corrigenda.operators import weights as W
-from corrigenda.plans.evaluate import evaluate
+from corrigenda.plans.evaluate import evaluate, evaluate_all
 from corrigenda.plans.testbed import tables
 from corrigenda.sources import blocks as B
 from corrigenda.sources import nested as J
+from corrigenda.tables import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,32 +36,26 @@ def _words(name: str) -> F.Column:
     return F.array_join(name, " ").alias(name)
 
 
-def _chunks(t: dict[str, DataFrame], distance: int = 0) -> DataFrame:
-    targets = E.drop_empty_refs(t["targets"])
-    return C.chunks(t["samples"], targets, E.keep_edits_of(t["edits"], targets), distance)
+def _live(t: dict[str, DataFrame]) -> DataFrame:
+    return R.drop_empty_refs(t["grouped"])
 
 
-def _matches(spark: SparkSession, sf_dir: str, f=O.dependent_outcomes, detection: bool = False):
+def _chunks(t: dict[str, DataFrame]) -> DataFrame:
+    return R.chunk_rows(_live(t))
+
+
+def _matches(spark: SparkSession, sf_dir: str, assumption: str = "dependent", detection: bool = False):
     t = tables(spark, sf_dir)
-    ch = _chunks(t)
-    return t, ch, f(ch, detection)
+    return t, _chunks(t), R.match_rows(_live(t), assumption, detection)
 
 
 def _rounded(df: DataFrame, *drop: str) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes if c not in drop])
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    from tempfile import mkdtemp
-
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or mkdtemp(prefix="spark-shared-")
-    return f"{at}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def prf_corpus_dependent(spark, sf_dir):
-    t, _, m = _matches(spark, sf_dir)
-    return S.prf_corpus(S.ref_counts(m, S.reference_pairs(t["targets"]))).select("num_sample", "p", "r", "f", "acc", *S.COUNTS[:4])
+    return evaluate(tables(spark, sf_dir))[0].select("num_sample", "p", "r", "f", "acc", *S.COUNTS[:4])
 
 
 @query
@@ -77,7 +72,8 @@ def apply_edits(spark, sf_dir):
 def invalid_edits(spark, sf_dir):
     t = tables(spark, sf_dir)
     bad = E.invalid_edits(t["samples"], t["targets"], t["edits"]).select("sample_id")
-    return bad.agg(F.count("*").alias("n_bad")).crossJoin(t["edits"].agg(F.count("*").alias("n_edits")))
+    both = bad.select(F.lit(1).alias("bad")).unionByName(t["edits"].select(F.lit(0).alias("bad")))
+    return both.agg(F.sum("bad").alias("n_bad"), F.count_if(F.col("bad") == 0).alias("n_edits"))
 
 
 def _edit(outcome: str, detection: bool = False) -> Query:
@@ -132,33 +128,35 @@ def chunk_table(spark, sf_dir):
     return C.chunk_table(_chunks(tables(spark, sf_dir))).drop("system_id")
 
 
-def _outcome(f, detection: bool) -> Query:
+def _outcome(assumption: str, detection: bool) -> Query:
     def run(spark, sf_dir):
-        m = _matches(spark, sf_dir, f, detection)[2]
+        m = R.match_rows(_live(tables(spark, sf_dir)), assumption, detection)
         return m.select("sample_id", "ref_id", "chunk_idx", "outcome", *([] if detection else ["fp_kind"]))
 
     return run
 
 
-for _n, _f in (("dependent", O.dependent_outcomes), ("independent", O.independent_outcomes)):
-    QUERIES[f"outcome_{_n}"], QUERIES[f"detect_{_n}"] = _outcome(_f, False), _outcome(_f, True)
+for _n in ("dependent", "independent"):
+    QUERIES[f"outcome_{_n}"], QUERIES[f"detect_{_n}"] = _outcome(_n, False), _outcome(_n, True)
 
 
 @query
 def length_bias(spark, sf_dir):
-    return _rounded(W.length_bias(_chunks(tables(spark, sf_dir))), "system_id")
+    return _rounded(R.length_bias(_live(tables(spark, sf_dir))), "system_id")
 
 
 @query
 def length_weights(spark, sf_dir):
-    _, ch, m = _matches(spark, sf_dir)
-    return _rounded(W.weigh_by_length(m, ch).select("sample_id", "ref_id", "chunk_idx", "outcome", "weight"))
+    m = evaluate(tables(spark, sf_dir), weigher="length")[1]
+    return _rounded(m.select("sample_id", "ref_id", "chunk_idx", "outcome", "weight"))
 
 
 @query
 def ref_counts(spark, sf_dir):
-    t, _, m = _matches(spark, sf_dir)
-    return S.ref_counts(m, S.reference_pairs(t["targets"])).drop("system_id")
+    """Also of references that were dropped: they have no chunk."""
+    t = tables(spark, sf_dir)
+    got = R.counts(_live(t))
+    return S.reference_pairs(t["targets"]).join(got, [*KEYS, "ref_id"], "left").fillna(0.0, S.COUNTS).drop("system_id")
 
 
 @query
@@ -168,7 +166,7 @@ def ref_counts_weighted(spark, sf_dir):
 
 
 def _score(metric: str, assumption: str, level: str, weigher: str = "none") -> Query:
-    return lambda spark, sf_dir: _rounded(evaluate(tables(spark, sf_dir), metric, assumption, weigher, level)[0], "system_id")
+    return lambda spark, sf_dir: _rounded(evaluate(tables(spark, sf_dir), metric, assumption, weigher, level)[0], "system_id", "necessary", "unnecessary")
 
 
 QUERIES["prf_sentence"] = _score("chunk", "dependent", "sentence")
@@ -211,8 +209,7 @@ def ngram_counts(spark, sf_dir):
 
 
 def _parts(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    return G.gleu_parts(t["samples"], t["targets"])
+    return G.gleu_parts(tables(spark, sf_dir)["grouped"])
 
 
 @query
@@ -309,15 +306,17 @@ def sample_flags(spark, sf_dir):
 
 @query
 def check_datasets(spark, sf_dir):
+    """Samples whose source begins with a character behind ``m`` lose their references first."""
     t = tables(spark, sf_dir)
-    return E.violations(t["samples"], t["targets"].where("side = 'hyp' or sample_id % 5 > 0")).select("sample_id")
+    kept = t["targets"].join(t["samples"], KEYS).where("side = 'hyp' or src_tokens[0] < 'n'")
+    return E.violations(t["samples"], kept).select("sample_id")
 
 
 @query
 def block_round_trip(spark, sf_dir):
     """Edits written as annotated blocks and read again."""
     t = tables(spark, sf_dir)
-    path = _shared(spark, "blocks")
+    path = shared_path(spark, "blocks")
     ref = t["targets"].where("side = 'ref'")
     B.write_blocks(t["samples"], ref, t["edits"].where("side = 'ref'"), path)
     got = B.read_blocks(spark, path, "sys", "ref")
@@ -329,7 +328,7 @@ def block_round_trip(spark, sf_dir):
 @query
 def json_round_trip(spark, sf_dir):
     t = tables(spark, sf_dir)
-    path = _shared(spark, "json")
+    path = shared_path(spark, "json")
     J.write_json(t["samples"], t["targets"], t["edits"], path)
     return J.read_json(spark, path)["edits"].select("sample_id", "side", "target_id", "edit_no", "src_start", "src_end", "tgt_start", "tgt_end", _words("src_tokens"), _words("tgt_tokens"))
 

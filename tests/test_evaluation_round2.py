@@ -1,7 +1,21 @@
 """Cases that earlier versions of the evaluation engine left undone."""
 
-from corrigenda.model import KEYS
+import random
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from corrigenda import model
+from corrigenda.model import KEYS, TARGET
+from corrigenda.operators import chunks as C
+from corrigenda.operators import edits as E
+from corrigenda.operators import grouped as G
+from corrigenda.operators import outcomes as O
+from corrigenda.operators import scores as S
+from corrigenda.plans.evaluate import dataset, evaluate, evaluate_all, with_edits
 from corrigenda.plans.testbed import tables
+from corrigenda.sources.blocks import read_blocks
 
 
 def test_long_documents_share_no_sample_ids(spark, tmp_path):
@@ -9,5 +23,129 @@ def test_long_documents_share_no_sample_ids(spark, tmp_path):
     spark.createDataFrame([(1, text(1, 1004)), (2, text(2, 5))], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     t = tables(spark, str(tmp_path))
     assert t["samples"].count() == 1009 == t["samples"].select(*KEYS).distinct().count()
-    assert {r.src_tokens[0] for r in t["samples"].where("sample_id between 2000 and 2999").collect()} == {"d2"}
+    assert {r.src_tokens[0] for r in t["samples"].where(f"sample_id >= {2 << 24}").collect()} == {"d2"}
     assert t["targets"].groupBy(*KEYS, "side", "target_id").count().where("count > 1").count() == 0
+
+
+def test_all_words_are_in_samples(spark, tmp_path):
+    texts = ["one\n\n two  words " + " ".join(f"w{i}" for i in range(95)), "", None, " \n "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = tables(spark, str(tmp_path))["samples"].orderBy("sample_id").collect()
+    assert [len(r.src_tokens) for r in got] == [1, 40, 40, 17] and [t for r in got for t in r.src_tokens] == texts[0].split()
+
+
+def random_data(spark, n=60, seed=2):
+    """Random edits that neither overlap nor agree, empty references, and samples without an edit."""
+    rng = random.Random(seed)
+    samples, targets, edits = [], [], []
+    for i in range(n):
+        src = [rng.choice("abcde") for _ in range(rng.randint(1, 9))]
+        samples.append(("s", i, src))
+        for side, k in [("hyp", 0), *(("ref", j) for j in range(rng.randint(1, 3)))]:
+            out, at, no = [], 0, 0
+            own = []
+            if rng.random() < 0.1:
+                own = [(0, len(src), [])]
+            else:
+                while at <= len(src) and rng.random() < 0.6:
+                    a = rng.randint(at, len(src))
+                    b = rng.randint(a, min(a + 2, len(src)))
+                    new = [rng.choice("abcdz") for _ in range(rng.randint(0 if b > a else 1, 2))]
+                    if not own or own[-1][1] < a or (own[-1][1] == a and b > a):
+                        own.append((a, b, new))
+                    at = b + 1
+            at = 0
+            for no, (a, b, new) in enumerate(own):
+                out += src[at:a]
+                edits.append(("s", i, side, k, no, a, b, len(out), len(out) + len(new), src[a:b], new, ["R:X"]))
+                out += new
+                at = b
+            targets.append(("s", i, side, k, out + src[at:]))
+    return {"samples": spark.createDataFrame(samples, model.SAMPLES), "targets": spark.createDataFrame(targets, model.TARGETS), "edits": spark.createDataFrame(edits, model.EDITS)}
+
+
+def test_grouped_plan_equals_tables(spark):
+    d = random_data(spark)
+    g = G.drop_empty_refs(G.group(d["samples"], d["targets"], d["edits"]))
+    live = E.drop_empty_refs(d["targets"])
+    rows = lambda df: sorted(map(str, df.collect()))
+    for distance in (0, 1):
+        ch = C.chunks(d["samples"], live, E.keep_edits_of(d["edits"], live), distance)
+        assert rows(G.chunk_rows(g, distance).select(*ch.columns)) == rows(ch)
+    for name, f in (("dependent", O.dependent_outcomes), ("independent", O.independent_outcomes)):
+        for detection in (False, True):
+            want = f(C.chunks(d["samples"], live, E.keep_edits_of(d["edits"], live)), detection)
+            assert rows(G.match_rows(g, name, detection).select(*want.columns)) == rows(want)
+            counts = S.ref_counts(want, S.reference_pairs(live))
+            assert rows(G.counts(g, name, detection).select(*counts.columns)) == rows(counts)
+    for detection in (False, True):
+        want = S.ref_counts(O.edit_outcomes(d["targets"], d["edits"], detection), S.reference_pairs(d["targets"]))
+        assert rows(G.edit_counts(G.group(d["samples"], d["targets"], d["edits"]), detection).select(*want.columns)) == rows(want)
+
+
+@pytest.mark.parametrize("by", ["prf", "heuo"])
+def test_fold_in_blocks_equals_one_fold(spark, by):
+    rng = random.Random(8)
+    rows = []
+    for i in range(900):
+        for k in range(rng.choice([1, 2, 3])):
+            tp, ne, un, fn = (rng.choice([0, 0, 1, 2]) for _ in range(4))
+            rows.append(("s", i << 16, k, *(float(x) for x in (tp, ne + un, fn, 3, ne, un))))
+    df = spark.createDataFrame(rows, "system_id string, sample_id bigint, ref_id int, " + ", ".join(f"{c} double" for c in S.COUNTS))
+    assert S.corpus_totals(df, by, fold_rows=60).collect() == S.corpus_totals(df, by).collect()
+
+
+def test_evaluate_entry(spark, tmp_path):
+    d = random_data(spark, 12, 3)
+    scores, m = evaluate(d, "heuo", weigher="length", validate=True, adapt=True, persist=str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "scores")).count() == 1 and spark.read.parquet(str(tmp_path / "out" / "matches")).count() == m.count()
+    assert {"necessary", "unnecessary", "com"} <= set(scores.columns)
+    assert evaluate_all(d, "heuo", adapt=True).count() == 4
+    bare = {k: v for k, v in d.items() if k != "edits"}
+    got = with_edits(bare)
+    back = E.apply_edits(d["samples"], d["targets"], got["edits"]).select(*TARGET, "tgt_tokens")
+    assert sorted(map(str, back.collect())) == sorted(map(str, d["targets"].select(*TARGET, "tgt_tokens").collect()))
+    assert evaluate(bare, "chunk", sim=lambda a, b: F.lit(0.5), weigher="similarity")[0].count() == 1
+    assert with_edits({**d, "edits": d["edits"].where("side = 'ref'")})["edits"].where("side = 'hyp'").count() > 0
+    with pytest.raises(ValueError):
+        evaluate(d, "chunk", "none")
+    with pytest.raises(ValueError):
+        evaluate({**d, "targets": d["targets"].where("side = 'hyp'")}, validate=True)
+
+
+#: Published values of the chunk metric, corpus level, dependent, length weights; and values derived from the same files.
+PUBLISHED = {"num_sample": 1312, "f": 0.2514, "acc": 0.7634, "p": 0.2645, "r": 0.2097, "tp": 313.51, "fp": 871.8, "fn": 1181.71, "tn": 6312.0}
+DERIVED = [
+    (("chunk", "dependent", "none"), {"f": 0.2932, "tp": 382, "fp": 815, "fn": 1345, "tn": 6313}),
+    (("chunk", "independent", "none"), {"f": 0.3127, "tp": 388, "fp": 809, "fn": 1029, "tn": 6629}),
+    (("chunk", "independent", "length"), {"f": 0.2661, "tp": 318.01, "fp": 864.3, "fn": 927.54, "tn": 6629}),
+    (("edit", "dependent", "none"), {"f": 0.3208, "tp": 483, "fp": 795, "fn": 1934}),
+    (("heuo", "dependent", "none"), {"com": 0.4632, "tp": 381, "fp": 816, "fn": 1358, "fp_ne": 279, "fp_un": 537}),
+    (("heuo", "independent", "none"), {"com": 0.4661}),
+    (("gleu", "dependent", "none"), {"score": 0.5833}),
+]
+
+
+def shared_task_files():
+    """The references and one system's corrections of the shared task, wherever they lie."""
+    for p in Path("/root").glob("reference/**/*-AMU.*"):
+        ref = p.with_name(p.name.replace("-AMU", ""))
+        if ref.exists() and p.stat().st_size > 100_000:
+            return str(ref), str(p)
+    return None
+
+
+@pytest.mark.skipif(shared_task_files() is None, reason="the shared task's files are not here")
+def test_published_scores(spark):
+    ref, hyp = shared_task_files()
+    d = dataset(read_blocks(spark, hyp, "AMU", "hyp"), read_blocks(spark, ref, "AMU", "ref"))
+    d["grouped"] = G.group(d["samples"], d["targets"], d["edits"]).persist()
+    for (metric, assumption, weigher), want in [(("chunk", "dependent", "length"), PUBLISHED), *DERIVED]:
+        got = evaluate(d, metric, assumption, weigher)[0].first().asDict()
+        assert {k: pytest.approx(v, abs=0.0051 if v > 1 else 0.00005001) for k, v in want.items()} == {k: got[k] for k in want}
+    got = evaluate(d, "chunk", level="sentence")[0].first()
+    assert (got.f, got.p, got.r, got.acc) == pytest.approx((0.353736, 0.621284, 0.485015, 0.788259), abs=1e-6)
+    got = evaluate(d, "heuo", "independent", level="sentence")[0].first()
+    assert got.com == pytest.approx(0.547270, abs=1e-6)
+    got = evaluate(d, "gleu", level="sentence")[0].first()
+    assert (got.score, got.std) == pytest.approx((0.5767, 0.2909), abs=5e-5)
