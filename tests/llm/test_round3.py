@@ -103,3 +103,24 @@ def test_repeated_rows_and_rows_without_id(spark):
     assert sorted(str(r.text).strip() for r in got) == sorted([passage, "", "Mine first here.", "Mine last here.", "None"])
     kept = simhash.keep_one(df.where(F.col("text") == line))
     assert [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_rare_shingles_lose_no_pair(spark):
+    from corrigenda.llm import similar
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(70)]
+    texts = []
+    for _ in range(90):
+        w = list(base)
+        for p in rng.sample(range(70), rng.randint(1, 3)):
+            w[p] = f"{rng.choice('abc')}{p}"
+        texts.append(" ".join(w[: rng.randint(60, 70)]))
+    sets = {int(similar._digest(s)): {int(v) for v in s.view(np.int64)} for s in map(similar.shingle_set, texts)}
+    table = spark.createDataFrame([(d, sorted(s)) for d, s in sets.items()], "sd bigint, s array<bigint>")
+    rows = table.select(F.struct(F.lit(0).cast("long").alias("k"), F.col("sd").alias("d"), F.size("s").alias("n")).alias("x"), F.col("sd").alias("c"))
+    likely = similar._by_rare(rows, table, 0.8)
+    got = {(min(r.u.d, r.v.d), max(r.u.d, r.v.d)) for r in similar._similar(likely, table, 0.8).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert want and got == want and likely.count() < len(sets) * (len(sets) - 1) // 2
+    assert similar._by_rare(rows.limit(0), table, 0.8).count() == 0
