@@ -20,7 +20,7 @@ def _smallest(edges: DataFrame, larger_only: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``node, component`` for every node of ``edges(u, v)`` (integers): the smallest node reachable.
+    """``node, component`` for every node of ``edges(u, v)`` (of any type with an order): the smallest node reachable.
 
     Self-loops and edges with a null end are ignored; repeated edges count once. Each round is
     written to the shared folder, so a lost executor costs one round at most. Rounds grow with the

@@ -124,3 +124,14 @@ def test_rare_shingles_lose_no_pair(spark):
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert want and got == want and likely.count() < len(sets) * (len(sets) - 1) // 2
     assert similar._by_rare(rows.limit(0), table, 0.8).count() == 0
+
+
+def test_near_copies_of_repeated_rows_and_rows_without_id(spark):
+    from corrigenda.llm import similar
+
+    w = [f"t{i}" for i in range(90)]
+    near = " ".join([*w[:40], "changed", *w[41:]])
+    data = [(3, " ".join(w), "x"), (3, near, "y"), (None, near, "z"), (None, "alone here", "z"), (7, "alone here", "k"), (3, "of its own", "c")]
+    got = similar.keep_one_similar(spark.createDataFrame(data, "doc_id bigint, text string, k string"))
+    rows = sorted((r.doc_id or 0, r.text) for r in got.collect())
+    assert len(rows) == 3 and rows[1:] == [(3, "of its own"), (7, "alone here")] and rows[0][0] == 3 and rows[0][1] in (" ".join(w), near)
