@@ -159,6 +159,7 @@ ORACLES: dict[str, str] = {
     "json_round_trip": _SCAN,
     "apply_edits": _APPLY,
     "extract_round_trip": _APPLY,
+    "english_round_trip": _APPLY,
     "invalid_edits": _COMMON + "SELECT 0::BIGINT AS n_bad, count(*) AS n_edits FROM edits",
     **{f"edit_{o}": _COMMON + _EC + f"SELECT sample_id, ref_id, src_start, src_end, tgt AS tgt_tokens FROM em WHERE outcome = '{o}'" for o in ("tp", "fp", "fn")},
     "edit_detection": _COMMON + _ED + "SELECT sample_id, ref_id, src_start, src_end, outcome FROM em",

@@ -13,7 +13,8 @@ from __future__ import annotations
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corrigenda.operators.grouped import GROUPED, ungroup
 from corrigenda.tables import spread
@@ -82,3 +83,19 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """``samples, targets, edits`` as tables, and ``grouped``, which they are derived from row by row."""
     g = grouped(spark, sf_dir)
     return {**ungroup(g), "grouped": g}
+
+
+def annotate(tokens: Column) -> Column:
+    """Annotations by the look of a token, for want of a tagger: tag by its ending, all depend on the first."""
+
+    def one(t: Column) -> Column:
+        low = F.lower(t)
+        tag = (
+            F.when(~t.rlike("\\p{L}"), ".").when(F.length(t) <= 2, "IN").when(F.length(t) == 3, "DT").when(low.endswith("s"), "NNS")
+            .when(low.endswith("ed"), "VBD").when(low.endswith("ng"), "VBG").when(low.endswith("y"), "JJ").otherwise("NN")
+        )
+        pos = F.when(tag == ".", "PUNCT").when(tag == "IN", "ADP").when(tag == "DT", "DET").when(tag.startswith("V"), "VERB").when(tag == "JJ", "ADJ").otherwise("NOUN")
+        dep = F.when(tag == ".", "punct").when(tag == "IN", "prep").when(tag == "DT", "det").when(tag == "JJ", "amod").otherwise("dobj")
+        return F.struct(t.alias("text"), F.regexp_replace(low, "(ed|ing|s)$", "").alias("lemma"), pos.alias("pos"), tag.alias("tag"), dep.alias("dep"), F.lit(0).alias("head"))
+
+    return F.transform(tokens, one)

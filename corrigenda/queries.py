@@ -11,6 +11,7 @@ from corrigenda.functions import text as X
 from corrigenda.model import KEYS, TARGET
 from corrigenda.operators import chunks as C
 from corrigenda.operators import edits as E
+from corrigenda.operators import english as N
 from corrigenda.operators import extract as K
 from corrigenda.operators import gleu as G
 from corrigenda.operators import grouped as R
@@ -18,7 +19,7 @@ from corrigenda.operators import outcomes as O
 from corrigenda.operators import scores as S
 from corrigenda.operators import weights as W
 from corrigenda.plans.evaluate import evaluate, evaluate_all
-from corrigenda.plans.testbed import tables
+from corrigenda.plans.testbed import annotate, tables
 from corrigenda.sources import blocks as B
 from corrigenda.sources import nested as J
 from corrigenda.tables import shared_path
@@ -250,6 +251,24 @@ for _s in ("split", "merge", "equal", "rules"):
     QUERIES[f"merge_{_s}"] = _merged(_s)
 
 
+def _english(spark, sf_dir):
+    p = _pairs(spark, sf_dir).withColumns({"src_ann": annotate(F.col("src_tokens")), "tgt_ann": annotate(F.col("tgt_tokens"))})
+    return N.annotated_edits(p, N.merge_annotated(p))
+
+
+@query
+def merge_english(spark, sf_dir):
+    """Edits of annotated pairs, merged and typed by the rules for English."""
+    return _english(spark, sf_dir).select("sample_id", "side", "target_id", "edit_no", "src_start", "src_end", _words("tgt_tokens"), F.col("types")[0].alias("type"))
+
+
+@query
+def english_round_trip(spark, sf_dir):
+    """Targets rebuilt by applying the edits of ``merge_english``."""
+    t = tables(spark, sf_dir)
+    return E.apply_edits(t["samples"], t["targets"], _english(spark, sf_dir)).select("sample_id", "side", "target_id", _words("tgt_tokens"))
+
+
 @query
 def extract_round_trip(spark, sf_dir):
     """Targets rebuilt by applying the extracted edits."""
