@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,16 +14,26 @@ PAIR = ["system_id", "sample_id", "side", "target_id"]
 ALIGNED = "system_id string, sample_id bigint, side string, target_id int, step int, op string, s0 int, s1 int, t0 int, t1 int"
 
 
+@lru_cache(1 << 14)
+def _places(word: str) -> dict[str, int]:
+    """A number per character, with a bit for each of its places in the word."""
+    out: dict[str, int] = {}
+    for k, ch in enumerate(word):
+        out[ch] = out.get(ch, 0) | 1 << k
+    return out
+
+
+@lru_cache(1 << 16)
 def indel_distance(a: str, b: str) -> float:
-    """1 - 2 * LCS / (len a + len b)."""
+    """1 - 2 * LCS / (len a + len b), a character of b at a time over the bits of a."""
     if not a and not b:
         return 0.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diag = 0
-        for j, y in enumerate(b, 1):
-            diag, row[j] = row[j], diag + 1 if x == y else max(row[j], row[j - 1])
-    return 1 - 2 * row[-1] / (len(a) + len(b))
+    at, full = _places(a), (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & at.get(y, 0)
+        row = (row + hit | row - hit) & full
+    return 1 - 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
 def substitution_cost(a: tuple[str, str, str], b: tuple[str, str, str]) -> float:
@@ -62,12 +73,20 @@ def align(src: list[tuple[str, str, str]], tgt: list[tuple[str, str, str]], stan
                 if (a, b) not in memo:
                     memo[a, b] = cost(a, b)
                 sub = memo[a, b]
-                k = 1
-                while i > k and j > k and best[i - k][j - k] != best[i - k - 1][j - k - 1]:
-                    if sorted(low[0][i - k - 1 : i]) == sorted(low[1][j - k - 1 : j]):
+                k, surplus, uneven = 0, {}, 0
+                while True:
+                    x, y = low[0][i - k - 1], low[1][j - k - 1]
+                    if x != y:
+                        for word, d in ((x, 1), (y, -1)):
+                            c = surplus.get(word, 0)
+                            surplus[word] = c + d
+                            uneven += (c + d != 0) - (c != 0)
+                    if k and not uneven:
                         options.append((best[i - k - 1][j - k - 1] + k, 0, f"T{k + 1}"))
                         break
                     k += 1
+                    if i <= k or j <= k or best[i - k][j - k] == best[i - k - 1][j - k - 1]:
+                        break
             options += [(best[i - 1][j - 1] + sub, 1, "S"), (best[i][j - 1] + 1, 2, "I"), (best[i - 1][j] + 1, 3, "D")]
             best[i][j], _, how[i][j] = min(options)
     out, i, j = [], n, m

@@ -229,8 +229,9 @@ def gleu_sentence(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    return t["targets"].join(t["samples"], KEYS)
+    """Every target beside its source, which stand in one row already."""
+    g = tables(spark, sf_dir)["grouped"].select(*KEYS, "src_tokens", F.explode("t").alias("t"))
+    return g.select(*KEYS, "src_tokens", "t.side", "t.target_id", "t.tgt_tokens")
 
 
 @query
