@@ -44,7 +44,21 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     if _written is not None:
         _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table that ``cut`` has written for ``df``; nothing may read it any more."""
+    path = getattr(df, "written_to", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @contextlib.contextmanager
@@ -57,8 +71,7 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
     finally:
         gone, _written = _written, outer
         for path in gone:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
 
 
 def keyed(docs: DataFrame, id_col: str) -> DataFrame:
