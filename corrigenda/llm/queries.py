@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrigenda.llm import html_text, lines, lz, neighbours, packing, pieces, prefixes, quality, simhash, spans, tokens, urls
+from corrigenda.llm import html_text, lines, lz, neighbours, packing, pieces, prefixes, quality, simhash, spans, tokens, urls, variants
 from corrigenda.tables import spread
 
 
@@ -69,12 +69,16 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.conversation_trie(_read(spark, sf_dir, "conversations"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_simhash_near_dedup, op3_substring_dedup, op4_quality_rules, op5_html_extraction,
         op6_document_fingerprints, op7_url_filters, op8_sentencepiece, op9_best_fit_packing, op10_line_dedup,
-        op11_nn_descent, op12_prefix_trie,
+        op11_nn_descent, op12_prefix_trie, op13_spelling_variants,
     )
 }
 
