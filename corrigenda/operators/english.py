@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrigenda.operators.extract import PAIR, _trimmed, align, indel_distance, operation
+from corrigenda.operators.align import align_many, op_name
+from corrigenda.operators.extract import PAIR, ROWS, WordCosts, _trimmed, indel_distance, operation
 
 TOKEN = "struct<text:string,lemma:string,pos:string,tag:string,dep:string,head:int>"
 SPANS = "system_id string, sample_id bigint, side string, target_id int, src_start int, src_end int, tgt_start int, tgt_end int, ops string, edit_no int"
@@ -142,24 +143,28 @@ def merged(steps: list[tuple[str, int, int, int, int]], src: list[Token], tgt: l
 
 
 def merge_annotated(pairs: DataFrame) -> DataFrame:
-    """Edit spans of pairs with ``src_ann, tgt_ann``: alignment and merging in one pass, a pair at a time."""
+    """Edit spans of pairs with ``src_ann, tgt_ann``: pairs are aligned many at a time, and merged in the same pass."""
 
     def tokens(ann) -> list[Token]:
         return [Token(t["text"], t["lemma"], t["pos"], t["tag"]) for t in ann]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                src, tgt = tokens(r.src_ann), tokens(r.tgt_ann)
-                steps = align([t[:3] for t in src], [t[:3] for t in tgt])
-                for no, (a, b) in enumerate(merged(steps, src, tgt)):
-                    part = steps[a:b]
-                    rows.append((*r[:4], part[0][1], part[-1][2], part[0][3], part[-1][4], "".join(s[0][0] for s in part), no))
-            yield pd.DataFrame(rows, columns=[*PAIR, "src_start", "src_end", "tgt_start", "tgt_end", "ops", "edit_no"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                sides = [(tokens(s), tokens(t)) for s, t in zip(*(c.to_pylist() for c in part.columns[len(PAIR) :]))]
+                owner, rows = [], []
+                for k, (columns, (src, tgt)) in enumerate(zip(align_many([([t[:3] for t in s], [t[:3] for t in u]) for s, u in sides], WordCosts), sides)):
+                    steps = [(op_name(kind), *x) for kind, *x in zip(*(c.tolist() for c in columns))]
+                    for no, (a, b) in enumerate(merged(steps, src, tgt)):
+                        owner.append(k)
+                        rows.append((steps[a][1], steps[b - 1][2], steps[a][3], steps[b - 1][4], "".join(s[0][0] for s in steps[a:b]), no))
+                cols = list(zip(*rows)) if rows else [()] * 6
+                kinds = [pa.int32()] * 4 + [pa.string(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(owner, pa.int64())) for k in range(len(PAIR))), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=[*PAIR, "src_start", "src_end", "tgt_start", "tgt_end", "ops", "edit_no"])
 
     text = lambda c: F.transform(c, lambda t: t["text"])
-    return pairs.where(text("src_ann") != text("tgt_ann")).select(*PAIR, "src_ann", "tgt_ann").mapInPandas(run, SPANS)
+    return pairs.where(text("src_ann") != text("tgt_ann")).select(*PAIR, "src_ann", "tgt_ann").mapInArrow(run, SPANS)
 
 
 def _first(rules: list[tuple[Column, Column | str]], otherwise: str) -> Column:

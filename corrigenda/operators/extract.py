@@ -1,102 +1,81 @@
-"""Edits from parallel text: alignment per pair, merging and typing as DataFrame operators."""
+"""Edits from parallel text: alignment of many pairs at once, merging and typing as DataFrame operators."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corrigenda.operators.align import Costs, Texts, _common, _lower_key, align_many, numbered, op_name
+
+#: Pairs that are aligned at a time.
+ROWS = 2048
 OPEN_CLASS = {"ADJ", "ADV", "NOUN", "VERB"}
 PAIR = ["system_id", "sample_id", "side", "target_id"]
 ALIGNED = "system_id string, sample_id bigint, side string, target_id int, step int, op string, s0 int, s1 int, t0 int, t1 int"
 
 
-@lru_cache(1 << 14)
-def _places(word: str) -> dict[str, int]:
-    """A number per character, with a bit for each of its places in the word."""
-    out: dict[str, int] = {}
-    for k, ch in enumerate(word):
-        out[ch] = out.get(ch, 0) | 1 << k
-    return out
-
-
 @lru_cache(1 << 16)
 def indel_distance(a: str, b: str) -> float:
-    """1 - 2 * LCS / (len a + len b), a character of b at a time over the bits of a."""
-    if not a and not b:
-        return 0.0
-    at, full = _places(a), (1 << len(a)) - 1
-    row = full
-    for y in b:
-        hit = row & at.get(y, 0)
-        row = (row + hit | row - hit) & full
-    return 1 - 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
-
-
-def substitution_cost(a: tuple[str, str, str], b: tuple[str, str, str]) -> float:
-    """Cost of replacing token a by b, both (text, lemma, part of speech); 0 if only case differs."""
-    if a[0].lower() == b[0].lower():
-        return 0.0
-    lemma = 0.0 if a[1] == b[1] else 0.499
-    pos = 0.0 if a[2] == b[2] else 0.25 if {a[2], b[2]} <= OPEN_CLASS else 0.5
-    return lemma + pos + indel_distance(a[0], b[0])
-
-
-def align(src: list[tuple[str, str, str]], tgt: list[tuple[str, str, str]], standard: bool = False, cost=substitution_cost) -> list[tuple[str, int, int, int, int]]:
-    """Cheapest alignment as (op, s0, s1, t0, t1); ops M, S, D, I and T<k> for reordered runs.
-
-    Deleting and inserting cost 1; a run of k + 1 tokens that is a reordering of the other side's
-    costs k more than what precedes it. On equal cost T goes before S, S before I, I before D.
-    """
-    n, m = len(src), len(tgt)
-    low = [[t[0].lower() for t in side] for side in (src, tgt)]
-    best = [[0.0] * (m + 1) for _ in range(n + 1)]
-    how = [["D"] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        best[i][0] = float(i)
-    for j in range(1, m + 1):
-        best[0][j], how[0][j] = float(j), "I"
-    memo: dict = {}
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            a, b = src[i - 1], tgt[j - 1]
-            if a[0] == b[0]:
-                best[i][j], how[i][j] = best[i - 1][j - 1], "M"
-                continue
-            options = []
-            if standard:
-                sub = 1.0
-            else:
-                if (a, b) not in memo:
-                    memo[a, b] = cost(a, b)
-                sub = memo[a, b]
-                k, surplus, uneven = 0, {}, 0
-                while True:
-                    x, y = low[0][i - k - 1], low[1][j - k - 1]
-                    if x != y:
-                        for word, d in ((x, 1), (y, -1)):
-                            c = surplus.get(word, 0)
-                            surplus[word] = c + d
-                            uneven += (c + d != 0) - (c != 0)
-                    if k and not uneven:
-                        options.append((best[i - k - 1][j - k - 1] + k, 0, f"T{k + 1}"))
-                        break
-                    k += 1
-                    if i <= k or j <= k or best[i - k][j - k] == best[i - k - 1][j - k - 1]:
-                        break
-            options += [(best[i - 1][j - 1] + sub, 1, "S"), (best[i][j - 1] + 1, 2, "I"), (best[i - 1][j] + 1, 3, "D")]
-            best[i][j], _, how[i][j] = min(options)
-    out, i, j = [], n, m
-    while i or j:
-        op = how[i][j]
-        k = int(op[1:]) if op[0] == "T" else 1
-        di, dj = (k, k) if op[0] in "TMS" else (1, 0) if op == "D" else (0, 1)
-        out.append((op, i - di, i, j - dj, j))
-        i, j = i - di, j - dj
-    return out[::-1]
+    """1 - 2 * LCS / (len a + len b)."""
+    both = len(a) + len(b)
+    return 1 - 2 * _common(a, b) / both if both else 0.0
+
+
+class WordCosts(Costs):
+    """Costs for tokens (text, lemma, part of speech): lemma, part of speech and characters; 0 if only case differs."""
+
+    def __init__(self, vocabulary: Sequence[tuple[str, str, str]]) -> None:
+        texts, self.text = numbered([t[0] for t in vocabulary])
+        self.chars = Texts(texts)
+        self.low, self.lemma = (numbered(x)[1] for x in ([t[0].lower() for t in vocabulary], [t[1] for t in vocabulary]))
+        kinds, self.pos = numbered([t[2] for t in vocabulary])
+        self.open = np.array([k in OPEN_CLASS for k in kinds], bool)
+
+    def _known(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        p, q = self.pos[a], self.pos[b]
+        pos = np.where(p == q, 0.0, np.where(self.open[p] & self.open[q], 0.25, 0.5))
+        return np.where(self.lemma[a] == self.lemma[b], 0.0, 0.499) + pos
+
+    def least(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(self.low[a] == self.low[b], 0.0, self._known(a, b) + self.chars.least(self.text[a], self.text[b]))
+
+    def cost(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(self.low[a] == self.low[b], 0.0, self._known(a, b) + self.chars.distance(self.text[a], self.text[b]))
+
+
+def align(src: list[tuple], tgt: list[tuple], standard: bool = False, costs: Callable[[Sequence[tuple]], Costs] = WordCosts) -> list[tuple[str, int, int, int, int]]:
+    """``align_many`` of one pair, as (op, s0, s1, t0, t1); ops M, S, D, I and T<k> for reordered runs of k."""
+    (steps,) = align_many([(src, tgt)], None if standard else costs)
+    return [(op_name(k), *x) for k, *x in zip(*(c.tolist() for c in steps))]
+
+
+def _tokens(words: list[str], lemmas: list[str] | None, kinds: list[str] | None) -> list[tuple[str, str, str]]:
+    return list(zip(words, lemmas or [w.lower() for w in words], kinds or [""] * len(words)))
+
+
+def steps_of(pairs: DataFrame, columns: list[str], read: Callable[..., tuple[list[tuple], list[tuple]]], costs: Callable[[Sequence[tuple]], Costs] | None, fold: Callable[[tuple], str] = _lower_key) -> DataFrame:
+    """Alignment steps (ALIGNED) of ``pairs``: ``read(*values of columns)`` gives the tokens of both sides of a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                steps = align_many([read(*row) for row in zip(*(c.to_pylist() for c in part.columns[len(PAIR) :]))], costs, fold)
+                size = [len(s[0]) for s in steps]
+                kind, *places = (np.concatenate(c) if len(c) else np.zeros(0, np.int64) for c in zip(*steps))
+                kinds, number = np.unique(kind, return_inverse=True)
+                owner = pa.array(np.repeat(np.arange(len(size)), size))
+                ends = np.cumsum(size)
+                step = np.arange(len(kind)) - np.repeat(ends - size, size)
+                op = pa.DictionaryArray.from_arrays(pa.array(number, pa.int32()), pa.array([op_name(int(k)) for k in kinds], pa.string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(owner) for k in range(len(PAIR))), pa.array(step, pa.int32()), op, *(pa.array(c, pa.int32()) for c in places)], names=[*PAIR, "step", "op", "s0", "s1", "t0", "t1"])
+
+    return pairs.select(*PAIR, *columns).mapInArrow(run, ALIGNED)
 
 
 def align_pairs(pairs: DataFrame, standard: bool = False) -> DataFrame:
@@ -105,23 +84,10 @@ def align_pairs(pairs: DataFrame, standard: bool = False) -> DataFrame:
     Identical pairs have nothing to align and are left out. Without annotations a token's lemma is
     its lower case and all parts of speech are equal.
     """
-    extra = [c for c in ("src_lemma", "src_pos", "tgt_lemma", "tgt_pos") if c in pairs.columns]
-    todo = pairs.where(F.col("src_tokens") != F.col("tgt_tokens")).select(*PAIR, "src_tokens", "tgt_tokens", *extra)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                sides = []
-                for side in ("src", "tgt"):
-                    toks = list(getattr(r, f"{side}_tokens"))
-                    lem = getattr(r, f"{side}_lemma", None)
-                    pos = getattr(r, f"{side}_pos", None)
-                    sides.append([(t, lem[k] if lem is not None else t.lower(), pos[k] if pos is not None else "") for k, t in enumerate(toks)])
-                rows += [(r.system_id, r.sample_id, r.side, r.target_id, k, *s) for k, s in enumerate(align(*sides, standard=standard))]
-            yield pd.DataFrame(rows, columns=[*PAIR, "step", "op", "s0", "s1", "t0", "t1"])
-
-    return todo.mapInPandas(run, ALIGNED)
+    names = [f"{side}_{x}" for side in ("src", "tgt") for x in ("tokens", "lemma", "pos")]
+    todo = pairs.where(F.col("src_tokens") != F.col("tgt_tokens"))
+    todo = todo.withColumns({c: F.lit(None).cast("array<string>") for c in names if c not in pairs.columns})
+    return steps_of(todo, names, lambda *v: (_tokens(*v[:3]), _tokens(*v[3:])), None if standard else WordCosts)
 
 
 def merge_steps(steps: DataFrame, strategy: str = "rules") -> DataFrame:
