@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrigenda.model import KEYS
+from corrigenda.operators.likeness import score_pairs
 
 
 @dataclass(frozen=True)
@@ -97,14 +98,24 @@ def weigh_by_similarity(matches: DataFrame, samples: DataFrame, targets: DataFra
     m = m.join(hyp, [*KEYS, "chunk_idx"], "left").join(own, [*KEYS, "ref_id", "chunk_idx"], "left")
     cand = F.when(F.col("outcome") == "fn", F.col("_r")).otherwise(F.col("_h"))
     m = m.withColumn("_cand", F.when(F.size(F.coalesce(cand, F.array())) > 0, cand).otherwise(F.col("_src")))
-    pairs = m.select(F.col("_cand").alias("a"), F.col("_ref").alias("b")).unionByName(m.select(F.col("_src").alias("a"), F.col("_ref").alias("b"))).distinct()
-    scored = pairs.withColumn("s", sim(F.col("a"), F.col("b")))
+    pairs = m.select(F.col("_cand").alias("a"), F.col("_ref").alias("b")).unionByName(m.select(F.col("_src").alias("a"), F.col("_ref").alias("b")))
+    scored = score_pairs(pairs, sim)
     m = m.join(scored.select(F.col("a").alias("_cand"), F.col("b").alias("_ref"), F.col("s").alias("_s1")), ["_cand", "_ref"])
     m = m.join(scored.select(F.col("a").alias("_src"), F.col("b").alias("_ref"), F.col("s").alias("_s0")), ["_src", "_ref"])
     touched = m.select(*matches.columns, F.abs(F.col("_s0") - F.col("_s1")).alias("weight"))
     return touched.unionByName(matches.where("outcome = 'tn'").withColumn("weight", F.lit(1.0)))
 
 
+def reverted_targets(chunks: DataFrame, side: str = "ref") -> DataFrame:
+    """A target with exactly one of its marked chunks put back to the source, per (target, chunk): ``tokens``."""
+    t = chunks.where(F.col("side") == side).groupBy(*KEYS, "target_id").agg(
+        F.sort_array(F.collect_list(F.struct("chunk_idx", "src_tokens", "tgt_tokens", "is_marked"))).alias("c")
+    )
+    one = t.select(*KEYS, "target_id", "c", F.explode(F.filter("c", lambda x: x["is_marked"])).alias("k"))
+    tokens = F.flatten(F.transform("c", lambda x: F.when(x["chunk_idx"] == F.col("k.chunk_idx"), x["src_tokens"]).otherwise(x["tgt_tokens"])))
+    return one.select(*KEYS, "target_id", F.col("k.chunk_idx").alias("chunk_idx"), F.filter(tokens, lambda x: x != "").alias("tokens"))
+
+
 def replaced_references(matches: DataFrame, chunks: DataFrame) -> DataFrame:
     """Each reference with one chunk taken from the hypothesis, per false positive or negative: ``tokens``."""
     ref = chunks.where("side = 'ref'").groupBy(*KEYS, F.col("target_id").alias("ref_id")).agg(
@@ -129,12 +140,14 @@ def weigh_by_replacement(matches: DataFrame, samples: DataFrame, targets: DataFr
     hits = hits.withColumn("_b", F.when(F.size(F.coalesce("_p", F.array())) > 0, F.col("_p")).otherwise(F.col("_a")))
     wrong = replaced_references(matches, chunks).withColumnRenamed("tokens", "_a").join(ref, [*KEYS, "ref_id"])
     m = hits.select(*matches.columns, "_a", "_b").unionByName(wrong.select(*matches.columns, "_a", "_b"))
-    scored = m.select("_a", "_b").distinct().withColumn("_s", sim(F.col("_a"), F.col("_b")))
+    scored = score_pairs(m.select(F.col("_a").alias("a"), F.col("_b").alias("b")), sim).toDF("_a", "_b", "_s")
     touched = m.join(scored, ["_a", "_b"]).select(*matches.columns, (1 - F.col("_s")).alias("weight"))
     return touched.unionByName(matches.where("outcome = 'tn'").withColumn("weight", F.lit(1.0)))
 
 
 def source_similarity(samples: DataFrame, targets: DataFrame, sim=token_f1) -> DataFrame:
     """``sim_src_tgt`` per reference."""
-    r = targets.where("side = 'ref'").join(samples.select(*KEYS, "src_tokens"), KEYS)
-    return r.select(*KEYS, F.col("target_id").alias("ref_id"), sim(F.col("src_tokens"), F.col("tgt_tokens")).alias("sim_src_tgt"))
+    r = targets.where("side = 'ref'").join(samples.select(*KEYS, "src_tokens"), KEYS).select(*KEYS, F.col("target_id").alias("ref_id"), F.col("src_tokens").alias("a"), F.col("tgt_tokens").alias("b"))
+    if not hasattr(sim, "scores"):
+        return r.select(*KEYS, "ref_id", sim(F.col("a"), F.col("b")).alias("sim_src_tgt"))
+    return r.join(sim.scores(r), ["a", "b"]).select(*KEYS, "ref_id", F.col("s").alias("sim_src_tgt"))

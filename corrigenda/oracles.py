@@ -153,6 +153,9 @@ _APPLY = _COMMON + "SELECT sample_id, side, target_id, tgt AS tgt_tokens FROM ta
 _PRF_OUT = "num_sample, p, r, f, acc, tp, fp, fn, tn"
 _SENT = ", best AS (SELECT sample_id, arg_max(prf, row(f, p, r, acc, -ref_id)) AS x FROM prf GROUP BY 1) SELECT count(*) AS num_sample, round(avg(x.p), 6) AS p, round(avg(x.r), 6) AS r, round(avg(x.f), 6) AS f, round(avg(x.acc), 6) AS acc, sum(x.tp) AS tp, sum(x.fp) AS fp, sum(x.fn) AS fn, sum(x.tn) AS tn FROM best"
 
+_LETTERS, _CHARACTERS = "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x4E00, 0x4E00 + 26)))
+_CHUNKS_ALL = _COMMON + _CHUNKS
+
 ORACLES: dict[str, str] = {
     "prf_corpus_dependent": _COMMON + _DEP + _cnt(pairs="live") + _fold(_FOLD_F) + _prf("tot") + f"SELECT {_PRF_OUT} FROM prf",
     "edits_scan": _SCAN,
@@ -214,4 +217,30 @@ ORACLES: dict[str, str] = {
     "char_tokens": _COMMON + "SELECT sample_id, CAST(length(regexp_replace(array_to_string(src, ''), '\\s', '', 'g')) AS BIGINT) AS n_chars FROM samples",
     "token_similarity": _COMMON + ", o AS (SELECT e.*, s.src[src_start + 1] AS a FROM edits e JOIN samples s USING (sample_id) WHERE src_end - src_start = 1 AND tgt <> '') SELECT sample_id, side, target_id, edit_no, round(1 - levenshtein(a, tgt)::DOUBLE / greatest(length(a), length(tgt)), 6) AS similarity, length(a) = length(tgt) AND contains(a || a, tgt) AS rotation FROM o",
     "cjk_filter": "SELECT doc_id, CASE WHEN length(text) > 40 THEN substr(text, 1, 37) || '...' ELSE text END AS head, regexp_matches(substr(text, 1, 1), '[!-/:-@\\[-`{-~]') AS punct FROM documents WHERE NOT regexp_matches(text, '[\\x{3400}-\\x{9fff}]')",
+    "reverted_refs": _CHUNKS_ALL + ", b1 AS (SELECT sample_id, k, chunk_idx FROM ch WHERE k > 0 AND marked), p1 AS (SELECT b.sample_id, b.k, b.chunk_idx, c.chunk_idx AS ci, CASE WHEN c.chunk_idx = b.chunk_idx THEN array_to_string(s.src[c.src_start + 1:c.src_end], ' ') ELSE c.tgt END AS x FROM b1 b JOIN ch c ON c.sample_id = b.sample_id AND c.k = b.k JOIN samples s ON s.sample_id = b.sample_id) SELECT sample_id, CAST(k - 1 AS INT) AS target_id, chunk_idx, coalesce(string_agg(x, ' ' ORDER BY ci) FILTER (WHERE x <> ''), '') AS tokens FROM p1 GROUP BY sample_id, k, chunk_idx",
+    "vector_similarity": _COMMON + """, nn AS (SELECT count(*) AS n FROM embeddings),
+a AS (SELECT t.sample_id, t.i, (length(t) * 31 + ascii(t) * 7 + ascii(right(t, 1)) * 13) % nn.n AS v FROM tok t, nn),
+b AS (SELECT sample_id, k, i, (length(t) * 31 + ascii(t) * 7 + ascii(right(t, 1)) * 13) % nn.n AS v FROM (SELECT sample_id, k, unnest(tt) AS t, unnest(range(len(tt))) AS i FROM targets WHERE k > 0), nn),
+used AS MATERIALIZED (SELECT DISTINCT v FROM (SELECT v FROM a UNION ALL SELECT v FROM b)),
+e AS MATERIALIZED (SELECT vec_id AS v, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IN (SELECT v FROM used)),
+cs AS MATERIALIZED (SELECT p.v AS va, q.v AS vb, list_cosine_similarity(p.x, q.x) AS c FROM e p, e q),
+al AS MATERIALIZED (SELECT sample_id, v, count(*) AS n FROM a GROUP BY ALL), bl AS MATERIALIZED (SELECT sample_id, k, v, count(*) AS n FROM b GROUP BY ALL),
+m AS MATERIALIZED (SELECT bl.sample_id, bl.k, al.v AS va, bl.v AS vb, al.n AS na, bl.n AS nb, cs.c FROM bl JOIN al USING (sample_id) JOIN cs ON cs.va = al.v AND cs.vb = bl.v),
+p AS (SELECT sample_id, k, sum(na * c) / sum(na) AS p FROM (SELECT sample_id, k, va, any_value(na) AS na, max(c) AS c FROM m GROUP BY ALL) GROUP BY ALL),
+r AS (SELECT sample_id, k, sum(nb * c) / sum(nb) AS r FROM (SELECT sample_id, k, vb, any_value(nb) AS nb, max(c) AS c FROM m GROUP BY ALL) GROUP BY ALL)
+SELECT t.sample_id, CAST(t.k - 1 AS INT) AS ref_id, round(CASE WHEN t.tgt = '' OR s.n = 0 THEN CAST(t.tgt = '' AND s.n = 0 AS INT) WHEN p > 0 AND r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS sim_src_tgt
+FROM targets t JOIN samples s USING (sample_id) LEFT JOIN p USING (sample_id, k) LEFT JOIN r USING (sample_id, k) WHERE t.k > 0""",
+    "chinese_round_trip": _COMMON + f"SELECT sample_id, side, target_id, translate(tgt, '{_LETTERS}', '{_CHARACTERS}') AS tgt_tokens FROM targets",
+    "spelling_errors": _COMMON + """, w AS (SELECT e.sample_id, side, target_id, edit_no, s.src[src_start + 1] AS a, src_start % 4 = 0 AS even FROM edits e JOIN samples s USING (sample_id) WHERE src_end - src_start = 1),
+x AS MATERIALIZED (SELECT sample_id, side, target_id, edit_no, a, CASE WHEN even THEN translate(a, 'aeiou', 'eioua') ELSE reverse(a) END AS b FROM w),
+y AS MATERIALIZED (SELECT *, list_sort(string_split(a, '')) = list_sort(string_split(b, '')) AS turned FROM x),
+z AS (SELECT DISTINCT a, b, unnest(string_split(a, '')) AS c, unnest(string_split(b, '')) AS d FROM y WHERE NOT turned),
+q AS MATERIALIZED (SELECT DISTINCT c, d FROM z WHERE c <> d),
+k AS (SELECT c, d, ascii(c) % 11 <> 0 AND ascii(d) % 11 <> 0 AS known, bin(ascii(c)) AS sc, bin(ascii(d)) AS sd,
+  [chr(97 + ascii(c) % 7) || chr(97 + ascii(c) % 3), chr(97 + ascii(c) % 5) || chr(97 + ascii(c) % 2)] AS pc, [chr(97 + ascii(d) % 7) || chr(97 + ascii(d) % 3), chr(97 + ascii(d) % 5) || chr(97 + ascii(d) % 2)] AS pd FROM q),
+l AS MATERIALIZED (SELECT c, d, CASE WHEN known THEN 1 - levenshtein(sc, sd)::DOUBLE / greatest(length(sc), length(sd)) + greatest(
+  1 - levenshtein(pc[1], pd[1])::DOUBLE / 2, 1 - levenshtein(pc[1], pd[2])::DOUBLE / 2, 1 - levenshtein(pc[2], pd[1])::DOUBLE / 2, 1 - levenshtein(pc[2], pd[2])::DOUBLE / 2) END AS likeness,
+  known AND list_has_any(pc, pd) AS heard FROM k),
+g AS (SELECT a, b, min(likeness) AS likeness, bool_and(coalesce(likeness >= 0.8, false) OR heard) AS ok FROM z JOIN l USING (c, d) GROUP BY ALL)
+SELECT sample_id, side, target_id, edit_no, round(g.likeness, 6) AS likeness, turned OR coalesce(g.ok, false) AS misspelled FROM y LEFT JOIN g ON NOT turned AND g.a = y.a AND g.b = y.b""",
 }

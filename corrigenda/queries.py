@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from corrigenda.functions import text as X
 from corrigenda.model import KEYS, TARGET
+from corrigenda.operators import chinese as Z
 from corrigenda.operators import chunks as C
 from corrigenda.operators import edits as E
 from corrigenda.operators import english as N
 from corrigenda.operators import extract as K
 from corrigenda.operators import gleu as G
 from corrigenda.operators import grouped as R
+from corrigenda.operators import likeness as V
 from corrigenda.operators import outcomes as O
 from corrigenda.operators import scores as S
 from corrigenda.operators import weights as W
@@ -26,6 +28,9 @@ from corrigenda.tables import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: As many characters, in the order of their code points.
+CHARACTERS = "".join(map(chr, range(0x4E00, 0x4E00 + len(LETTERS))))
 
 
 def query(f: Query) -> Query:
@@ -198,6 +203,24 @@ def replacement_weights(spark, sf_dir):
     return _rounded(w.where("outcome <> 'tn'").select("sample_id", "ref_id", "chunk_idx", "outcome", "weight"))
 
 
+@query
+def reverted_refs(spark, sf_dir):
+    """References with one chunk put back to the source."""
+    return W.reverted_targets(_chunks(tables(spark, sf_dir))).select("sample_id", "target_id", "chunk_idx", _words("tokens"))
+
+
+@query
+def vector_similarity(spark, sf_dir):
+    """Source and reference by greedy matching of vectors; a token's vector is a row of ``embeddings`` that its letters point at."""
+    t = tables(spark, sf_dir)
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    both = t["samples"].select(F.explode("src_tokens").alias("token")).unionByName(t["targets"].where("side = 'ref'").select(F.explode("tgt_tokens").alias("token"))).distinct()
+    n = emb.agg(F.count("*").alias("n_rows"))
+    at = (F.length("token") * 31 + F.ascii("token") * 7 + F.ascii(F.substring("token", -1, 1)) * 13) % F.col("n_rows")
+    vectors = both.join(F.broadcast(n)).select("token", at.alias("vec_id")).join(emb.select("vec_id", F.col("embedding").alias("vec")), "vec_id")
+    return _rounded(W.source_similarity(t["samples"], t["targets"], V.VectorSimilarity(vectors)), "system_id")
+
+
 @query
 def source_similarity(spark, sf_dir):
     t = tables(spark, sf_dir)
@@ -270,6 +293,42 @@ def english_round_trip(spark, sf_dir):
     return E.apply_edits(t["samples"], t["targets"], _english(spark, sf_dir)).select("sample_id", "side", "target_id", _words("tgt_tokens"))
 
 
+def _as_characters(tokens: F.Column) -> F.Column:
+    """Tokens with other characters in the place of their lower-case letters."""
+    return F.transform(tokens, lambda t: F.translate(t, LETTERS, CHARACTERS))
+
+
+@query
+def chinese_round_trip(spark, sf_dir):
+    """Targets over Chinese characters rebuilt by applying edits that are merged by the rules for Chinese words.
+
+    Class codes, confusions and sounds follow from the code points.
+    """
+    t = tables(spark, sf_dir)
+    p = _pairs(spark, sf_dir).withColumns({"src_tokens": _as_characters(F.col("src_tokens")), "tgt_tokens": _as_characters(F.col("tgt_tokens"))})
+    chars = spark.range(len(CHARACTERS)).select("id", F.substring(F.lit(CHARACTERS), F.col("id").cast("int") + 1, F.lit(1)).alias("char"))
+    following = F.substring(F.lit(CHARACTERS), ((F.col("id") + 1) % len(CHARACTERS)).cast("int") + 1, F.lit(1))
+    confusions, sounds = chars.select("char", F.array(following).alias("alike")), chars.select("char", F.array((F.col("id") % 20).cast("string")).alias("sounds"))
+    words = p.select(F.explode("src_tokens").alias("word")).where(F.length("word") <= 4).distinct()
+    classes = words.select("word", F.substring(F.md5("word"), 1, 4).alias("code"))
+    edits = Z.chinese_edits(p, Z.merge_chinese(p, Z.lexicon(p, classes, confusions, sounds), words=True))
+    src = t["samples"].withColumn("src_tokens", _as_characters(F.col("src_tokens")))
+    return E.apply_edits(src, t["targets"], edits).select("sample_id", "side", "target_id", _words("tgt_tokens"))
+
+
+@query
+def spelling_errors(spark, sf_dir):
+    """Words of edits beside ones with moved vowels or in reverse; shapes and sounds of characters follow from their code points."""
+    t = tables(spark, sf_dir)
+    e = t["edits"].where("size(src_tokens) = 1").select("sample_id", "side", "target_id", "edit_no", F.get("src_tokens", F.lit(0)).alias("a"), "src_start")
+    pairs = e.withColumn("b", F.when(F.col("src_start") % 4 == 0, F.translate("a", "aeiou", "eioua")).otherwise(F.reverse("a"))).drop("src_start")
+    chars = t["samples"].select(F.explode(F.array_distinct(F.split(F.array_join("src_tokens", ""), ""))).alias("char")).distinct()
+    code = F.ascii("char")
+    sounds = F.array(F.concat(F.char(97 + code % 7), F.char(97 + code % 3)), F.concat(F.char(97 + code % 5), F.char(97 + code % 2)))
+    table = chars.where("ascii(char) % 11 <> 0").select("char", F.bin(code).alias("shape"), sounds.alias("sounds"))
+    return _rounded(Z.spelling_errors(pairs, table, ["sample_id", "side", "target_id", "edit_no"]))
+
+
 @query
 def extract_round_trip(spark, sf_dir):
     """Targets rebuilt by applying the extracted edits."""
