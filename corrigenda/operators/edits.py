@@ -97,6 +97,25 @@ def merge_targets(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(moved.select(*a.columns))
 
 
+def source_conflicts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Keys of samples that only one of two tables of samples has, or whose sources differ."""
+    both = a.select(*KEYS, F.col("src_tokens").alias("_a")).join(b.select(*KEYS, F.col("src_tokens").alias("_b")), KEYS, "full")
+    return both.where("_a is null or _b is null or _a <> _b").select(*KEYS)
+
+
+def merge_annotations(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Two annotations of the same sources as one dataset: the targets of ``b``, and their edits, follow those of ``a``. Raises where sources differ."""
+    odd = source_conflicts(a["samples"], b["samples"]).take(5)
+    if odd:
+        raise ValueError(f"samples that do not have one source in both: {[tuple(r) for r in odd]}")
+    base = a["targets"].groupBy(*KEYS, "side").agg((F.max("target_id") + 1).alias("_base"))
+    out = {"samples": a["samples"]}
+    for name in ("targets", "edits"):
+        moved = b[name].join(base, [*KEYS, "side"], "left").withColumn("target_id", (F.col("target_id") + F.coalesce("_base", F.lit(0))).cast("int"))
+        out[name] = a[name].unionByName(moved.select(*a[name].columns))
+    return out
+
+
 def append_samples(a: DataFrame, b: DataFrame) -> DataFrame:
     """Union of two datasets; sample ids of the second follow those of the first, per system."""
     base = a.groupBy("system_id").agg((F.max("sample_id") + 1).alias("_base"))

@@ -128,8 +128,8 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str], list[tuple[s
         yield r, tokens, rows[t_at[r] : t_at[r + 1]]
 
 
-def mapped(g: DataFrame, schema: str, fn: Callable, field: str = "edits") -> DataFrame:
-    """``fn(source, targets)`` yields tuples behind the keys, for each sample; a target is (side, id, ``field``)."""
+def mapped(g: DataFrame, schema: str, fn: Callable, field: str = "edits", by_system: bool = False) -> DataFrame:
+    """``fn(source, targets)`` yields tuples behind the keys, for each sample; a target is (side, id, ``field``). With ``by_system`` it is told the system too."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -138,8 +138,9 @@ def mapped(g: DataFrame, schema: str, fn: Callable, field: str = "edits") -> Dat
     def run(batches):
         for batch in batches:
             at, rows = [], []
+            system = batch.column("system_id").to_pylist() if by_system else None
             for r, src, targets in (_samples if field == "edits" else _texts)(batch):
-                for row in fn(src, targets):
+                for row in fn(src, targets, system[r]) if by_system else fn(src, targets):
                     at.append(r)
                     rows.append(row)
             take = pa.array(at, pa.int64())
@@ -195,24 +196,31 @@ def match_rows(g: DataFrame, assumption: str = "dependent", detection: bool = Fa
 COUNTS = ["tp", "fp", "fn", "tn", "fp_ne", "fp_un"]
 
 
-def counts(g: DataFrame, assumption: str = "dependent", detection: bool = False, weight: Callable[[str, int], float] | None = None, distance: int = 0) -> DataFrame:
-    """Counts, or sums of ``weight(outcome, length)``, per reference: ``keys, ref_id, tp, fp, fn, tn, fp_ne, fp_un``."""
+def counts(g: DataFrame, assumption: str = "dependent", detection: bool = False, weight: Callable[[str, int], float] | dict[str, Callable[[str, int], float]] | None = None, distance: int = 0) -> DataFrame:
+    """Counts, or sums of ``weight(outcome, length)``, per reference: ``keys, ref_id, tp, fp, fn, tn, fp_ne, fp_un``.
+
+    ``weight`` may be one function for each system, which is a small dict whatever the number of rows: all
+    systems are counted in one pass.
+    """
     judge = _judged(assumption == "independent", detection, distance)
     place = {c: i for i, c in enumerate(COUNTS)}
 
-    def rows(src, targets):
+    several = isinstance(weight, dict)
+
+    def rows(src, targets, system=None):
+        weigh = weight.get(system) if several else weight
         if got := judge(src, targets):
             ids, bounds, own, found = got
             for ref, row in zip(ids, found):
                 sums = [0.0] * 6
                 for i, (outcome, kind) in enumerate(row):
-                    w = 1.0 if weight is None else weight(outcome, max(bounds[i][1] - bounds[i][0], len(own[i][0]))) or 1.0
+                    w = 1.0 if weigh is None else weigh(outcome, max(bounds[i][1] - bounds[i][0], len(own[i][0]))) or 1.0
                     sums[place[outcome]] += w
                     if kind:
                         sums[place["fp_" + kind]] += w
                 yield ref, *sums
 
-    return mapped(g, _ROW + "ref_id int, " + ", ".join(f"{c} double" for c in COUNTS), rows)
+    return mapped(g, _ROW + "ref_id int, " + ", ".join(f"{c} double" for c in COUNTS), rows, by_system=several)
 
 
 def edit_counts(g: DataFrame, detection: bool = False) -> DataFrame:

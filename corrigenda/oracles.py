@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from corrigenda.operators.english import TAGS
+from corrigenda.operators.vocabulary import EDIT_TYPES
+
 _COMMON = """
 WITH RECURSIVE ln AS MATERIALIZED (
   SELECT doc_id, flatten(list_transform(list_transform(string_split(text, chr(10)), lambda x: list_filter(string_split(x, ' '), lambda w: w <> '')),
@@ -155,6 +158,7 @@ _SENT = ", best AS (SELECT sample_id, arg_max(prf, row(f, p, r, acc, -ref_id)) A
 
 _LETTERS, _CHARACTERS = "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x4E00, 0x4E00 + 26)))
 _CHUNKS_ALL = _COMMON + _CHUNKS
+_ONE_REF = ", cnt0 AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ref_id) AS rn FROM cnt), tot AS (SELECT count(*) AS num_sample, " + ", ".join(f"sum({c}) AS {c}" for c in _C6) + " FROM cnt0 WHERE rn = 1)"
 
 ORACLES: dict[str, str] = {
     "prf_corpus_dependent": _COMMON + _DEP + _cnt(pairs="live") + _fold(_FOLD_F) + _prf("tot") + f"SELECT {_PRF_OUT} FROM prf",
@@ -243,4 +247,16 @@ l AS MATERIALIZED (SELECT c, d, CASE WHEN known THEN 1 - levenshtein(sc, sd)::DO
   known AND list_has_any(pc, pd) AS heard FROM k),
 g AS (SELECT a, b, min(likeness) AS likeness, bool_and(coalesce(likeness >= 0.8, false) OR heard) AS ok FROM z JOIN l USING (c, d) GROUP BY ALL)
 SELECT sample_id, side, target_id, edit_no, round(g.likeness, 6) AS likeness, turned OR coalesce(g.ok, false) AS misspelled FROM y LEFT JOIN g ON NOT turned AND g.a = y.a AND g.b = y.b""",
+    "block_texts_round_trip": _COMMON + "SELECT array_to_string(s.src, ' ') AS src_tokens, tgt AS tgt_tokens, 0 AS target_id, count(*) AS n FROM targets t JOIN samples s USING (sample_id) WHERE k > 0 AND tt <> s.src GROUP BY ALL",
+    "source_conflicts": _COMMON + "SELECT sample_id FROM samples WHERE regexp_matches(src[1], '^[aeiou]')",
+    "edit_type_numbers": _COMMON + f""", v AS (SELECT * FROM (VALUES {", ".join(f"('{t}', {k})" for k, t in enumerate(EDIT_TYPES["eng"]))}) v(type, type_no)),
+e AS (SELECT op || ':' || (['NOUN', 'VERB:TENSE', 'DET', 'WO', 'WORD'])[length(array_to_string(list_concat(s.src[src_start + 1:src_end], CASE WHEN tgt = '' THEN [] ELSE [tgt] END), ' ')) % 5 + 1] AS type FROM edits JOIN samples s USING (sample_id))
+SELECT type, coalesce(type_no, -1) AS type_no, count(*) AS n FROM e LEFT JOIN v USING (type) GROUP BY ALL""",
+    "tag_categories": _COMMON + f""", g AS (SELECT CASE WHEN NOT regexp_matches(t, '\\p{{L}}') THEN '.' WHEN length(t) <= 2 THEN 'IN' WHEN length(t) = 3 THEN 'DT' WHEN lower(t) LIKE '%s' THEN 'NNS' WHEN lower(t) LIKE '%ed' THEN 'VBD' WHEN lower(t) LIKE '%ng' THEN 'VBG' WHEN lower(t) LIKE '%y' THEN 'JJ' ELSE 'NN' END AS tag FROM tok),
+c AS (SELECT * FROM (VALUES {", ".join(f"('{t}', '{c}')" for c, ts in TAGS.items() for t in ts if "'" not in t)}) v(tag, category))
+SELECT tag, category, count(*) AS n FROM g LEFT JOIN c USING (tag) GROUP BY ALL""",
+    "scores_side_by_side": "SELECT " + ", ".join(f"(SELECT round(f, 6) FROM ({q})) AS {name}" for name, q in {
+        "corpus_unweighted": _COMMON + _IND + _cnt(pairs="live") + _ONE_REF + _prf("tot") + "SELECT f FROM prf", "corpus_weighted": _COMMON + _IND + _W + _cnt("mw", "w", "live") + _ONE_REF + _prf("tot") + "SELECT f FROM prf",
+        "sentence_unweighted": _COMMON + _IND + _cnt(pairs="live") + _prf("cnt") + _SENT, "sentence_weighted": _COMMON + _IND + _W + _cnt("mw", "w", "live") + _prf("cnt") + _SENT,
+    }.items()),
 }

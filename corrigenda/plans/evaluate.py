@@ -15,7 +15,7 @@ from corrigenda.operators import grouped as G
 from corrigenda.operators import outcomes as O
 from corrigenda.operators import scores as S
 from corrigenda.operators import weights as W
-from corrigenda.operators.extract import parallel_to_edits
+from corrigenda.plans.languages import Language, language
 from corrigenda.sources.nested import persist as write_results
 
 #: Factors (hit, err, und, ove) of ``adapt``, by level and whether counts are weighted.
@@ -25,6 +25,17 @@ ADAPTED = {
 }
 #: Weighers that need pseudo-hypotheses: matches, samples, targets, chunks, similarity -> matches with ``weight``.
 BY_TEXT: dict[str, Callable[..., DataFrame]] = {"similarity": W.weigh_by_similarity, "replacement": W.weigh_by_replacement}
+#: Scorers of the caller's own by name: counts per reference, setting -> scores. Added by ``register_scorer``.
+SCORERS: dict[str, Callable[[DataFrame, Setting], DataFrame]] = {}
+#: What the library scores by itself.
+METRICS = ("edit", "chunk", "heuo", "gleu")
+
+
+def register_scorer(name: str, scorer: Callable[[DataFrame, Setting], DataFrame]) -> None:
+    """A scorer for ``evaluate(..., scorer=name)``: a function of the counts (a row for each reference of a sample) and the setting."""
+    if name in SCORERS:
+        raise ValueError(f"there is a scorer {name!r}")
+    SCORERS[name] = scorer
 
 
 @dataclass(frozen=True)
@@ -33,7 +44,10 @@ class Setting:
 
     metric: ``edit``, ``chunk`` (p, r, f, acc), ``heuo`` (hit, err, und, ove, com) or ``gleu``. weigher:
     ``none``, ``length``, a name of ``BY_TEXT``, or such a function. ``sim`` maps two token columns to a
-    similarity. ``factors`` of ``heuo``: by level where None, or ``ADAPTED`` with ``adapt``.
+    similarity, or is a job over pairs. ``factors`` of ``heuo``: by level where None, or ``ADAPTED`` with
+    ``adapt``. ``scorer``: a name of ``SCORERS`` or such a function, in the place of the metric's own.
+    ``drop_unchanged``: references that equal their source go first, if another stays. ``language`` (a name or
+    the caller's own) extracts missing edits, with what is ``given`` to it.
     """
 
     metric: str = "chunk"
@@ -48,13 +62,19 @@ class Setting:
     adapt: bool = False
     merge_distance: int = 0
     smoothing: bool = False
+    scorer: str | Callable[[DataFrame, Setting], DataFrame] | None = None
+    drop_unchanged: bool = False
+    language: str | Language = "plain"
+    given: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        for value, known in ((self.metric, ("edit", "chunk", "heuo", "gleu")), (self.assumption, ("dependent", "independent")), (self.level, ("corpus", "sentence"))):
+        for value, known in ((self.metric, METRICS), (self.assumption, ("dependent", "independent")), (self.level, ("corpus", "sentence"))):
             if value not in known:
                 raise ValueError(f"{value!r} is none of {', '.join(known)}")
         if isinstance(self.weigher, str) and self.weigher not in ("none", "length", *BY_TEXT):
             raise ValueError(f"unknown weigher {self.weigher!r}")
+        if isinstance(self.scorer, str) and self.scorer not in SCORERS:
+            raise ValueError(f"unknown scorer {self.scorer!r}")
 
 
 def dataset(hyp: dict[str, DataFrame], ref: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -68,17 +88,19 @@ def dataset(hyp: dict[str, DataFrame], ref: dict[str, DataFrame]) -> dict[str, D
     return out
 
 
-def with_edits(data: dict[str, DataFrame], refresh: bool = False, strategy: str = "rules") -> dict[str, DataFrame]:
+def with_edits(data: dict[str, DataFrame], refresh: bool = False, strategy: str = "rules", lang: str | Language = "plain", **given) -> dict[str, DataFrame]:
     """``data`` with edits: those of targets that have none are extracted; with ``refresh``, of all targets.
 
-    A target that equals its source has none, and needs none.
+    A target that equals its source has none, and needs none. The language says how; ``given`` are tables and
+    settings of its own.
     """
+    extract = language(lang).edits
     pairs = data["targets"].join(data["samples"], KEYS)
     if refresh or "edits" not in data:
-        return {**data, "edits": parallel_to_edits(pairs, strategy)}
+        return {**data, "edits": extract(pairs, strategy, **given)}
     key = [*KEYS, "side", "target_id"]
     bare = pairs.join(data["edits"].select(*key).distinct(), key, "left_anti")
-    found = parallel_to_edits(bare, strategy)
+    found = extract(bare, strategy, **given)
     return {**{k: v for k, v in data.items() if k != "grouped"}, "edits": data["edits"].unionByName(found.select(*data["edits"].columns))}
 
 
@@ -101,11 +123,8 @@ def _counts(data: dict[str, DataFrame], g: DataFrame, how: Setting) -> tuple[Dat
         return G.counts(g, how.assumption, how.detection, None, how.merge_distance), m
     if how.weigher == "length":
         bias = {r.system_id: r.bias for r in G.length_bias(g).collect()}  # a row per system
-        weights = {s: W.length_weight_of(b, how.preset) for s, b in bias.items()}
-        parts = [G.counts(g.where(F.col("system_id") == s), how.assumption, how.detection, w, how.merge_distance) for s, w in weights.items()]
-        counts = parts[0] if parts else G.counts(g)
-        for p in parts[1:]:
-            counts = counts.unionByName(p)
+        weights = {system: W.length_weight_of(b, how.preset) for system, b in bias.items()}
+        counts = G.counts(g, how.assumption, how.detection, weights, how.merge_distance)
         table = m.join(F.broadcast(m.sparkSession.createDataFrame(list(bias.items()), "system_id string, bias double")), "system_id", "left")
         return counts, table.withColumn("weight", W.length_weight(F.col("length"), F.col("bias"), F.col("outcome"), how.preset)).drop("bias")
     weigh = BY_TEXT[how.weigher] if isinstance(how.weigher, str) else how.weigher
@@ -115,6 +134,8 @@ def _counts(data: dict[str, DataFrame], g: DataFrame, how: Setting) -> tuple[Dat
 
 
 def _score(counts: DataFrame, how: Setting) -> DataFrame:
+    if how.scorer is not None:
+        return (SCORERS[how.scorer] if isinstance(how.scorer, str) else how.scorer)(counts, how)
     if how.metric == "heuo":
         weighted = how.weigher != "none"
         factors = ADAPTED[how.level, weighted] if how.adapt else how.factors or (S.CORPUS_FACTORS if how.level == "corpus" else S.SENTENCE_FACTORS)
@@ -130,7 +151,10 @@ def evaluate(data: dict[str, DataFrame], metric: str = "chunk", assumption: str
     """
     how = Setting(metric, assumption, weigher, level, detection, **more)
     if "edits" not in data:
-        data = with_edits(data)
+        data = with_edits(data, lang=how.language, **how.given)
+    if how.drop_unchanged:
+        kept = E.drop_unchanged_refs(data["samples"], data["targets"])
+        data = {"samples": data["samples"], "targets": kept, "edits": E.keep_edits_of(data["edits"], kept)}
     if validate:
         check(data)
     g = data["grouped"] if "grouped" in data else G.group(data["samples"], data["targets"], data["edits"])
@@ -152,5 +176,5 @@ def evaluate_all(data: dict[str, DataFrame], metric: str = "chunk", weigher: str
         for weighted in (False, True):
             s = evaluate(data, metric, weigher=weigher if weighted else "none", level=level, **more)[0]
             s = s.select(F.lit(level).alias("level"), F.lit(weighted).alias("weighted"), *s.columns)
-            out = s if out is None else out.unionByName(s)
+            out = s if out is None else out.unionByName(s, allowMissingColumns=True)
     return out

@@ -19,7 +19,9 @@ from corrigenda.operators import grouped as R
 from corrigenda.operators import likeness as V
 from corrigenda.operators import outcomes as O
 from corrigenda.operators import scores as S
+from corrigenda.operators import vocabulary as U
 from corrigenda.operators import weights as W
+from corrigenda.plans import reports as P
 from corrigenda.plans.evaluate import evaluate, evaluate_all
 from corrigenda.plans.testbed import annotate, tables
 from corrigenda.sources import blocks as B
@@ -404,6 +406,48 @@ def block_round_trip(spark, sf_dir):
     return e.groupBy("source", "target_id", "src_start", "src_end", "tgt_start", _words("tgt_tokens")).agg(F.count("*").alias("n"))
 
 
+@query
+def block_texts_round_trip(spark, sf_dir):
+    """References written as blocks with their texts, one to a sample, and read again; those that change nothing are left out."""
+    t = tables(spark, sf_dir)
+    path = shared_path(spark, "blocks")
+    B.write_blocks(t["samples"], t["targets"].where("side = 'ref'"), t["edits"].where("side = 'ref'"), path, texts=True, flatten=True)
+    got = B.read_blocks(spark, path, "sys", "ref", remove_unchanged=True)
+    both = got["targets"].join(got["samples"], KEYS)
+    return both.groupBy(_words("src_tokens"), _words("tgt_tokens"), "target_id").agg(F.count("*").alias("n"))
+
+
+@query
+def source_conflicts(spark, sf_dir):
+    """Samples beside the same ones in which every first token that begins with a vowel is in upper case."""
+    s = tables(spark, sf_dir)["samples"]
+    first = F.get("src_tokens", F.lit(0))
+    other = s.withColumn("src_tokens", F.when(first.rlike("^[aeiou]"), F.concat(F.array(F.upper(first)), F.slice("src_tokens", 2, 1 << 20))).otherwise(F.col("src_tokens")))
+    return E.source_conflicts(s, other).select("sample_id")
+
+
+@query
+def edit_type_numbers(spark, sf_dir):
+    """Edits by the number of a type that is put together from their operation and length; two of its names are in no vocabulary."""
+    e = tables(spark, sf_dir)["edits"].select(F.substring(F.element_at("types", 1), 1, 1).alias("op"), F.length(F.array_join(F.concat("src_tokens", "tgt_tokens"), " ")).alias("n"))
+    names = F.array(*[F.lit(x) for x in ("NOUN", "VERB:TENSE", "DET", "WO", "WORD")])
+    e = e.select(F.array(F.concat_ws(":", "op", F.element_at(names, F.col("n") % 5 + 1))).alias("types"))
+    return U.numbered_types(e, U.edit_type_table(spark)).groupBy(F.element_at("types", 1).alias("type"), F.coalesce("type_no", F.lit(-1)).alias("type_no")).agg(F.count("*").alias("n"))
+
+
+@query
+def tag_categories(spark, sf_dir):
+    """Source tokens by the tag of their look and the category it is reported as."""
+    s = tables(spark, sf_dir)["samples"].select(F.explode(annotate(F.col("src_tokens"))).alias("t")).groupBy("t.tag").agg(F.count("*").alias("n"))
+    return U.looked_up(s, "tag", U.tag_table(spark), "tag", "category")
+
+
+@query
+def scores_side_by_side(spark, sf_dir):
+    """The F scores of the independent chunk metric at both levels, with and without weights, in one row."""
+    return _rounded(P.side_by_side(evaluate_all(tables(spark, sf_dir), "chunk", assumption="independent"), "f"), "system_id")
+
+
 @query
 def json_round_trip(spark, sf_dir):
     t = tables(spark, sf_dir)

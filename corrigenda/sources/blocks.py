@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corrigenda.functions.text import remove_space, tokenize
 from corrigenda.model import HYP, KEYS, TARGET
 from corrigenda.operators.edits import apply_edits, with_target_offsets
+from corrigenda.sources.files import text_blocks
+from corrigenda.sources.options import for_writing, with_options
 
 #: Fixed values of the format.
 NOOP, NONE, FIELD = ("noop", "NA"), "-NONE-", "|||"
@@ -26,18 +30,17 @@ def with_position(df: DataFrame, name: str = "sample_id") -> DataFrame:
     return d.withColumn("_r", row).join(base, ["_f", "_b"]).withColumn(name, (F.col("_base") + F.col("_r")).cast("bigint")).drop("_f", "_b", "_m", "_r", "_base")
 
 
-def read_blocks(spark: SparkSession, path: str, system_id: str, side: str = HYP, char_level: bool = False, max_sample: int = -1) -> dict[str, DataFrame]:
-    """``samples, targets, edits`` of an annotated block file, whatever runs of blank lines part its blocks.
+def read_blocks(spark: SparkSession, path: str | Sequence[str], system_id: str, side: str = HYP, char_level: bool = False, max_sample: int = -1, **options: bool) -> dict[str, DataFrame]:
+    """``samples, targets, edits`` of annotated block files, whatever line ends they have and runs of blank lines part their blocks.
 
     Targets are the annotators named in a block (a ``T{i}`` line counts; ``T{i}-A{j}`` with j > 0 and
-    what follows it is skipped), at least annotator 0. A noop annotation is a target without edits.
+    what follows it is skipped), at least annotator 0. A noop annotation is a target without edits. The first
+    ``max_sample`` blocks, all where negative; ``options`` are those of ``with_options``.
     """
-    raw = spark.read.option("lineSep", "\n\n").text(path)
-    pos = with_position(raw.where(F.trim(F.regexp_replace("value", "\\s", "")) != ""))
+    pos = text_blocks(spark, path)
     if max_sample >= 0:
         pos = pos.where(F.col("sample_id") < max_sample)
-    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
-    blocks = pos.select(F.lit(system_id).alias("system_id"), "sample_id", lines.alias("ls"))
+    blocks = pos.select(F.lit(system_id).alias("system_id"), "sample_id", F.col("lines").alias("ls"))
     src = F.substring(F.element_at(F.filter("ls", lambda x: x.startswith("S")), 1), 3, 1 << 30)
     tok = F.filter(F.split(remove_space(src), ""), lambda c: c != "") if char_level else tokenize(src)
     samples = blocks.select(*KEYS, tok.alias("src_tokens"))
@@ -63,21 +66,28 @@ def read_blocks(spark: SparkSession, path: str, system_id: str, side: str = HYP,
         *TARGET, "edit_no", "src_start", "src_end", F.slice("src_tokens", F.col("src_start") + 1, F.col("src_end") - F.col("src_start")).alias("src_tokens"), cor.alias("tgt_tokens"), F.array("type").alias("types")
     )
     edits = with_target_offsets(e)
-    return {"samples": samples, "targets": apply_edits(samples, keys, edits), "edits": edits}
+    return with_options({"samples": samples, "targets": apply_edits(samples, keys, edits), "edits": edits}, **options)
+
 
+def block_lines(samples: DataFrame, targets: DataFrame, edits: DataFrame, texts: bool = False) -> DataFrame:
+    """``sample_id, value``: a block per sample, its targets as annotators in order of their ids.
 
-def block_lines(samples: DataFrame, targets: DataFrame, edits: DataFrame) -> DataFrame:
-    """``sample_id, value``: a block per sample, its targets as annotators in order of their ids."""
+    With ``texts`` a line ``T{i}`` with its text stands before the edits of each target, and none for a noop.
+    """
     cor = F.array_join("tgt_tokens", " ")
     line = F.format_string(LINE, "src_start", "src_end", F.array_join("types", ","), cor, "target_id")
     own = edits.select(*TARGET, F.struct("target_id", "src_start", "edit_no", line.alias("line")).alias("x"))
     noop = targets.join(edits.select(*TARGET).distinct(), TARGET, "left_anti").select(
         *TARGET, F.struct("target_id", F.lit(-1).alias("src_start"), F.lit(0).alias("edit_no"), F.format_string("A -1 -1|||noop|||-NONE-|||REQUIRED|||-NONE-|||%d", "target_id").alias("line")).alias("x")
     )
+    if texts:
+        line = F.concat(F.format_string("T%d ", "target_id"), F.array_join("tgt_tokens", " "))
+        noop = targets.select(*TARGET, F.struct("target_id", F.lit(-1).alias("src_start"), F.lit(-1).alias("edit_no"), line.alias("line")).alias("x"))
     body = own.unionByName(noop).groupBy(*KEYS).agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\n").alias("body"))
     return samples.join(body, KEYS, "left").select("sample_id", F.concat_ws("\n", F.concat(F.lit("S "), F.array_join("src_tokens", " ")), "body", F.lit("")).alias("value"))
 
 
-def write_blocks(samples: DataFrame, targets: DataFrame, edits: DataFrame, path: str) -> None:
-    """Blocks in the order of sample ids, one file per range of ids."""
-    block_lines(samples, targets, edits).repartitionByRange("sample_id").sortWithinPartitions("sample_id").select("value").write.text(path)
+def write_blocks(samples: DataFrame, targets: DataFrame, edits: DataFrame, path: str, texts: bool = False, flatten: bool = False, max_sample: int = -1) -> None:
+    """Blocks in the order of sample ids, one file per range of ids; see ``block_lines`` and ``for_writing``."""
+    d = for_writing({"samples": samples, "targets": targets, "edits": edits}, flatten, max_sample)
+    block_lines(d["samples"], d["targets"], d["edits"], texts).repartitionByRange("sample_id").sortWithinPartitions("sample_id").select("value").write.text(path)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrigenda.functions.text import remove_space, tokenize
+from corrigenda.functions.text import tokenize
 from corrigenda.model import KEYS, TARGET
 from corrigenda.sources.blocks import with_position
+from corrigenda.sources.options import for_writing, with_options
 
 _EDIT = "struct<edit_no:int,src_start:int,src_end:int,tgt_start:int,tgt_end:int,src_tokens:array<string>,tgt_tokens:array<string>,types:array<string>>"
 NESTED = f"system_id string, sample_id bigint, source string, targets array<struct<side:string,target_id:int,target:string,edits:array<{_EDIT}>>>"
@@ -32,31 +33,23 @@ def from_nested(nested: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return from_nested(spark.read.schema(NESTED).json(path))
+def read_json(spark: SparkSession, path: str, **options) -> dict[str, DataFrame]:
+    """A nested dataset as tables; ``options`` are those of ``with_options``."""
+    return with_options(from_nested(spark.read.schema(NESTED).json(path)), **options)
 
 
-def write_json(samples: DataFrame, targets: DataFrame, edits: DataFrame, path: str) -> None:
-    to_nested(samples, targets, edits).write.json(path)
+def write_json(samples: DataFrame, targets: DataFrame, edits: DataFrame, path: str, flatten: bool = False, max_sample: int = -1) -> None:
+    """A row for each sample with its targets and edits inside; see ``for_writing``."""
+    d = for_writing({"samples": samples, "targets": targets, "edits": edits}, flatten, max_sample)
+    to_nested(d["samples"], d["targets"], d["edits"]).write.json(path)
 
 
-def read_parallel(spark: SparkSession, source: str, target: str, system_id: str, side: str = "hyp") -> dict[str, DataFrame]:
-    """A source file and a target file by line number; several targets of a line are parted by tabs."""
+def read_parallel(spark: SparkSession, source: str, target: str, system_id: str, side: str = "hyp", **options) -> dict[str, DataFrame]:
+    """A source file and a target file by line number; several targets of a line are parted by tabs. ``options``: see ``with_options``."""
     s, t = (with_position(spark.read.text(p)).withColumn("system_id", F.lit(system_id)) for p in (source, target))
     each = t.select(*KEYS, F.posexplode(F.split("value", "\t")).alias("target_id", "text"))
-    return {"samples": s.select(*KEYS, tokenize(F.col("value")).alias("src_tokens")), "targets": each.select(*KEYS, F.lit(side).alias("side"), "target_id", tokenize(F.col("text")).alias("tgt_tokens"))}
-
-
-def read_options(pairs: DataFrame, remove_empty: bool = False, remove_unchanged: bool = False, remove_whitespace: bool = False, max_sample: int = -1) -> DataFrame:
-    """Options on flat ``source, target`` rows; a negative ``max_sample`` means all."""
-    p = pairs
-    if remove_whitespace:
-        p = p.withColumns({"source": remove_space(F.col("source")), "target": remove_space(F.col("target"))})
-    if remove_empty:
-        p = p.where("target <> ''")
-    if remove_unchanged:
-        p = p.where("target <> source")
-    return p if max_sample < 0 else p.where(F.col("sample_id") < max_sample)
+    d = {"samples": s.select(*KEYS, tokenize(F.col("value")).alias("src_tokens")), "targets": each.select(*KEYS, F.lit(side).alias("side"), "target_id", tokenize(F.col("text")).alias("tgt_tokens"))}
+    return with_options(d, **options)
 
 
 def persist(scores: DataFrame, matches: DataFrame, path: str) -> None:
