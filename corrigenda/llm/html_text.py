@@ -20,13 +20,17 @@ BLOCK = set(
 #: Elements that never hold main text.
 NOISE = set("nav footer aside form button select option input dialog menu svg canvas audio video object embed map head title".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form note status".split())
-#: Words of class and id that mark parts around the main text.
+#: Words of class and id that mark parts around the main text, unless what they mark is the main text by its weight (``_spared``).
 NOISE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal"
     " overlay newsletter subscribe subscription signup sidebar aside widget widgets related recommended recommendations share sharing social"
     " comment comments disqus respond reply replies discussion breadcrumb breadcrumbs menu nav navbar navigation pagination pager footer"
     " header masthead topbar toolbar login search tags hidden copyright".split()
 )
+#: Those of them that also stand on parts of an article, where these hold prose.
+WEAK_WORDS = set("share sharing social widget widgets tags hidden header masthead login search".split())
+#: Characters of a paragraph that is prose, without white space.
+PROSE_CHARS = 40
 _PROSE = {"p", "blockquote", "pre", "ul", "ol", "dl", "table", "figure"}
 _HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: A start tag closes these open elements, unless one of the stops comes first.
@@ -47,7 +51,7 @@ _WORD = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("attrs", "chars", "density", "items", "link_chars", "link_tags", "noise", "parent", "tag", "tags", "total")
+    __slots__ = ("attrs", "chars", "density", "holds", "items", "link_chars", "link_tags", "named", "noise", "parent", "prose", "settled", "tag", "tags", "text", "total")
 
     def __init__(self, tag: str, parent: "Node | None", attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
@@ -123,60 +127,87 @@ def parse(html: str) -> Node:
     return root
 
 
-def _is_noise(n: Node, in_article: bool) -> bool:
-    tag = n.tag
-    if tag in RAW or tag in NOISE:
+def _attrs(n: Node) -> dict[str, str]:
+    return {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(n.attrs)}
+
+
+def _settled(n: Node, in_article: bool) -> bool:
+    """What the markup itself says is no main text: its element, role, or that it is hidden."""
+    if n.tag in RAW or n.tag in NOISE:
         return True
-    if tag == "header":
+    if n.tag == "header":
         return not in_article
-    if not n.attrs or tag in ("html", "body", "article", "main") or tag in _HEADS:
+    if not n.attrs or n.tag in ("html", "body", "article", "main"):
         return False
-    attrs = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(n.attrs)}
+    attrs = _attrs(n)
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    if attrs.get("role", "").lower() in NOISE_ROLES:
-        return True
+    return n.tag not in _HEADS and attrs.get("role", "").lower() in NOISE_ROLES
+
+
+def _named(n: Node) -> set[str]:
+    """Words of its class and id that mark a part around the main text."""
+    if not n.attrs or n.tag in ("html", "body", "article", "main") or n.tag in _HEADS:
+        return set()
+    attrs, out = _attrs(n), set()
     for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
         words = [w.lower() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", name))]
         if not words or words[0] in ("has", "no", "with", "without", "article", "entry", "post", "content", "main"):
             words = [w for w in words[1:] if w in ("comments", "comment", "footer", "sidebar", "share", "related", "tags")] if words and words[0] not in ("has", "no", "with", "without") else []
-        if any(w in NOISE_WORDS for w in words):
-            return True
-    return False
+        out |= NOISE_WORDS.intersection(words)
+    return out
+
+
+def _spared(x: Node, body: Node, in_article: bool) -> bool:
+    """Whether a part that names mark is main text by what it holds: the article, or most of the text of a page without one; in an article also prose under a weak name."""
+    return x.holds or (2 * x.text > body.text and not body.holds) or (in_article and x.prose and x.named <= WEAK_WORDS and 3 * x.link_chars <= x.chars)
 
 
 def _measure(body: Node) -> list[Node]:
     """Every node's characters, tags, link characters and link tags below, its link-adjusted density
     and the sum of its children's; returns the nodes in page order.
 
-    Only what is no text at all (scripts, styles) does not count. ``noise`` marks what the page itself
-    says is no main text; it is measured like all else, but adds nothing to its parent's sum.
+    Only what is no text at all (scripts, styles) does not count. ``noise`` marks what is around the main
+    text: by its markup, or by names, unless it is ``_spared``. It is measured like all else, but adds
+    nothing to its parent's sum.
     """
     order: list[Node] = []
-    stack = [(body, False, False, False)]
+    inside: list[bool] = []
+    stack = [(body, False, False)]
     while stack:
-        x, link, art, noise = stack.pop()
+        x, link, art = stack.pop()
         order.append(x)
         art = art or x.tag in ("article", "main")
+        inside.append(art)
         link = link or x.tag == "a"
-        x.noise = noise or (x is not body and _is_noise(x, art))
-        x.chars = x.link_chars = x.tags = x.link_tags = 0
+        x.settled = x is not body and _settled(x, art)
+        x.named = set() if x is body or x.settled else _named(x)
+        x.chars = x.link_chars = x.tags = x.link_tags = x.text = 0
         x.items = [i for i in x.items if isinstance(i, str) or i.tag not in RAW]
         for i in reversed(x.items):
             if isinstance(i, str):
                 k = len("".join(i.split()))
                 x.chars += k
                 x.link_chars += k * link
+                x.text += k * (not link)
             else:
-                stack.append((i, link, art, x.noise))
+                stack.append((i, link, art))
     for x in reversed(order):
+        x.holds, x.prose = x.tag in ("article", "main"), False
         for i in x.items:
             if isinstance(i, Node):
                 x.chars += i.chars
                 x.link_chars += i.link_chars
                 x.tags += i.tags + 1
                 x.link_tags += i.link_tags + (i.tag == "a")
+                if not i.settled:
+                    x.text += i.text
+                    x.holds = x.holds or i.holds
+                    x.prose = x.prose or i.prose
+        x.prose = x.prose or (x.tag in ("p", "blockquote", "pre") and x.text >= PROSE_CHARS)
     share = body.link_chars / max(body.chars, 1)
+    for x, art in zip(order, inside):
+        x.noise = x is not body and (x.parent.noise or x.settled or bool(x.named and not _spared(x, body, art)))
     for x in reversed(order):
         x.density = density(x.chars, x.tags, x.link_chars, x.link_tags, share)
         x.total = sum(i.density for i in x.items if isinstance(i, Node) and not i.noise)
