@@ -80,7 +80,7 @@ def test_vocabulary(spark):
     with pytest.raises(ValueError):
         U.looked_up(e, "id", types.unionByName(types), "type", "type_no")
     tags = {r.tag: r.category for r in U.tag_table(spark).collect()}
-    assert tags["PRP$"] == "DET" and tags["VBZ"] == "VERB" and len(tags) == 51
+    assert tags["PRP$"] == "DET" and tags["VBZ"] == "VERB" and len(tags) == 57
 
 
 def test_large_tables_are_joined(spark, monkeypatch):
