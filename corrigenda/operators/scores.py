@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrigenda.model import KEYS
@@ -13,8 +15,8 @@ COUNTS = ["tp", "fp", "fn", "tn", "fp_ne", "fp_un"]
 BETA = 0.5
 #: hit, err, und, ove
 CORPUS_FACTORS, SENTENCE_FACTORS = (0.45, 0.35, 0.15, 0.05), (0.35, 0.25, 0.20, 0.20)
-#: Sample ids compressed together before the fold; rows that one task folds.
-FOLD_RANGE, FOLD_ROWS = 1 << 16, 50_000
+#: Open samples that are folded behind one another.
+FOLD_ROWS = 50_000
 
 
 def ref_counts(matches: DataFrame, pairs: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -98,17 +100,79 @@ def _com(c, k) -> float:
     return k[0] * h + k[1] * (1 - e) + k[2] * (1 - u) + k[3] * (1 - (un / made if made else 0.0))
 
 
+SEGMENTS = "system_id string, block bigint, seq bigint, n bigint, c array<array<double>>, s array<double>"
+FOLDED = "system_id string, block bigint, n bigint, s array<double>"
+
+
+def _segments(fold_rows: int):
+    """Rows ``system_id, c, part`` in order as segments: an open sample and the sum of the decided ones behind it, in blocks of ``fold_rows``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, key, now = 0, None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for system, part, cands in zip(*(batch.column(c).to_pylist() for c in ("system_id", "part", "c"))):
+                if len(cands) > 1 or now is None or key != system:
+                    if now is not None:
+                        out.append(now)
+                    now = (system, (part << 32) + made // fold_rows, made, 1, cands if len(cands) > 1 else None, cands[0] if len(cands) == 1 else [0.0] * len(COUNTS))
+                    key, made = system, made + 1
+                else:
+                    now = (*now[:3], now[3] + 1, now[4], [x + y for x, y in zip(now[5], cands[0])])
+            yield _rows(out, SEGMENTS)
+        if now is not None:
+            yield _rows([now], SEGMENTS)
+
+    return run
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "array<double>": pa.list_(pa.float64()), "array<array<double>>": pa.list_(pa.list_(pa.float64()))}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    cols = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)], names=[n for n, _ in fields])
+
+
+def _folded(start: dict[tuple[str, int], list[float]], rank: Callable[[list[float]], float]):
+    """What each block of segments, read in order, adds to the totals it starts from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, first, total = None, 0, [], []
+        done: list[tuple] = []
+        for batch in batches:
+            for system, block, more, cands, decided in zip(*(batch.column(c).to_pylist() for c in ("system_id", "block", "n", "c", "s"))):
+                if key != (system, block):
+                    if key:
+                        done.append((*key, n, [x - y for x, y in zip(total, first)]))
+                    key, n = (system, block), 0
+                    total = first = start.get(key, [0.0] * len(COUNTS))
+                best = None
+                for v in cands or ():
+                    new = [x + y for x, y in zip(total, v)]
+                    order = (rank(new), v[0], -v[1], -v[2], v[3])
+                    if best is None or order > best[0]:
+                        best = (order, new)
+                total = [x + y for x, y in zip(best[1] if best else total, decided)]
+                n += more
+        if key:
+            done.append((*key, n, [x - y for x, y in zip(total, first)]))
+        yield _rows(done, FOLDED)
+
+    return run
+
+
 def corpus_totals(counts: DataFrame, by: str = "prf", factors=CORPUS_FACTORS, beta: float = BETA, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Totals of the ordered fold: sample by sample the reference that makes the best running score.
 
     Only samples whose references differ need the running score. Equal candidates collapse; for the
-    plain score a candidate no better in any count than one that also wins ties is dropped. Decided
-    samples behind an open one are summed (within ranges of ids, so no window spans the corpus). What
-    remains is folded in blocks of about ``fold_rows`` rows in parallel: each block starts from a
-    guess of the totals before it, and all are folded again from the sums of what the blocks before
-    them came to, until these are the totals they started from. That is the ordered fold; each round
-    settles one more block at least, and mostly all of them within a few, since a choice seldom
-    depends on small changes of the totals.
+    plain score a candidate no better in any count than one that also wins ties is dropped. Samples are
+    dealt out by ranges of their ids; in each, the decided ones behind an open one are summed. What
+    remains is folded in blocks of ``fold_rows`` rows in parallel, a row at a time: each block starts
+    from a guess of the totals before it. The blocks whose start is not what those before them came to
+    are folded again, until there are none. That is the ordered fold; each round settles one more block
+    at least, and mostly all of them within a few, since a choice seldom depends on small changes of the
+    totals. Starts count as equal within a billionth: sums of weights depend on the order of adding.
+    A row for each block comes to the driver.
     """
     row = F.struct(*[F.col(c) for c in COUNTS], (-F.col("ref_id")).alias("r"))
     t = counts.groupBy(*KEYS).agg(F.sort_array(F.collect_list(row)).alias("c"))
@@ -117,48 +181,34 @@ def corpus_totals(counts: DataFrame, by: str = "prf", factors=CORPUS_FACTORS, be
     if by == "prf":
         key = lambda x: F.struct(x["tp"].alias("a"), (-x["fp"]).alias("b"), (-x["fn"]).alias("c"), x["tn"].alias("d"), x["r"].alias("e"))
         t = t.withColumn("c", F.filter("c", lambda x: ~F.exists("c", lambda y: (y["tp"] >= x["tp"]) & (y["fp"] <= x["fp"]) & (y["fn"] <= x["fn"]) & (key(y) > key(x)))))
-    t = t.withColumn("open", (F.size("c") > 1).cast("int")).withColumn("range", F.floor(F.col("sample_id") / FOLD_RANGE))
-    w = Window.partitionBy("system_id", "range").orderBy("sample_id").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("seg", F.sum("open").over(w))
-    choice = F.transform(F.reverse(F.array_sort(F.col("c"), lambda x, y: F.when(x["r"] < y["r"], -1).when(x["r"] > y["r"], 1).otherwise(0))), lambda x: F.struct(*[x[k].alias(k) for k in COUNTS]))
-    # a segment is at most one open sample and the decided ones behind it
-    segs = t.groupBy("system_id", "range", "seg").agg(
-        F.count("*").alias("n"), F.max(F.when(F.col("open") == 1, choice)).alias("c"), *[F.sum(F.when(F.col("open") == 0, F.col("c")[0][x]).otherwise(0.0)).alias(x) for x in COUNTS]
-    )
-    segs = saved(segs, "fold")
-    blocks = max(1, -(-segs.count() // fold_rows))
-    borders = sorted(set(segs.approxQuantile("range", [k / blocks for k in range(1, blocks)], 0.1 / blocks))) if blocks > 1 else []
-    block = F.size(F.filter(F.array(*[F.lit(float(b)) for b in borders]), lambda b: b < F.col("range"))) if borders else F.lit(0)
-    segs = segs.withColumn("block", block)
+    by_reference = F.array_sort(F.col("c"), lambda x, y: F.when(x["r"] > y["r"], -1).when(x["r"] < y["r"], 1).otherwise(0))
+    t = t.withColumn("c", F.transform(by_reference, lambda x: F.array(*[x[k] for k in COUNTS])))
+    dealt = t.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).select("system_id", "c", F.spark_partition_id().alias("part"))
+    segs = saved(dealt.mapInArrow(_segments(fold_rows), SEGMENTS), "fold")
+    rank = (lambda v: _prf(v, beta)) if by == "prf" else (lambda v: _com(v, factors))
     start: dict[tuple[str, int], list[float]] = {}
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["range", "seg"], kind="stable")
-        name = (pdf["system_id"].iloc[0], int(pdf["block"].iloc[0]))
-        total = first = start.get(name, [0.0] * 6)
-        for cands, *decided in zip(pdf["c"], *(pdf[c] for c in COUNTS)):
-            best = None
-            for c in cands if cands is not None else ():
-                v = [c[k] for k in COUNTS]
-                new = [a + b for a, b in zip(total, v)]
-                rank = (_prf(new, beta) if by == "prf" else _com(new, factors), v[0], -v[1], -v[2], v[3])
-                if best is None or rank > best[0]:
-                    best = (rank, new)
-            total = [a + b for a, b in zip(best[1] if best else total, decided)]
-        return pd.DataFrame([[*name, int(pdf["n"].sum()), *(a - b for a, b in zip(total, first))]], columns=["system_id", "block", "num_sample", *COUNTS])
-
-    schema = "system_id string, block int, num_sample bigint, " + ", ".join(f"{c} double" for c in COUNTS)
-    folded = segs.groupBy("system_id", "block").applyInPandas(fold, schema)
-    while borders:
-        made = saved(segs.groupBy("system_id", "block").applyInPandas(fold, schema), "folded")
-        before = made.toPandas().sort_values(["system_id", "block"])  # a row per block
-        sums = before.groupby("system_id")[COUNTS].cumsum() - before[COUNTS]
-        now = {(s, int(b)): v for s, b, v in zip(before["system_id"], before["block"], sums.to_numpy().tolist())}
-        if all(abs(x - y) <= 1e-9 * max(1.0, abs(x)) for k, v in now.items() for x, y in zip(v, start.get(k, [0.0] * 6))):
-            folded = made
+    made: dict[tuple[str, int], tuple[int, list[float]]] = {}
+    stale = segs
+    while True:
+        # the order of blocks is that of their numbers; rows of a block stay in order
+        todo = stale.repartition("system_id", "block").sortWithinPartitions("system_id", "block", "seq").select("system_id", "block", "n", "c", "s")
+        made |= {(r.system_id, r.block): (r.n, list(r.s)) for r in todo.mapInArrow(_folded(start, rank), FOLDED).collect()}
+        sums: dict[str, list[float]] = {}
+        again = []
+        for system, block in sorted(made):
+            total = sums.setdefault(system, [0.0] * len(COUNTS))
+            if any(abs(x - y) > 1e-9 * max(1.0, abs(x)) for x, y in zip(total, start.get((system, block), [0.0] * len(COUNTS)))):
+                start[system, block] = total
+                again.append((system, block))
+            sums[system] = [x + y for x, y in zip(total, made[system, block][1])]
+        if not again:
             break
-        start = now
-    return folded.groupBy("system_id").agg(F.sum("num_sample").alias("num_sample"), *[F.sum(c).alias(c) for c in COUNTS])
+        stale = segs.join(F.broadcast(segs.sparkSession.createDataFrame(again, "system_id string, block bigint")), ["system_id", "block"], "left_semi")
+    size: dict[str, int] = {}
+    for (system, _), (n, _) in made.items():
+        size[system] = size.get(system, 0) + n
+    rows = [(system, size[system], *total) for system, total in sums.items()]
+    return segs.sparkSession.createDataFrame(rows, "system_id string, num_sample bigint, " + ", ".join(f"{c} double" for c in COUNTS))
 
 
 def prf_corpus(counts: DataFrame, beta: float = BETA) -> DataFrame:
