@@ -259,4 +259,12 @@ SELECT tag, category, count(*) AS n FROM g LEFT JOIN c USING (tag) GROUP BY ALL"
         "corpus_unweighted": _COMMON + _IND + _cnt(pairs="live") + _ONE_REF + _prf("tot") + "SELECT f FROM prf", "corpus_weighted": _COMMON + _IND + _W + _cnt("mw", "w", "live") + _ONE_REF + _prf("tot") + "SELECT f FROM prf",
         "sentence_unweighted": _COMMON + _IND + _cnt(pairs="live") + _prf("cnt") + _SENT, "sentence_weighted": _COMMON + _IND + _W + _cnt("mw", "w", "live") + _prf("cnt") + _SENT,
     }.items()),
+    "edit_types": _COMMON + """, x AS (SELECT tgt, src_end - src_start AS n, lower(s.src[src_start + 1]) AS a, lower(tgt) AS b FROM edits JOIN samples s USING (sample_id)),
+c AS (SELECT CASE WHEN n = 0 THEN 'M:OTHER' WHEN tgt = '' THEN 'U:OTHER' WHEN n > 1 THEN 'R:OTHER' WHEN a = b THEN 'R:ORTH'
+  WHEN length(a) > 3 AND length(b) > 3 AND substr(a, 1, 4) = substr(b, 1, 4) THEN 'R:MORPH' WHEN 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) > 0.5 THEN 'R:SPELL' ELSE 'R:OTHER' END AS type FROM x)
+SELECT type, count(*) AS n FROM c GROUP BY 1""",
+    "sentence_split": """WITH m AS (SELECT doc_id, string_split(regexp_replace(replace(text, chr(10), ' '), '([.!?]+[”"’'']?)', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM documents),
+p AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: trim(x, ' ')), lambda x: x <> '') AS parts FROM m),
+c AS (SELECT doc_id, flatten(list_transform(parts, lambda x: list_transform(range(0, CAST(floor((length(x) - 1) / 510.0) AS BIGINT) + 1), lambda k: substr(x, CAST(k * 510 + 1 AS BIGINT), 510)))) AS s FROM p)
+SELECT doc_id, CAST(unnest(range(len(s))) AS INT) AS no, unnest(s) AS sentence FROM c""",
 }
