@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrigenda.model import KEYS
-from corrigenda.tables import saved
+from corrigenda.tables import removed, saved
 
 COUNTS = ["tp", "fp", "fn", "tn", "fp_ne", "fp_un"]
 BETA = 0.5
@@ -204,11 +204,12 @@ def corpus_totals(counts: DataFrame, by: str = "prf", factors=CORPUS_FACTORS, be
         if not again:
             break
         stale = segs.join(F.broadcast(segs.sparkSession.createDataFrame(again, "system_id string, block bigint")), ["system_id", "block"], "left_semi")
+    removed(segs)
     size: dict[str, int] = {}
     for (system, _), (n, _) in made.items():
         size[system] = size.get(system, 0) + n
     rows = [(system, size[system], *total) for system, total in sums.items()]
-    return segs.sparkSession.createDataFrame(rows, "system_id string, num_sample bigint, " + ", ".join(f"{c} double" for c in COUNTS))
+    return counts.sparkSession.createDataFrame(rows, "system_id string, num_sample bigint, " + ", ".join(f"{c} double" for c in COUNTS))
 
 
 def prf_corpus(counts: DataFrame, beta: float = BETA) -> DataFrame:

@@ -23,7 +23,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes the table that ``saved`` has written for ``df``; nothing may read it any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
