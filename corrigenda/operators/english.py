@@ -235,8 +235,8 @@ def plain_stem(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), "(?<=.{3})(ations?|ments?|ness|ings?|edly|ed|ers?|ly|able|ful|ies|es|s|y|e)$", "")
 
 
-def two_sided(stem: Callable[[Column], Column] = plain_stem) -> Column:
-    """Category of a replacement, from the columns that ``typed`` derives."""
+def two_sided(stem: Callable[[Column], Column] | None = plain_stem) -> Column:
+    """Category of a replacement, from the columns that ``annotated_edits`` derives; without ``stem`` those of the stems, ``_as, _bs``, too."""
     c = F.col
     head = lambda name: F.get(name, F.lit(0))
     x, y, xl, yl = head("_a"), head("_b"), head("_al"), head("_bl")
@@ -281,7 +281,7 @@ def two_sided(stem: Callable[[Column], Column] = plain_stem) -> Column:
         (kin & (op == "ADJ") & (y["tag"] == "NNS"), "NOUN:NUM"),
         *[(kin & y["tag"].isin(*tags), label) for tags, label in ((("VBG", "VBN"), "VERB:FORM"), (("VBD",), "VERB:TENSE"), (("VBZ",), "VERB:SVA"))],
         (kin, "MORPH"),
-        (both_inflected & (stem(x["text"]) == stem(y["text"])), "MORPH"),
+        (both_inflected & (stem(x["text"]) == stem(y["text"]) if stem else c("_as") == c("_bs")), "MORPH"),
     ]
     general = [
         (aux, "VERB:TENSE"),
@@ -322,11 +322,13 @@ def two_sided(stem: Callable[[Column], Column] = plain_stem) -> Column:
     ], "OTHER")
 
 
-def annotated_edits(pairs: DataFrame, spans: DataFrame, words: DataFrame | None = None, stem: Callable[[Column], Column] = plain_stem) -> DataFrame:
+def annotated_edits(pairs: DataFrame, spans: DataFrame, words: DataFrame | None = None, stem: Callable[[Column], Column] | DataFrame = plain_stem) -> DataFrame:
     """Edit rows with tokens and a type (``M:``, ``U:``, ``R:`` and a category, or ``UNK``) from spans of annotated pairs.
 
     ``words`` (column ``word``): the words taken for well spelled, joined like any other table; without it
-    all are. Trailing tokens that differ in case only don't count. A tag that is not in ``TAGS`` is X.
+    all are. ``stem``: a function, or a table ``word, stem`` in lower case that a stemmer has made, joined alike;
+    a word that it does not have is its own stem, and of several the smallest counts. Trailing tokens that differ
+    in case only don't count. A tag that is not in ``TAGS`` is X.
     """
     tags = {tag: pos for pos, of in TAGS.items() for tag in of}
     part = lambda side: F.slice(f"{side}_ann", F.col(f"{side}_start") + 1, F.col(f"{side}_end") - F.col(f"{side}_start"))
@@ -351,6 +353,10 @@ def annotated_edits(pairs: DataFrame, spans: DataFrame, words: DataFrame | None
         known = words.select(F.col("word").alias("_k")).where("_k is not null").distinct()
         e = e.join(known, F.col("_w") == F.col("_k"), "left").withColumnRenamed("_k", "_k1")
         e = e.join(known, F.lower("_w") == F.col("_k"), "left").withColumn("_known", F.coalesce("_k1", "_k").isNotNull())
-    kind = F.when(F.col("_op") == "R", two_sided(stem)).when(F.col("_op") == "M", one_sided(F.col("_b"), F.col("_bpos"), F.col("_bdep"))).otherwise(one_sided(F.col("_a"), F.col("_apos"), F.col("_adep")))
+    if isinstance(stem, DataFrame):
+        stems = stem.where("word is not null").groupBy(F.col("word").alias("_k")).agg(F.min("stem").alias("_stem"))
+        for s, first in (("_as", x), ("_bs", y)):
+            e = e.withColumn("_key", first).join(stems, F.col("_key") == F.col("_k"), "left").withColumn(s, F.coalesce("_stem", "_key")).drop("_key", "_k", "_stem")
+    kind = F.when(F.col("_op") == "R", two_sided(None if isinstance(stem, DataFrame) else stem)).when(F.col("_op") == "M", one_sided(F.col("_b"), F.col("_bpos"), F.col("_bdep"))).otherwise(one_sided(F.col("_a"), F.col("_apos"), F.col("_adep")))
     types = F.array(F.when(F.col("_op") == "UNK", "UNK").otherwise(F.concat_ws(":", "_op", kind)))
     return e.select(*PAIR, "edit_no", "src_start", "src_end", "tgt_start", "tgt_end", "src_tokens", "tgt_tokens", types.alias("types"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corrigenda.functions.text import char_tokens, tokenize
 from corrigenda.operators.chinese import chinese_edits, lexicon, merge_chinese
-from corrigenda.operators.english import annotated_edits, merge_annotated
+from corrigenda.operators.english import annotated_edits, merge_annotated, plain_stem
 from corrigenda.operators.extract import align_pairs, merge_steps, parallel_to_edits, to_edits
 
 #: Strategies that need nothing but the steps of an alignment.
@@ -30,16 +30,16 @@ def _plain(pairs: DataFrame, strategy: str = "rules") -> DataFrame:
     return parallel_to_edits(pairs, strategy)
 
 
-def _english(pairs: DataFrame, strategy: str = "rules", annotate: Callable[[Column], Column] | None = None, words: DataFrame | None = None) -> DataFrame:
+def _english(pairs: DataFrame, strategy: str = "rules", annotate: Callable[[Column], Column] | None = None, words: DataFrame | None = None, stem: Callable[[Column], Column] | DataFrame = plain_stem) -> DataFrame:
     """Annotations are in ``src_ann, tgt_ann``, or made by ``annotate`` from the tokens; without either, by what text alone shows."""
     if annotate is not None:
         pairs = pairs.withColumns({f"{s}_ann": annotate(F.col(f"{s}_tokens")) for s in ("src", "tgt")})
     if "src_ann" not in pairs.columns:
         return parallel_to_edits(pairs, strategy)
     if strategy == "rules":
-        return annotated_edits(pairs, merge_annotated(pairs), words)
+        return annotated_edits(pairs, merge_annotated(pairs), words, stem)
     more = {f"{s}_{x}": F.col(f"{s}_ann.{x}") for s in ("src", "tgt") for x in ("lemma", "pos")}
-    return annotated_edits(pairs, merge_steps(align_pairs(pairs.withColumns(more)), strategy), words)
+    return annotated_edits(pairs, merge_steps(align_pairs(pairs.withColumns(more)), strategy), words, stem)
 
 
 def _chinese(pairs: DataFrame, strategy: str = "rules", words: bool = False, classes: DataFrame | None = None, confusions: DataFrame | None = None, sounds: DataFrame | None = None, heuristic: bool = True) -> DataFrame:

@@ -90,3 +90,19 @@ def test_auxiliary_before_a_verb_and_no_edits(spark):
     assert got == [(0, "R:VERB:FORM"), (2, "M:VERB")]
     none = spark.createDataFrame([], schema)
     assert annotated_edits(none, merge_annotated(none)).count() == 0
+
+
+def test_stems_from_a_table(spark):
+    # what a stemmer makes of these words; the default rule knows the first pair only
+    table = [("acting", "act"), ("acted", "act"), ("possession", "possess"), ("possessive", "possess"), ("maximum", "maxim"), ("maximal", "maxim"), ("cat", "cat"), ("cat", "zz"), (None, "x")]
+    cases = [
+        ("acting/acting/NOUN/NN", "acted/act/VERB/VBD", True, True), ("possession/possession/NOUN/NN", "possessive/possessive/ADJ/JJ", False, True),
+        ("Maximum/maximum/NOUN/NN", "maximal/maximal/ADJ/JJ", False, True), ("cat/cat/NOUN/NN", "dogged/dogged/ADJ/JJ", False, False), ("thinking/thinking/NOUN/NN", "thoughtful/thoughtful/ADJ/JJ", False, False),
+    ]
+    schema = f"system_id string, sample_id bigint, side string, target_id int, src_ann array<{TOKEN}>, tgt_ann array<{TOKEN}>"
+    pairs = spark.createDataFrame([("s", k, "ref", 0, tok(a), tok(b)) for k, (a, b, *_) in enumerate(cases)], schema)
+    spans = spark.createDataFrame([("s", k, "ref", 0, 0, 1, 0, 1, "S", 0) for k in range(len(cases))], SPANS)
+    stems = spark.createDataFrame(table, "word string, stem string")
+    for given, at in (({}, 2), ({"stem": stems}, 3)):
+        got = {r.sample_id: r.types == ["R:MORPH"] for r in annotated_edits(pairs, spans, **given).collect()}
+        assert got == {k: c[at] for k, c in enumerate(cases)}
