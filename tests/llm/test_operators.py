@@ -250,4 +250,4 @@ def test_pipeline_and_registry(spark):
     ids = {r.doc_id for r in got.select("doc_id").distinct().collect()}
     con = duckdb.connect()
     base = {r[0] for r in con.sql(f"select doc_id from '{SF}/documents.parquet' where len(string_split_regex(trim(text, ' \t\n'), '[ \t\n]+')) >= 50").fetchall()}
-    assert ids and ids <= base and len(queries.QUERIES) == 10
+    assert ids and ids <= base and len(queries.QUERIES) == 13
