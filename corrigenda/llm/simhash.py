@@ -31,11 +31,16 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
         return 0
     parts = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     h = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), "<u8")
-    n = len(h)
-    ones = np.zeros(64, np.int64)
-    for lo in range(0, n, 65_536):
-        ones += np.unpackbits(h[lo : lo + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(majority(h).tobytes(), "little")
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """The bits (packed bytes) that are set in over half the rows of ``h`` (hashes, one or more words each)."""
+    bits = h.view(np.uint8).reshape(len(h), -1)
+    ones = np.zeros(8 * bits.shape[1], np.int64)
+    for lo in range(0, len(h), 65_536):
+        ones += np.unpackbits(bits[lo : lo + 65_536], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), bitorder="little")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
