@@ -45,6 +45,11 @@ def apply_edits(samples: DataFrame, targets: DataFrame, edits: DataFrame) -> Dat
     return done.select(*TARGET, tokens.alias("tgt_tokens"))
 
 
+def applied(rows: DataFrame) -> DataFrame:
+    """``apply_edits`` where each target stands beside its source and its edits in order: TARGET, ``src_tokens, edits``."""
+    return rows.select(*TARGET, splice(F.col("src_tokens"), F.col("edits"), F.lit(0), F.size("src_tokens")).alias("tgt_tokens"))
+
+
 def edits_type(edits: DataFrame) -> str:
     return "array<struct<src_start:int,src_end:int,edit_no:int,tgt_tokens:array<string>,types:array<string>>>"
 

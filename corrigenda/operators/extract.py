@@ -10,13 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrigenda.operators.align import Costs, Texts, _common, _lower_key, align_many, numbered, op_name
+from corrigenda.operators.align import MATCH, MOVE, OPS, Costs, Texts, _common, align_many, align_numbered, numbered, op_name
 
 #: Pairs that are aligned at a time.
 ROWS = 2048
 OPEN_CLASS = {"ADJ", "ADV", "NOUN", "VERB"}
 PAIR = ["system_id", "sample_id", "side", "target_id"]
+_MOVED = MOVE + 2
 ALIGNED = "system_id string, sample_id bigint, side string, target_id int, step int, op string, s0 int, s1 int, t0 int, t1 int"
+IN_ROWS = (
+    "system_id string, sample_id bigint, side string, target_id int, src_tokens array<string>, edits array<struct<edit_no:int,src_start:int,src_end:int,"
+    "tgt_start:int,tgt_end:int,src_tokens:array<string>,tgt_tokens:array<string>,ops:string>>"
+)
 
 
 @lru_cache(1 << 16)
@@ -58,36 +63,112 @@ def _tokens(words: list[str], lemmas: list[str] | None, kinds: list[str] | None)
     return list(zip(words, lemmas or [w.lower() for w in words], kinds or [""] * len(words)))
 
 
-def steps_of(pairs: DataFrame, columns: list[str], read: Callable[..., tuple[list[tuple], list[tuple]]], costs: Callable[[Sequence[tuple]], Costs] | None, fold: Callable[[tuple], str] = _lower_key) -> DataFrame:
-    """Alignment steps (ALIGNED) of ``pairs``: ``read(*values of columns)`` gives the tokens of both sides of a pair."""
+def _columns(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with all columns that ``_steps`` reads; annotations that are not there are null."""
+    names = [f"{side}_{x}" for side in ("src", "tgt") for x in ("tokens", "lemma", "pos")]
+    return pairs.select(*PAIR, *[F.col(c) if c in pairs.columns else F.lit(None).cast("array<string>").alias(c) for c in names])
+
+
+def _vocabulary(part: pa.RecordBatch) -> tuple[list[tuple[str, str, str]], list[tuple[np.ndarray, np.ndarray]]]:
+    """The different tokens of the pairs, and of each pair their numbers; without annotations taken from the columns as they are."""
+    src, tgt = part.column("src_tokens"), part.column("tgt_tokens")
+    if all(part.column(f"{side}_{x}").null_count == part.num_rows for side in ("src", "tgt") for x in ("lemma", "pos")):
+        coded = pa.concat_arrays([src.flatten(), tgt.flatten()]).dictionary_encode()
+        number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        vocabulary = _tokens(coded.dictionary.to_pylist(), None, None)
+    else:
+        sides = [[t for row in zip(*(part.column(f"{side}_{x}").to_pylist() for x in ("tokens", "lemma", "pos"))) for t in _tokens(*row)] for side in ("src", "tgt")]
+        vocabulary, number = numbered(sides[0] + sides[1])
+    sizes = [c.value_lengths().to_numpy(zero_copy_only=False) for c in (src, tgt)]
+    ends = np.cumsum(np.concatenate(sizes)).tolist()
+    cuts = [number[e - n : e] for e, n in zip(ends, np.concatenate(sizes).tolist())]
+    return vocabulary, list(zip(cuts[: part.num_rows], cuts[part.num_rows :]))
+
+
+def _steps(part: pa.RecordBatch, standard: bool) -> tuple[np.ndarray, ...]:
+    """Of all pairs behind one another: row, number of the step, kind, s0, s1, t0, t1."""
+    steps = align_numbered(*_vocabulary(part), None if standard else WordCosts)
+    size = np.array([len(s[0]) for s in steps], np.int64)
+    ends = np.cumsum(size)
+    columns = [np.concatenate(c) for c in zip(*steps)] if steps else [np.zeros(0, np.int64)] * 5
+    return np.repeat(np.arange(len(size)), size), np.arange(len(columns[0])) - np.repeat(ends - size, size), *columns
+
+
+def align_pairs(pairs: DataFrame, standard: bool = False) -> DataFrame:
+    """Alignment steps (ALIGNED) of every pair (``src_tokens, tgt_tokens``; optional ``*_lemma, *_pos`` arrays).
+
+    Identical pairs have nothing to align and are left out. Without annotations a token's lemma is
+    its lower case and all parts of speech are equal.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
-                steps = align_many([read(*row) for row in zip(*(c.to_pylist() for c in part.columns[len(PAIR) :]))], costs, fold)
-                size = [len(s[0]) for s in steps]
-                kind, *places = (np.concatenate(c) if len(c) else np.zeros(0, np.int64) for c in zip(*steps))
+                owner, step, kind, *places = _steps(part, standard)
                 kinds, number = np.unique(kind, return_inverse=True)
-                owner = pa.array(np.repeat(np.arange(len(size)), size))
-                ends = np.cumsum(size)
-                step = np.arange(len(kind)) - np.repeat(ends - size, size)
                 op = pa.DictionaryArray.from_arrays(pa.array(number, pa.int32()), pa.array([op_name(int(k)) for k in kinds], pa.string())).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*(part.column(k).take(owner) for k in range(len(PAIR))), pa.array(step, pa.int32()), op, *(pa.array(c, pa.int32()) for c in places)], names=[*PAIR, "step", "op", "s0", "s1", "t0", "t1"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(owner)) for k in range(len(PAIR))), pa.array(step, pa.int32()), op, *(pa.array(c, pa.int32()) for c in places)], names=[*PAIR, "step", "op", "s0", "s1", "t0", "t1"])
 
-    return pairs.select(*PAIR, *columns).mapInArrow(run, ALIGNED)
+    return _columns(pairs.where(F.col("src_tokens") != F.col("tgt_tokens"))).mapInArrow(run, ALIGNED)
 
 
-def align_pairs(pairs: DataFrame, standard: bool = False) -> DataFrame:
-    """Alignment steps of every pair (``src_tokens, tgt_tokens``; optional ``*_lemma, *_pos`` arrays).
+def _opens(strategy: str, kind: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Which steps begin an edit; kinds are those of ``align`` (a reordering of any length is MOVE), before the first step stands -1."""
+    if strategy == "split":
+        opens = np.ones(len(kind), bool)
+    elif strategy == "merge":
+        opens = (before < 0) | (before == MATCH)
+    elif strategy == "equal":
+        opens = before != kind
+    elif strategy == "rules":
+        opens = (before < 0) | (before == MATCH) | (before == _MOVED) | (kind == _MOVED)
+    else:
+        raise ValueError(strategy)
+    return opens & (kind != MATCH)
 
-    Identical pairs have nothing to align and are left out. Without annotations a token's lemma is
-    its lower case and all parts of speech are equal.
+
+def _slices(values: pa.Array, start: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    """``values[start : start + size]`` of each row."""
+    ends = np.cumsum(size)
+    at = np.repeat(start - (ends - size), size) + np.arange(int(size.sum()))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values.take(pa.array(at)))
+
+
+def edits_in_rows(pairs: DataFrame, strategy: str = "rules", standard: bool = False) -> DataFrame:
+    """``PAIR, src_tokens, edits``: each pair with its edits in order, identical pairs with none; see ``merge_steps`` for the strategies.
+
+    Alignment and merging concern one pair only. So both are done in one pass, without joins, windows or a shuffle.
     """
-    names = [f"{side}_{x}" for side in ("src", "tgt") for x in ("tokens", "lemma", "pos")]
-    todo = pairs.where(F.col("src_tokens") != F.col("tgt_tokens"))
-    todo = todo.withColumns({c: F.lit(None).cast("array<string>") for c in names if c not in pairs.columns})
-    return steps_of(todo, names, lambda *v: (_tokens(*v[:3]), _tokens(*v[3:])), None if standard else WordCosts)
+    _opens(strategy, *[np.zeros(0, np.int64)] * 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                whole = batch.slice(lo, ROWS)
+                changed = np.flatnonzero(whole.column("_changed").fill_null(False).to_numpy(zero_copy_only=False))
+                part = whole.take(pa.array(changed))
+                owner, step, kind, *places = _steps(part, standard)
+                kind = np.minimum(kind, _MOVED)
+                before = np.where(step == 0, -1, np.concatenate([[-1], kind])[:-1])
+                kept = kind != MATCH
+                start = np.flatnonzero(_opens(strategy, kind, before)[kept])
+                last = np.concatenate([start[1:], [int(kept.sum())]])[: len(start)] - 1
+                row = owner[kept][start]
+                s0, s1, t0, t1 = (c[kept][at] for c, at in zip(places, (start, last, start, last)))
+                number = np.arange(len(row)) - np.searchsorted(row, row)
+                letters = "".join(np.array(list(OPS + "T"))[kind[kept]])
+                ops = [letters[a : b + 1] for a, b in zip(start.tolist(), last.tolist())]
+                texts = []
+                for side, a, b in (("src", s0, s1), ("tgt", t0, t1)):
+                    column = part.column(f"{side}_tokens")
+                    size = column.value_lengths().to_numpy(zero_copy_only=False)
+                    texts.append(_slices(column.flatten(), (np.cumsum(size) - size)[row] + a, b - a))
+                edits = pa.StructArray.from_arrays([*(pa.array(c, pa.int32()) for c in (number, s0, s1, t0, t1)), *texts, pa.array(ops, pa.string())], ["edit_no", "src_start", "src_end", "tgt_start", "tgt_end", "src_tokens", "tgt_tokens", "ops"])
+                ends = np.cumsum(np.bincount(changed[row], minlength=whole.num_rows))
+                yield pa.RecordBatch.from_arrays([*(whole.column(c) for c in (*PAIR, "src_tokens")), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), edits)], names=[*PAIR, "src_tokens", "edits"])
+
+    return _columns(pairs).withColumn("_changed", F.col("src_tokens") != F.col("tgt_tokens")).mapInArrow(run, IN_ROWS)
 
 
 def merge_steps(steps: DataFrame, strategy: str = "rules") -> DataFrame:
@@ -165,4 +246,5 @@ def char_edit_type(ops: Column) -> Column:
 
 def parallel_to_edits(pairs: DataFrame, strategy: str = "rules", standard: bool = False) -> DataFrame:
     """Aligned, merged and typed edits of ``pairs``; identical pairs have none."""
-    return to_edits(pairs, merge_steps(align_pairs(pairs, standard), strategy))
+    e = edits_in_rows(pairs, strategy, standard).select(*PAIR, F.explode("edits").alias("e")).select(*PAIR, "e.*")
+    return e.drop("ops").withColumn("types", F.array(edit_type(F.col("src_tokens"), F.col("tgt_tokens"))))
