@@ -21,7 +21,7 @@ def few_pairs(spark):
     return _pairs(spark, SF).where("sample_id % 53 = 3")
 
 
-@pytest.mark.parametrize("strategy", ["equal", "merge", "rules"])
+@pytest.mark.parametrize("strategy", ["equal", "merge", "rules", "split"])
 def test_edits_in_rows(spark, strategy):
     p = few_pairs(spark)
     plain = K.to_edits(p, K.merge_steps(K.align_pairs(p), strategy))
