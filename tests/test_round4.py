@@ -28,3 +28,9 @@ def test_edits_in_rows(spark, strategy):
     got = K.parallel_to_edits(p, strategy)
     assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
     assert exchanges(QUERIES[f"merge_{strategy}"](spark, SF)) == 0
+
+
+def test_targets_rebuilt_in_rows(spark):
+    got, want = QUERIES["extract_round_trip"](spark, SF), QUERIES["apply_edits"](spark, SF)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert exchanges(got) == 0
