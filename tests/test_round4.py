@@ -34,3 +34,21 @@ def test_targets_rebuilt_in_rows(spark):
     got, want = QUERIES["extract_round_trip"](spark, SF), QUERIES["apply_edits"](spark, SF)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert exchanges(got) == 0
+
+
+def test_common_ends_are_not_aligned(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [(w, w, "") for w in "abcdef"]
+    pairs = []
+    for _ in range(300):
+        end = [words[k] for k in rng.integers(0, 6, rng.integers(0, 9))]
+        pairs.append(tuple([words[k] for k in rng.integers(0, 6, rng.integers(0, 7))] + end for _ in "ab"))
+    got = A.align_many(pairs, K.WordCosts)
+    cells = []
+    blocks = A._blocks
+    monkeypatch.setattr(A, "_blocks", lambda order, size: (cells.append(int(size.sum())), blocks(order, size))[1])
+    A.align_many(pairs, K.WordCosts)
+    assert cells[0] < sum(len(s) + len(t) for s, t in pairs)
+    monkeypatch.setattr(A, "_common_end", lambda a, b: 0)
+    for one, other in zip(got, A.align_many(pairs, K.WordCosts)):
+        assert all(np.array_equal(x, y) for x, y in zip(one, other))
