@@ -61,3 +61,25 @@ def test_english_round_trip_in_rows(spark):
     got, want = QUERIES["english_round_trip"](spark, SF), QUERIES["apply_edits"](spark, SF)
     assert exchanges(got) == 0
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_english_edits_in_rows(spark):
+    rng = random.Random(5)
+    tags = {"NN": "NOUN", "VBD": "VERB", "MD": "AUX", "DT": "DET", "POS": "PART", ".": "PUNCT"}
+
+    def sentence(words):
+        return [(w, w[:3], tags[tag], tag, rng.choice(["aux", "auxpass", "det", "dobj", None]), rng.randrange(len(words))) for w in words for tag in [rng.choice(list(tags))]]
+
+    rows = []
+    for k in range(400):
+        src = [rng.choice(["was", "were", "been", "the", "walks", "walked", "a", "A", "."]) for _ in range(rng.randrange(1, 9))]
+        tgt = [w for w in src if rng.random() > 0.2] + [rng.choice(["has", "walked", "dog"])] * rng.randrange(2)
+        for _ in range(rng.randrange(3)):
+            tgt.insert(rng.randrange(len(tgt) + 1), rng.choice(["had", "be", "walks"]))
+        rows.append(("s", k, "ref", 0, src, sentence(src), sentence(tgt)))
+    pairs = spark.createDataFrame(rows, f"system_id string, sample_id bigint, side string, target_id int, src_tokens array<string>, src_ann array<{N.TOKEN}>, tgt_ann array<{N.TOKEN}>")
+    plain = N.annotated_edits(pairs, N.merge_annotated(pairs))
+    got = N.english_edits(pairs)
+    assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, plain.collect())) != []
+    assert {True, False} == {r.aux for r in N.edits_in_rows(pairs).select(F.explode("edits.aux").alias("aux")).collect()}
+    assert exchanges(QUERIES["merge_english"](spark, SF)) == 0
