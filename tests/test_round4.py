@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corrigenda.operators import align as A
+from corrigenda.operators import chinese as Z
+from corrigenda.operators import edits as E
 from corrigenda.operators import english as N
 from corrigenda.operators import extract as K
 from corrigenda.plans.testbed import tables
@@ -83,3 +85,29 @@ def test_english_edits_in_rows(spark):
     assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, plain.collect())) != []
     assert {True, False} == {r.aux for r in N.edits_in_rows(pairs).select(F.explode("edits.aux").alias("aux")).collect()}
     assert exchanges(QUERIES["merge_english"](spark, SF)) == 0
+
+
+def test_chinese_edits_in_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = []
+    for k in range(300):
+        src = ["".join(rng.choices("他她己已巳大家", k=rng.randrange(1, 3))) for _ in range(rng.randrange(1, 7))]
+        tgt = [rng.choice(["家", "她", "己已"]) if rng.random() < 0.3 else w for w in src if rng.random() > 0.1]
+        rng.random() < 0.2 and rng.shuffle(tgt)
+        rows.append(("s", k, "ref", 0, src, tgt))
+    pairs = spark.createDataFrame(rows, "system_id string, sample_id bigint, side string, target_id int, src_tokens array<string>, tgt_tokens array<string>")
+    classes = spark.createDataFrame([("他", "Aa01"), ("她", "Aa02"), ("己已", "Bb02"), ("她", "Aa01")], "word string, code string")
+    confusions = spark.createDataFrame([("己", ["已", "巳"])], "char string, alike array<string>")
+    sounds = spark.createDataFrame([("他", ["ta"]), ("她", ["ta"]), ("家", ["jia"]), ("大", ["da"])], "char string, sounds array<string>")
+    tables_ = Z.Lexical(classes, confusions, sounds)
+    plain = sorted(map(str, Z.merge_chinese(pairs, Z.lexicon(pairs, classes, confusions, sounds), words=True).collect()))
+    assert sorted(map(str, Z.merge_chinese(pairs, tables_, words=True).collect())) == plain
+    got = sorted(map(str, Z.edits_in_rows(pairs, tables_, words=True).collect()))
+    back = E.applied(Z.edits_in_rows(pairs, tables_, words=True))
+    assert {r.sample_id: r.tgt_tokens for r in back.collect()} == {r[1]: r[5] for r in rows}
+    monkeypatch.setattr(Z, "SMALL", 1)  # joined
+    assert sorted(map(str, Z.edits_in_rows(pairs, tables_, words=True).collect())) == got
+
+
+def test_chinese_round_trip_in_rows(spark):
+    assert exchanges(QUERIES["chinese_round_trip"](spark, SF)) == 0
