@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrigenda.model import KEYS
+from corrigenda.operators.extract import slices
 from corrigenda.operators.grouped import mapped
 
 ORDER = 4
+#: Rows whose n-grams are counted at a time.
+ROWS = 2048
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -18,11 +24,31 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, some).otherwise(F.array().cast("array<array<string>>"))
 
 
-def ngram_counts(df: DataFrame, keys: list[str], tokens: str, order: int = ORDER) -> DataFrame:
-    """``keys, n, gram, c``."""
-    all_ = F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col(tokens), n).alias("g")) for n in range(1, order + 1)])
-    e = df.select(*keys, F.explode(all_).alias("x")).select(*keys, F.col("x.n").alias("n"), F.explode("x.g").alias("gram"))
-    return e.groupBy(*keys, "n", "gram").agg(F.count("*").alias("c"))
+def ngram_counts(df: DataFrame, keys: list[str], tokens: str, order: int = ORDER, unique: bool = False) -> DataFrame:
+    """``keys, n, gram, c``. Where no two rows share their keys (``unique``) a row's own counts are all there is, and nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                values = part.column(len(keys)).flatten()
+                size = part.column(len(keys)).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                owner = np.repeat(np.arange(len(size)), size)
+                left = np.repeat(np.cumsum(size), size) - np.arange(len(values))  # tokens of the row from here on
+                coded = values.dictionary_encode(null_encoding="encode")
+                token = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                gram = np.zeros(len(token), np.int64)
+                for n in range(1, order + 1):
+                    at = np.flatnonzero(left >= n)
+                    gram[at] = np.unique(gram[at] * (len(coded.dictionary) + 1) + token[at + n - 1], return_inverse=True)[1]
+                    first, count = np.unique(owner[at] * (len(token) + 1) + gram[at], return_index=True, return_counts=True)[1:]
+                    start = at[first]
+                    own = [part.column(k).take(pa.array(owner[start])) for k in range(len(keys))]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(start), n), pa.int32()), slices(values, start, np.full(len(start), n)), pa.array(count, pa.int64())], names=[*keys, "n", "gram", "c"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    e = df.select(*keys, F.col(tokens)).mapInArrow(run, f"{kinds}, n int, gram array<string>, c bigint")
+    return e if unique else e.groupBy(*keys, "n", "gram").agg(F.sum("c").alias("c"))
 
 
 def gleu_parts(g: DataFrame, order: int = ORDER) -> DataFrame:

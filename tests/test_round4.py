@@ -1,18 +1,22 @@
 """Work that concerns one sample is done beside it: no shuffles, the same rows as the plain forms."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corrigenda import queries as Q
 from corrigenda.operators import align as A
 from corrigenda.operators import chinese as Z
 from corrigenda.operators import edits as E
 from corrigenda.operators import english as N
 from corrigenda.operators import extract as K
+from corrigenda.operators import gleu as G
 from corrigenda.plans.testbed import tables
 from corrigenda.queries import QUERIES, _pairs
+from corrigenda.sources import nested as J
 
 SF = "/root/testdata/sf0.001"
 
@@ -111,3 +115,14 @@ def test_chinese_edits_in_rows(spark, monkeypatch):
 
 def test_chinese_round_trip_in_rows(spark):
     assert exchanges(QUERIES["chinese_round_trip"](spark, SF)) == 0
+
+
+def test_ngrams_of_a_row(spark):
+    rng = random.Random(7)
+    rows = [(k // 2, rng.choices("abc", k=rng.randrange(9))) for k in range(200)] + [(1000, None), (1001, ["a", None, "a"])]
+    df = spark.createDataFrame(rows, "id int, t array<string>")
+    want = Counter((k, n, tuple(t[i : i + n])) for k, t in rows if t for n in range(1, 5) for i in range(len(t) + 1 - n))
+    assert {(r.id, r.n, tuple(r.gram)): r.c for r in G.ngram_counts(df, ["id"], "t").collect()} == want
+    one = df.where("id >= 1000")
+    assert {(r.id, r.n, tuple(r.gram)): r.c for r in G.ngram_counts(one, ["id"], "t", unique=True).collect()} == {k: c for k, c in want.items() if k[0] >= 1000}
+    assert exchanges(QUERIES["ngram_counts"](spark, SF)) == 0
