@@ -23,6 +23,13 @@ def to_nested(samples: DataFrame, targets: DataFrame, edits: DataFrame) -> DataF
     return samples.join(t, KEYS, "left").select(*KEYS, F.array_join("src_tokens", " ").alias("source"), "targets")
 
 
+def grouped_to_nested(g: DataFrame) -> DataFrame:
+    """``to_nested`` of a grouped dataset (see ``grouped``), row by row."""
+    edits = lambda t: F.sort_array(t["edits"])
+    targets = F.sort_array(F.transform("t", lambda t: F.struct(t["side"].alias("side"), t["target_id"].alias("target_id"), F.array_join(t["tgt_tokens"], " ").alias("target"), edits(t).alias("edits"))))
+    return g.select(*KEYS, F.array_join("src_tokens", " ").alias("source"), F.when(F.size("t") > 0, targets).alias("targets"))
+
+
 def from_nested(nested: DataFrame) -> dict[str, DataFrame]:
     t = nested.select(*KEYS, F.explode("targets").alias("t"))
     e = t.select(*KEYS, "t.side", "t.target_id", F.explode("t.edits").alias("e"))
@@ -38,10 +45,17 @@ def read_json(spark: SparkSession, path: str, **options) -> dict[str, DataFrame]
     return with_options(from_nested(spark.read.schema(NESTED).json(path)), **options)
 
 
-def write_json(samples: DataFrame, targets: DataFrame, edits: DataFrame, path: str, flatten: bool = False, max_sample: int = -1) -> None:
-    """A row for each sample with its targets and edits inside; see ``for_writing``."""
-    d = for_writing({"samples": samples, "targets": targets, "edits": edits}, flatten, max_sample)
-    to_nested(d["samples"], d["targets"], d["edits"]).write.json(path)
+def write_json(samples: DataFrame, targets: DataFrame, edits: DataFrame, path: str, flatten: bool = False, max_sample: int = -1, grouped: DataFrame | None = None, compression: str = "none") -> None:
+    """A row for each sample with its targets and edits inside; see ``for_writing``.
+
+    Where the same dataset is at hand ``grouped``, a row for each sample, whole and unflattened it is written row by row, without joins.
+    """
+    if grouped is not None and not flatten and max_sample < 0:
+        nested = grouped_to_nested(grouped)
+    else:
+        d = for_writing({"samples": samples, "targets": targets, "edits": edits}, flatten, max_sample)
+        nested = to_nested(d["samples"], d["targets"], d["edits"])
+    nested.write.json(path, compression=compression)
 
 
 def read_parallel(spark: SparkSession, source: str, target: str, system_id: str, side: str = "hyp", **options) -> dict[str, DataFrame]:

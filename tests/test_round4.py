@@ -126,3 +126,15 @@ def test_ngrams_of_a_row(spark):
     one = df.where("id >= 1000")
     assert {(r.id, r.n, tuple(r.gram)): r.c for r in G.ngram_counts(one, ["id"], "t", unique=True).collect()} == {k: c for k, c in want.items() if k[0] >= 1000}
     assert exchanges(QUERIES["ngram_counts"](spark, SF)) == 0
+
+
+def test_json_row_by_row(spark, tmp_path, monkeypatch):
+    t = {k: v.where("sample_id % 41 = 2") for k, v in tables(spark, SF).items()}
+    plain, paths = J.to_nested(t["samples"], t["targets"], t["edits"]), []
+    got = J.grouped_to_nested(t["grouped"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    assert exchanges(J.grouped_to_nested(t["grouped"])) == 0
+    monkeypatch.setattr(Q, "shared_path", lambda spark, name: paths.append(str(tmp_path / name)) or paths[-1])
+    back = QUERIES["json_round_trip"](spark, SF)
+    assert {p.suffix for p in (tmp_path / "json").glob("part-*")} == {".gz"}
+    assert back.count() == QUERIES["edits_scan"](spark, SF).count()
