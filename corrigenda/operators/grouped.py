@@ -7,7 +7,8 @@ and no shuffle: the corpus is read once, whatever the metric. The rules are thos
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,22 @@ Chunk = tuple[list[str], list[str], bool]
 Bound = tuple[int, int, bool]
 
 
+def _lists(values: Sequence[Sequence], kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, values))], pa.int32()), pa.array([x for v in values for x in v], kind))
+
+
+def grouped_record(systems: list[str], ids: list[int], sources: list[list[str]], sides: list[Sequence[str]], numbers: list[Sequence[int]], texts: list[list[list[str]]], edits: list[list[list[tuple]]]) -> pa.RecordBatch:
+    """Rows of GROUPED: of each sample its source, and side, number, tokens and edits (tuples in the order of EDIT) of its targets."""
+    own = [e for sample in edits for e in sample]
+    flat = [e for target in own for e in target]
+    cols = list(zip(*flat)) or [()] * len(EDIT)
+    e = pa.StructArray.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:5]), *(_lists(c, pa.string()) for c in cols[5:])], EDIT)
+    e = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, own))], pa.int32()), e)
+    t = pa.StructArray.from_arrays([pa.array([x for s in sides for x in s], pa.string()), pa.array([x for n in numbers for x in n], pa.int32()), _lists([x for s in texts for x in s], pa.string()), e], ["side", "target_id", "tgt_tokens", "edits"])
+    t = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, sides))], pa.int32()), t)
+    return pa.RecordBatch.from_arrays([pa.array(systems, pa.string()), pa.array(ids, pa.int64()), _lists(sources, pa.string()), t], ["system_id", "sample_id", "src_tokens", "t"])
+
+
 def group(samples: DataFrame, targets: DataFrame, edits: DataFrame) -> DataFrame:
     """``keys, src_tokens, t``: ``t`` is an array of (side, target_id, tgt_tokens, edits), hypotheses first."""
     e = edits.groupBy(*TARGET).agg(F.sort_array(F.collect_list(F.struct("src_start", "src_end", "edit_no", F.struct(*EDIT).alias("e")))).alias("e"))

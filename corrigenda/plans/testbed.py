@@ -10,13 +10,10 @@ The id of a sample is 2**24 doc + p.
 
 from __future__ import annotations
 
-from itertools import accumulate
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrigenda.operators.grouped import GROUPED, ungroup
+from corrigenda.operators.grouped import GROUPED, grouped_record, ungroup
 from corrigenda.tables import spread
 
 TOKENS, PIECES, DOCS = 40, 1 << 24, 1 << 38
@@ -38,10 +35,6 @@ def side_edits(src: list[str], doc: int, p: int, k: int) -> list[tuple[int, int,
     return out
 
 
-def _lists(values: list[list], kind) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, values))], pa.int32()), pa.array([x for v in values for x in v], kind))
-
-
 def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sample with its targets and their edits, in one pass without a shuffle."""
 
@@ -57,6 +50,8 @@ def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
                         sources.append(src)
                         ks = (0, 1) if ids[-1] % 7 == 0 else (0, 1, 2)
                         sides.append(ks)
+                        tgt.append([])
+                        edits.append([])
                         for k in ks:
                             out, own, at = [], [], 0
                             for a, b, new, kind in side_edits(src, doc, p, k):
@@ -64,17 +59,9 @@ def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 own.append((len(own), a, b, len(out), len(out) + len(new), src[a:b], new, [kind]))
                                 out += new
                                 at = b
-                            tgt.append(out + src[at:])
-                            edits.append(own)
-                flat = [e for own in edits for e in own] or [(0, 0, 0, 0, 0, [], [], [])]
-                cols = list(zip(*flat))
-                names = ("edit_no", "src_start", "src_end", "tgt_start", "tgt_end", "src_tokens", "tgt_tokens", "types")
-                e = pa.StructArray.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:5]), *(_lists(c, pa.string()) for c in cols[5:])], names)
-                e = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, edits))], pa.int32()), e)
-                k = [x for ks in sides for x in ks]
-                t = pa.StructArray.from_arrays([pa.array(["ref" if x else "hyp" for x in k], pa.string()), pa.array([max(x - 1, 0) for x in k], pa.int32()), _lists(tgt, pa.string()), e], ["side", "target_id", "tgt_tokens", "edits"])
-                t = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, sides))], pa.int32()), t)
-                yield pa.RecordBatch.from_arrays([pa.array(["sys"] * len(ids), pa.string()), pa.array(ids, pa.int64()), _lists(sources, pa.string()), t], ["system_id", "sample_id", "src_tokens", "t"])
+                            tgt[-1].append(out + src[at:])
+                            edits[-1].append(own)
+                yield grouped_record(["sys"] * len(ids), ids, sources, [["ref" if k else "hyp" for k in ks] for ks in sides], [[max(k - 1, 0) for k in ks] for ks in sides], tgt, edits)
 
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id").mapInArrow(run, GROUPED)
 

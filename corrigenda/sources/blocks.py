@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corrigenda.functions.text import remove_space, tokenize
 from corrigenda.model import HYP, KEYS, TARGET
-from corrigenda.operators.edits import apply_edits, with_target_offsets
-from corrigenda.sources.files import text_blocks
+from corrigenda.operators.grouped import GROUPED, grouped_record, ungroup
+from corrigenda.sources.files import ROWS, text_blocks
 from corrigenda.sources.options import for_writing, with_options
 
 #: Fixed values of the format.
@@ -30,6 +31,73 @@ def with_position(df: DataFrame, name: str = "sample_id") -> DataFrame:
     return d.withColumn("_r", row).join(base, ["_f", "_b"]).withColumn(name, (F.col("_base") + F.col("_r")).cast("bigint")).drop("_f", "_b", "_m", "_r", "_base")
 
 
+#: A line ``T{i}``, with its alternative where it has one.
+MARK = re.compile(r"T([0-9]+)(?:-A([0-9]+))?")
+
+
+def _block(lines: list[str], char_level: bool) -> tuple[list[str], list[tuple[int, list[str], list[tuple]]]]:
+    """The source of a block, and (number, tokens, edits) of each annotator; see ``read_block_rows``."""
+    tokens = (lambda text: list("".join(text.split()))) if char_level else str.split
+    src = tokens(next(x for x in lines if x.startswith("S"))[2:])
+    alternative, most, found = 0, 0, {}
+    for line in lines:
+        mark = MARK.match(line)
+        if mark:
+            alternative = int(mark[2] or 0)
+        if alternative:
+            continue
+        if mark:
+            most = max(most, int(mark[1]))
+        elif line.startswith("A "):
+            f = line.split(FIELD)
+            start, end = map(int, f[0][2:102].split(" ")[:2])
+            who = int(f[-1])
+            if len(f) < 5 or who < 0 or end < start >= 0:
+                raise ValueError(f"not an annotation: {line[:200]}")
+            most = max(most, who)
+            if f[1] not in NOOP and start >= 0:
+                cor = FIELD.join(f[2 : len(f) - 3])
+                found.setdefault(who, []).append((start, end, tokens("" if cor == NONE else cor), f[1]))
+    out = []
+    for who in range(most + 1):
+        own = [(start, end, no, new, kind) for no, (start, end, new, kind) in enumerate(sorted(found.get(who, []), key=lambda e: e[0]))]
+        at, shift, text, edits = 0, 0, [], []
+        for start, end, no, new, kind in sorted(own, key=lambda e: e[:3]):
+            edits.append((no, start, end, start + shift, start + shift + len(new), src[start:end], new, [kind]))
+            shift += len(new) - (end - start)
+            text += src[at : max(start, at)] + new
+            at = end
+        out.append((who, text + src[at:], edits))
+    return src, out
+
+
+def read_block_rows(spark: SparkSession, path: str | Sequence[str], system_id: str, side: str = HYP, char_level: bool = False, max_sample: int = -1, remove_unchanged: bool = False) -> DataFrame:
+    """Annotated block files as a grouped dataset (GROUPED), a block at a time, without a shuffle; see ``read_blocks``.
+
+    With ``remove_unchanged`` targets that equal their source go, and those that stay are numbered anew.
+    """
+    pos = text_blocks(spark, path)
+    if max_sample >= 0:
+        pos = pos.where(F.col("sample_id") < max_sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                ids, lines = (c.to_pylist() for c in batch.slice(lo, ROWS).columns)
+                sources, targets = [], []
+                for block in lines:
+                    src, own = _block(block, char_level)
+                    if remove_unchanged:
+                        if not src:
+                            raise ValueError("a sample has no source")
+                        own = [(k, *t[1:]) for k, t in enumerate(t for t in own if t[1] != src)]
+                    sources.append(src)
+                    targets.append(own)
+                yield grouped_record([system_id] * len(ids), ids, sources, [[side] * len(t) for t in targets], *([[t[k] for t in own] for own in targets] for k in range(3)))
+
+    return pos.mapInArrow(run, GROUPED)
+
+
 def read_blocks(spark: SparkSession, path: str | Sequence[str], system_id: str, side: str = HYP, char_level: bool = False, max_sample: int = -1, **options: bool) -> dict[str, DataFrame]:
     """``samples, targets, edits`` of annotated block files, whatever line ends they have and runs of blank lines part their blocks.
 
@@ -37,36 +105,7 @@ def read_blocks(spark: SparkSession, path: str | Sequence[str], system_id: str,
     what follows it is skipped), at least annotator 0. A noop annotation is a target without edits. The first
     ``max_sample`` blocks, all where negative; ``options`` are those of ``with_options``.
     """
-    pos = text_blocks(spark, path)
-    if max_sample >= 0:
-        pos = pos.where(F.col("sample_id") < max_sample)
-    blocks = pos.select(F.lit(system_id).alias("system_id"), "sample_id", F.col("lines").alias("ls"))
-    src = F.substring(F.element_at(F.filter("ls", lambda x: x.startswith("S")), 1), 3, 1 << 30)
-    tok = F.filter(F.split(remove_space(src), ""), lambda c: c != "") if char_level else tokenize(src)
-    samples = blocks.select(*KEYS, tok.alias("src_tokens"))
-    each = blocks.select(*KEYS, F.posexplode("ls").alias("no", "line"))
-    w = Window.partitionBy(*KEYS).orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.when(F.col("line").rlike(r"^T\d+"), F.coalesce(F.nullif(F.regexp_extract("line", r"^T\d+-A(\d+)", 1), F.lit("")).cast("int"), F.lit(0)))
-    each = each.withColumn("_alt", F.last(head, True).over(w)).where(F.coalesce("_alt", F.lit(0)) == 0)
-    marks = each.where(F.col("line").rlike(r"^T\d+")).select(*KEYS, F.regexp_extract("line", r"^T(\d+)", 1).cast("int").alias("target_id"))
-    f = F.split("line", r"\|\|\|")
-    span = F.split(F.substring(f[0], 3, 100), " ")
-    ann = each.where(F.col("line").startswith("A ")).select(
-        *KEYS, F.lit(side).alias("side"), F.element_at(f, -1).cast("int").alias("target_id"), "no", span[0].cast("int").alias("src_start"), span[1].cast("int").alias("src_end"), f[1].alias("type"),
-        F.array_join(F.slice(f, 3, F.size(f) - 5), FIELD).alias("cor"),
-    )
-    named = marks.unionByName(ann.select(*KEYS, "target_id")).unionByName(samples.select(*KEYS, F.lit(0).alias("target_id")))
-    last = named.groupBy(*KEYS).agg(F.max("target_id").alias("m"))
-    keys = last.select(*KEYS, F.lit(side).alias("side"), F.explode(F.sequence(F.lit(0), F.col("m"))).alias("target_id"))
-    real = ann.where(~F.col("type").isin(*NOOP) & (F.col("src_start") >= 0))
-    real = real.withColumn("edit_no", (F.row_number().over(Window.partitionBy(*TARGET).orderBy("src_start", "no")) - 1).cast("int"))
-    cor = F.when(F.col("cor") == NONE, F.lit("")).otherwise(F.col("cor"))
-    cor = F.filter(F.split(remove_space(cor), ""), lambda c: c != "") if char_level else tokenize(cor)
-    e = real.join(samples, KEYS).select(
-        *TARGET, "edit_no", "src_start", "src_end", F.slice("src_tokens", F.col("src_start") + 1, F.col("src_end") - F.col("src_start")).alias("src_tokens"), cor.alias("tgt_tokens"), F.array("type").alias("types")
-    )
-    edits = with_target_offsets(e)
-    return with_options({"samples": samples, "targets": apply_edits(samples, keys, edits), "edits": edits}, **options)
+    return with_options(ungroup(read_block_rows(spark, path, system_id, side, char_level, max_sample)), **options)
 
 
 def block_lines(samples: DataFrame, targets: DataFrame, edits: DataFrame, texts: bool = False) -> DataFrame:
@@ -87,7 +126,41 @@ def block_lines(samples: DataFrame, targets: DataFrame, edits: DataFrame, texts:
     return samples.join(body, KEYS, "left").select("sample_id", F.concat_ws("\n", F.concat(F.lit("S "), F.array_join("src_tokens", " ")), "body", F.lit("")).alias("value"))
 
 
-def write_blocks(samples: DataFrame, targets: DataFrame, edits: DataFrame, path: str, texts: bool = False, flatten: bool = False, max_sample: int = -1) -> None:
-    """Blocks in the order of sample ids, one file per range of ids; see ``block_lines`` and ``for_writing``."""
-    d = for_writing({"samples": samples, "targets": targets, "edits": edits}, flatten, max_sample)
-    block_lines(d["samples"], d["targets"], d["edits"], texts).repartitionByRange("sample_id").sortWithinPartitions("sample_id").select("value").write.text(path)
+def grouped_block_lines(g: DataFrame, texts: bool = False, flatten: bool = False) -> DataFrame:
+    """``block_lines`` of a grouped dataset, row by row: its columns but the targets, and ``values``, the blocks of a sample.
+
+    That is one block, or with ``flatten`` one for each target in order of sides and numbers, which is target 0 there.
+    """
+
+    def lines(t: Column) -> Column:
+        who = F.lit(0) if flatten else t["target_id"]
+        entry = lambda start, no, line: F.struct(who.alias("target_id"), start.alias("src_start"), no.alias("edit_no"), line.alias("line"))
+        own = F.transform(t["edits"], lambda e: entry(e["src_start"], e["edit_no"], F.format_string(LINE, e["src_start"], e["src_end"], F.array_join(e["types"], ","), F.array_join(e["tgt_tokens"], " "), who)))
+        if texts:
+            return F.concat(F.array(entry(F.lit(-1), F.lit(-1), F.concat(F.format_string("T%d ", who), F.array_join(t["tgt_tokens"], " ")))), own)
+        noop = F.array(entry(F.lit(-1), F.lit(0), F.format_string("A -1 -1|||noop|||-NONE-|||REQUIRED|||-NONE-|||%d", who)))
+        return F.when(F.size(own) > 0, own).otherwise(noop)
+
+    def block(entries: Column) -> Column:
+        body = F.array_join(F.transform(F.sort_array(entries), lambda x: x["line"]), "\n")
+        return F.concat_ws("\n", F.concat(F.lit("S "), F.array_join("src_tokens", " ")), F.when(F.size(entries) > 0, body), F.lit(""))
+
+    if flatten:
+        order = F.array_sort(F.transform("t", lambda t: F.struct(t["side"].alias("side"), t["target_id"].alias("target_id"), t["tgt_tokens"].alias("tgt_tokens"), t["edits"].alias("edits"))))
+        values = F.transform(order, lambda t: block(lines(t)))
+    else:
+        values = F.array(block(F.flatten(F.transform("t", lines))))
+    return g.select(*KEYS, values.alias("values"))
+
+
+def write_blocks(samples: DataFrame, targets: DataFrame, edits: DataFrame, path: str, texts: bool = False, flatten: bool = False, max_sample: int = -1, grouped: DataFrame | None = None, compression: str = "none") -> None:
+    """Blocks in the order of sample ids, one file per range of ids; see ``block_lines`` and ``for_writing``.
+
+    Where the same dataset, of one system, is at hand ``grouped``, a row for each sample, all of it is written without joins.
+    """
+    if grouped is not None and max_sample < 0:
+        made = grouped_block_lines(grouped, texts, flatten).repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).select(F.explode("values").alias("value"))
+    else:
+        d = for_writing({"samples": samples, "targets": targets, "edits": edits}, flatten, max_sample)
+        made = block_lines(d["samples"], d["targets"], d["edits"], texts).repartitionByRange("sample_id").sortWithinPartitions("sample_id").select("value")
+    made.write.text(path, compression=compression)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from fnmatch import fnmatch
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corrigenda.tables import saved
 
-#: What makes a line blank, besides nothing.
-BLANK = "[\\s\ufeff]"
+#: Characters of which blank lines are made.
+BLANK = " \t\n\x0b\f\r\ufeff"
+#: Blocks that are given on at a time.
+ROWS = 2048
 
 
 def list_files(spark: SparkSession, folder: str, exclude: Sequence[str] = (), recursive: bool = False, limit: int | None = None) -> list[str]:
@@ -35,32 +38,84 @@ def list_files(spark: SparkSession, folder: str, exclude: Sequence[str] = (), re
     return found[:limit] if limit and limit > 0 else found
 
 
-def _per_split(df: DataFrame) -> DataFrame:
-    return df.select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b")).withColumn("_m", F.monotonically_increasing_id())
+LINES = "_f string, _b bigint, _j bigint, lines array<string>"
+ARROW = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+ENDS = "_f string, _b bigint, _n bigint, _head array<string>, _tail array<string>, _head_open boolean, _tail_open boolean"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, list[str], bool, bool]]:
+    """Of the lines ``value, _f, _b`` of a task, split by split: file, place, number of the run in its split, its lines, whether it begins and whether it ends with the split.
+
+    Run 0 is what a split begins with, if that is not blank, and else empty; the last run may be empty, too.
+    """
+    key, run, number, first = None, [], 0, True
+    for batch in batches:
+        for value, *here in zip(*(c.to_pylist() for c in batch.columns)):
+            if here != key:
+                if key is not None:
+                    yield *key, number, run, number == 0, True
+                key, run, number, first = here, [], 0, True
+            if not value.strip(BLANK):
+                if run or number == 0:
+                    yield *key, number, run, number == 0, False
+                    number += 1
+                run = []
+            else:
+                run.append(value.removeprefix("\ufeff"))
+    if key is not None:
+        yield *key, number, run, number == 0, True
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ENDS of each split: the number of runs that begin behind its first line, and the lines of what lies at its borders."""
+    head: list[str] = []
+    for f, b, number, lines, begins, ends in _runs(batches):
+        head = lines if begins else head
+        if ends:
+            whole = begins  # one run from border to border
+            n = number - 1 + bool(lines) if number else 0
+            yield _record([(f, b, n, head, [] if whole else lines, bool(head), bool(lines))], ENDS)
+
+
+def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """LINES of the runs that lie within their split."""
+    rows: list[tuple] = []
+    for f, b, number, lines, begins, ends in _runs(batches):
+        if not begins and not ends:
+            rows.append((f, b, number, lines))
+        if len(rows) >= ROWS:
+            yield _record(rows, LINES)
+            rows = []
+    yield _record(rows, LINES)
+
+
+def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, ARROW[k]) for c, k in zip(list(zip(*rows)) or [[]] * len(kinds), kinds)], names=list(names))
 
 
 def text_blocks(spark: SparkSession, path: str | Sequence[str], name: str = "sample_id") -> DataFrame:
     """``name, lines array<string>``: runs of lines that are not blank, numbered from 0 in the order of files and of lines.
 
     Lines may end in any way, also differently in one file; files may be compressed. Blocks begin and end
-    with their file. A block may lie across two splits: of each split only the number of blocks that begin in
-    it, and whether its last line is blank, pass through one task.
+    with their file. A block is put together where it is read; what lies at the borders of a split is gathered
+    first, with the number of blocks that begin in it. Only these, a row for each split, are saved and pass
+    through one task; only blocks at borders are put together by a shuffle.
     """
-    rows = _per_split(spark.read.text(path if isinstance(path, str) else list(path)))
-    rows = rows.withColumn("_blank", F.regexp_replace("value", BLANK, "") == "")
-    split = Window.partitionBy("_f", "_b").orderBy("_m")
-    rows = rows.withColumn("_first", F.row_number().over(split) == 1).withColumn("_starts", ~F.col("_blank") & F.lag("_blank").over(split))
-    ends = rows.groupBy("_f", "_b").agg(F.count_if("_starts").alias("_n"), F.min_by("_blank", "_m").alias("_head"), F.max_by("_blank", "_m").alias("_tail"))
-    before = F.lag("_tail").over(Window.partitionBy("_f").orderBy("_b"))
-    ends = ends.withColumn("_opens", ~F.col("_head") & F.coalesce(before, F.lit(True)))
+    rows = spark.read.text(path if isinstance(path, str) else list(path)).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+    ends = saved(rows.mapInArrow(_ends, ENDS).repartition("_f"), "ends")
+    before = F.lag("_tail_open").over(Window.partitionBy("_f").orderBy("_b"))
+    ends = ends.withColumn("_opens", (F.col("_head_open") & ~F.coalesce(before, F.lit(False))).cast("int"))
+    counts = ends.select("_f", "_b", "_n", "_opens")
     every = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_base", F.coalesce(F.sum(F.col("_n") + F.col("_opens").cast("int")).over(every), F.lit(0))).select("_f", "_b", "_opens", "_base")
-    rows = rows.join(ends, ["_f", "_b"])
-    starts = F.when(F.col("_first"), F.col("_opens")).otherwise(F.col("_starts"))
-    number = F.col("_base") + F.sum(starts.cast("int")).over(split.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
-    kept = rows.withColumn(name, number.cast("bigint")).where("not _blank")
-    lines = F.array_sort(F.collect_list(F.struct("_b", "_m", F.regexp_replace("value", "^\ufeff", "").alias("v"))))
-    return kept.groupBy(name).agg(F.transform(lines, lambda x: x["v"]).alias("lines"))
+    # behind the border run 0 a split's runs are numbered from 1
+    base = counts.select("_f", "_b", (F.coalesce(F.sum(F.col("_n") + F.col("_opens")).over(every), F.lit(0)) + F.col("_opens") - 1).alias("_base"))
+    number = (F.col("_base") + F.col("_j")).cast("bigint").alias(name)
+    inner = rows.mapInArrow(_inner, LINES).join(F.broadcast(base), ["_f", "_b"]).select(number, "lines")
+    borders = F.array(F.struct(F.lit(0).cast("bigint").alias("_j"), F.col("_head").alias("v")), F.struct(F.col("_n").alias("_j"), F.col("_tail").alias("v")))
+    each = ends.select("_f", "_b", F.explode(F.filter(borders, lambda x: F.size(x["v"]) > 0)).alias("x")).select("_f", "_b", "x.*")
+    parts = each.join(F.broadcast(base), ["_f", "_b"]).groupBy(number).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_j", "v"))), lambda x: x["v"])).alias("lines"))
+    return inner.unionByName(parts)
 
 
 def places(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Work that concerns one sample is done beside it: no shuffles, the same rows as the plain forms."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -14,8 +15,10 @@ from corrigenda.operators import edits as E
 from corrigenda.operators import english as N
 from corrigenda.operators import extract as K
 from corrigenda.operators import gleu as G
+from corrigenda.operators.grouped import ungroup
 from corrigenda.plans.testbed import tables
 from corrigenda.queries import QUERIES, _pairs
+from corrigenda.sources import blocks as B
 from corrigenda.sources import nested as J
 
 SF = "/root/testdata/sf0.001"
@@ -138,3 +141,38 @@ def test_json_row_by_row(spark, tmp_path, monkeypatch):
     back = QUERIES["json_round_trip"](spark, SF)
     assert {p.suffix for p in (tmp_path / "json").glob("part-*")} == {".gz"}
     assert back.count() == QUERIES["edits_scan"](spark, SF).count()
+
+
+def lines_of(spark, path):
+    return [r.value for r in spark.read.text(path).withColumn("_f", F.col("_metadata.file_path")).orderBy("_f", F.monotonically_increasing_id()).collect()]
+
+
+@pytest.mark.parametrize("flatten", [True, False])
+def test_blocks_row_by_row(spark, tmp_path, flatten):
+    t = {k: v.where("sample_id % 61 = 2") for k, v in tables(spark, SF).items()}
+    for texts in (True, False):
+        B.write_blocks(t["samples"], t["targets"], t["edits"], str(tmp_path / f"plain{texts}"), texts=texts, flatten=flatten)
+        B.write_blocks(t["samples"], t["targets"], t["edits"], str(tmp_path / f"rows{texts}"), texts=texts, flatten=flatten, grouped=t["grouped"], compression="gzip")
+        assert lines_of(spark, str(tmp_path / f"rows{texts}")) == lines_of(spark, str(tmp_path / f"plain{texts}")) != []
+    got = B.read_block_rows(spark, str(tmp_path / "rowsTrue"), "s", "ref")
+    # lines are not dealt by split, and only blocks at the borders of splits by their numbers
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(_f#\d+, _b", plan) and len(re.findall(r"hashpartitioning\(.*sample_id", plan)) <= 1
+    tables_ = B.read_blocks(spark, str(tmp_path / "rowsTrue"), "s", "ref", remove_unchanged=True)
+    rows = ungroup(B.read_block_rows(spark, str(tmp_path / "rowsTrue"), "s", "ref", remove_unchanged=True))
+    for name in ("samples", "targets", "edits"):
+        assert sorted(map(str, rows[name].collect())) == sorted(map(str, tables_[name].collect()))
+
+
+def test_block_that_is_one_split_and_many(spark, tmp_path):
+    (tmp_path / "in").write_bytes(b"\n\nS a b\nA 0 1|||R|||x|||REQUIRED|||-NONE-|||1\n\nS c\n" + b"".join(b"A 0 1|||R|||%d|||REQUIRED|||-NONE-|||%d\n" % (k, k) for k in range(40)) + b"\nS d")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 100)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        got = {r.sample_id: r for r in B.read_block_rows(spark, str(tmp_path / "in"), "s").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert [got[k].src_tokens for k in range(3)] == [["a", "b"], ["c"], ["d"]]
+    assert [t.tgt_tokens for t in got[0].t] == [["a", "b"], ["x", "b"]] and [t.tgt_tokens for t in got[1].t] == [[str(k)] for k in range(40)]
