@@ -200,3 +200,16 @@ def test_weighted_counts_in_rows(spark):
     want = S.ref_counts(W.weigh_by_length(R.match_rows(live), R.chunk_rows(live)), S.reference_pairs(t["targets"]), F.col("weight"))
     same_rows(R.all_counts(t["grouped"], weights), want)
     assert exchanges(QUERIES["ref_counts_weighted"](spark, SF)) == 0
+
+
+def test_four_scores_from_one_table_of_counts(spark, monkeypatch):
+    t, passes = few(spark), []
+    for metric in ("chunk", "heuo"):
+        got = V.evaluate_all(t, metric)
+        for level, weighted in P.KEYS:
+            one = V.evaluate(t, metric, level=level, weigher="length" if weighted else "none")[0]
+            same_rows(got.where((F.col("level") == level) & (F.col("weighted") == weighted)).select(*one.columns), one)
+    all_counts = R.all_counts
+    monkeypatch.setattr(V.G, "all_counts", lambda *a, **b: passes.append(1) or all_counts(*a, **b))
+    V.evaluate_all(t, "chunk")
+    assert passes == [1]
