@@ -66,29 +66,51 @@ class VectorSimilarity:
     to the tokens of each pair, which are put together again by pair.
     """
 
-    def __init__(self, vectors: DataFrame, small: int = SMALL) -> None:
+    def __init__(self, vectors: DataFrame, small: int = SMALL, key: Callable[[Column], Column] | None = None) -> None:
+        """``key`` makes of an array of tokens the array of what ``vectors.token`` holds, where many tokens share a vector; else that is the token."""
         v = vectors.select("token", F.col("vec").cast("array<double>").alias("vec")).where("token is not null and vec is not null")
         v = v.where(~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0))
         self.vectors = v.groupBy("token").agg(F.min("vec").alias("vec"))
-        self.few = self.vectors.limit(small + 1).count() <= small
+        self.key = key or (lambda tokens: tokens)
+        rows = self.vectors.limit(small + 1).collect()
+        self.few = len(rows) <= small
+        self.given = None
+        if self.few:
+            matrix = np.array([r.vec for r in rows], np.float64) if rows else np.zeros((0, 1))
+            matrix = matrix / np.maximum(np.abs(matrix).max(1, keepdims=True, initial=0), 1e-300)
+            matrix = matrix / np.maximum(np.sqrt((matrix * matrix).sum(1, keepdims=True)), 1e-300)
+            self.given = vectors.sparkSession.sparkContext.broadcast(({r.token: k for k, r in enumerate(rows)}, matrix))
 
     def scores(self, pairs: DataFrame) -> DataFrame:
         """``a, b, s`` for each different pair of token arrays."""
         pairs = pairs.select("a", "b").distinct()
         if self.few:
-            rows = self.vectors.collect()
-            table = {r.token: k for k, r in enumerate(rows)}
-            matrix = np.array([r.vec for r in rows], np.float64) if rows else np.zeros((0, 1))
-            matrix = matrix / np.maximum(np.abs(matrix).max(1, keepdims=True, initial=0), 1e-300)
-            matrix = matrix / np.maximum(np.sqrt((matrix * matrix).sum(1, keepdims=True)), 1e-300)
-            given = pairs.sparkSession.sparkContext.broadcast((table, matrix))
-            return pairs.mapInArrow(_scored(lambda row: _by_table(*row[:2], *given.value)), "a array<string>, b array<string>, s double")
+            return self.in_rows(pairs)
         for side in ("a", "b"):
-            each = pairs.select("a", "b", F.posexplode(side).alias("at", "token")).join(self.vectors, "token", "left")
+            each = pairs.select("a", "b", F.posexplode(self.key(F.col(side))).alias("at", "token")).join(self.vectors, "token", "left")
             known = each.groupBy("a", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "vec"))), lambda x: x["vec"]).alias(f"vec_{side}"))
             pairs = pairs.join(known, ["a", "b"], "left")
         return pairs.mapInArrow(_scored(_by_vectors), "a array<string>, b array<string>, s double")
 
+    def in_rows(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` with ``s`` of their ``a, b``: row by row where the vectors go to the workers, else joined by pair."""
+        if not self.few:
+            return pairs.join(self.scores(pairs), ["a", "b"])
+        given, names = self.given, pairs.columns
+        places = [names.index("a"), names.index("b")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(lo, ROWS)
+                    columns = [part.column(k).to_pylist() for k in (*places, len(names), len(names) + 1)]
+                    s = [_by_table(*row, *given.value) for row in zip(*columns)]
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(s, pa.float64())], names=[*names, "s"])
+
+        keyed = pairs.select(*names, *[self.key(F.col(c)).alias(f"_key_{c}") for c in ("a", "b")])
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
+        return keyed.mapInArrow(run, f"{kinds}, s double")
+
 
 def _scored(score: Callable[[tuple], float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,8 +132,8 @@ def _same(a: list[str], b: list[str], known_a: np.ndarray, known_b: np.ndarray,
     return greedy_f1(sim)
 
 
-def _by_table(a: list[str], b: list[str], table: dict[str, int], matrix: np.ndarray) -> float:
-    x, y = (np.array([table.get(t, -1) for t in side], np.int64) for side in (a, b))
+def _by_table(a: list[str], b: list[str], key_a: list, key_b: list, table: dict, matrix: np.ndarray) -> float:
+    x, y = (np.array([table.get(t, -1) for t in side], np.int64) for side in (key_a, key_b))
     sim = matrix[x] @ matrix[y].T if len(matrix) else np.zeros((len(x), len(y)))
     return _same(a, b, x >= 0, y >= 0, sim)
 

@@ -16,6 +16,7 @@ from corrigenda.operators import english as N
 from corrigenda.operators import extract as K
 from corrigenda.operators import gleu as G
 from corrigenda.operators import grouped as R
+from corrigenda.operators import likeness as L
 from corrigenda.operators import outcomes as O
 from corrigenda.operators import scores as S
 from corrigenda.operators import weights as W
@@ -227,3 +228,16 @@ def test_four_scores_from_one_table_of_counts(spark, monkeypatch):
     monkeypatch.setattr(V.G, "all_counts", lambda *a, **b: passes.append(1) or all_counts(*a, **b))
     V.evaluate_all(t, "chunk")
     assert passes == [1]
+
+
+@pytest.mark.parametrize("assumption", ["dependent", "independent"])
+def test_weights_in_rows(spark, assumption):
+    t = few(spark)
+    live = R.drop_empty_refs(t["grouped"])
+    own = lambda a, b: W.token_f1(a, b)
+    for rows, plain, name in ((W.replacement_rows, W.weigh_by_replacement, "replacement_weights"),):
+        m = R.match_rows(live, assumption)
+        want = plain(m, t["samples"], t["targets"], R.chunk_rows(live)).where("outcome <> 'tn'").drop("fp_kind", "length")
+        for sim in (W.token_f1, own):
+            same_rows(rows(t["grouped"], sim, assumption), want)
+        assert exchanges(QUERIES[name](spark, SF)) == 0
