@@ -1,5 +1,6 @@
 """Work that concerns one sample is done beside it: no shuffles, the same rows as the plain forms."""
 
+import gc
 import random
 import re
 from collections import Counter
@@ -20,7 +21,7 @@ from corrigenda.operators import likeness as L
 from corrigenda.operators import outcomes as O
 from corrigenda.operators import scores as S
 from corrigenda.operators import weights as W
-from corrigenda.operators.grouped import ungroup
+from corrigenda.operators.grouped import GROUPED, ungroup
 from corrigenda.plans import evaluate as V
 from corrigenda.plans import reports as P
 from corrigenda.plans.testbed import tables
@@ -255,3 +256,22 @@ def test_vectors_of_keys_in_rows(spark):
         same_rows(W.source_similarity_rows(t["grouped"], L.VectorSimilarity(table, small, key)), want)
     got = W.source_similarity_rows(t["grouped"], L.VectorSimilarity(table, key=key))
     assert exchanges(got) == 0
+
+
+def test_repeated_grams_are_clipped(spark):
+    rng = random.Random(8)
+    rows = [("s", k, rng.choices("ab", k=rng.randrange(7)), [("hyp", 0, rng.choices("abc", k=rng.randrange(8)), [])] + [("ref", r, rng.choices("ac", k=rng.randrange(7)), []) for r in range(2)]) for k in range(300)]
+    got = {(r.sample_id, r.ref_id, r.n): r.numerator for r in G.gleu_parts(spark.createDataFrame(rows, GROUPED)).collect()}
+    for _, k, src, targets in rows:
+        for _, ref, tokens, _ in targets[1:]:
+            for n in range(1, 5):
+                h, s, r = (Counter(tuple(t[i : i + n]) for i in range(len(t) + 1 - n)) for t in (targets[0][2], src, tokens))
+                assert got[k, ref, n] == max(sum(min(c, r[g]) if g in r else -min(c, s[g]) for g, c in h.items()), 0)
+
+
+def test_no_search_for_cycles_within_a_batch():
+    assert gc.isenabled()
+    with pytest.raises(ZeroDivisionError), R.uncollected():
+        assert not gc.isenabled()
+        1 / 0
+    assert gc.isenabled()
